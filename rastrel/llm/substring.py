@@ -29,7 +29,7 @@ BATCH_WORDS, BUCKETS_EACH = 4_000_000, 4
 #: Stands for a null id: larger than any other, so such a document never makes another lose words.
 NO_ID = np.int64(2**63 - 1)
 _MAPPED = "bucket int, entries int, hashes binary, docs binary, doc_id long, marks binary"
-_MARKED = "doc_id long, kind int, marks binary"
+_MARKED = "slot int, kind int, doc_id long, docs binary, marks binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -69,6 +69,18 @@ def intervals(starts: np.ndarray, window: int) -> np.ndarray:
     return np.stack([starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + window], axis=1).astype(np.int64)
 
 
+def slots_of(ids: np.ndarray, slots: int) -> np.ndarray:
+    """pmod(xxhash64(id), slots), as Spark's own expression has it for 64-bit integers."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = np.full(len(ids), np.uint64(42) + p5 + np.uint64(8))
+    h ^= turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return np.mod((h ^ (h >> np.uint64(32))).view(np.int64), slots).astype(np.int32)
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column, int(NO_ID)).to_numpy(zero_copy_only=False)
 
@@ -119,10 +131,10 @@ def _map(window: int, buckets: int):
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket. Entries whose hash a smaller document has go back to their document."""
+def _count(slots: int):
+    """Rows come sorted by bucket. Entries whose hash a smaller document has go back, packed by slot of documents."""
 
-    def settle(own: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def settle(own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.concatenate([np.cumsum(h, dtype=np.uint64) for h, _ in own])
         doc = np.concatenate([d for _, d in own]).astype(np.int64)
         by = np.argsort(flat)
@@ -130,59 +142,87 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         least = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(flat))))
         again = doc > least
-        flat, doc = flat[again], doc[again]
-        by = np.argsort(doc, kind="stable")
-        flat, doc = flat[by], doc[by]
-        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, dtype=np.int64)
-        offsets = np.append(cuts, len(doc)) * 8
-        marks = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat.astype("<u8"))]).cast(pa.binary())
-        return pa.record_batch([pa.array(doc[cuts]), pa.array(np.ones(len(cuts), dtype=np.int32)), marks], names=["doc_id", "kind", "marks"])
-
-    now, own = None, []
-    for batch in batches:
-        local = batch.filter(pc.is_valid(batch.column("marks")))
-        if len(local):
-            yield pa.record_batch([local.column("doc_id"), pa.array(np.zeros(len(local), dtype=np.int32)), local.column("marks")], names=["doc_id", "kind", "marks"])
-        packed = batch.filter(pc.is_valid(batch.column("hashes")))
-        for bucket, h, d in zip(packed.column("bucket").to_pylist(), packed.column("hashes"), packed.column("docs"), strict=True):
-            if bucket != now and own:
-                yield settle(own)
-                own = []
-            now = bucket
-            own.append((_unpack(h.as_buffer()), _unpack(d.as_buffer())))
-    if own:
-        yield settle(own)
+        return flat[again], doc[again]
+
+    def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        flat, doc = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        slot = slots_of(doc, slots)
+        by = np.lexsort((flat, doc, slot))
+        flat, doc, slot = flat[by], doc[by], slot[by]
+        cuts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, dtype=np.int64)
+        ends = np.append(cuts[1:], len(slot))
+        rows = [{"slot": int(slot[a]), "kind": 1, "docs": _pack(np.diff(doc[a:b], prepend=np.int64(0))), "marks": flat[a:b].astype("<u8").tobytes()} for a, b in zip(cuts, ends, strict=True)]
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    schema = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("marks", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, found, size = None, [], [], 0
+        for batch in batches:
+            local = batch.filter(pc.is_valid(batch.column("marks")))
+            if len(local):
+                ids = local.column("doc_id").to_numpy(zero_copy_only=False)
+                yield pa.record_batch([pa.array(slots_of(ids, slots)), pa.array(np.zeros(len(local), dtype=np.int32)), local.column("doc_id"), pa.nulls(len(local), pa.binary()), local.column("marks")], schema=schema)
+            full = batch.filter(pc.is_valid(batch.column("hashes")))
+            for bucket, h, d in zip(full.column("bucket").to_pylist(), full.column("hashes"), full.column("docs"), strict=True):
+                if bucket != now and own:
+                    found.append(settle(own))
+                    size += len(found[-1][0])
+                    own = []
+                    if size > 2_000_000:
+                        yield packed(found)
+                        found, size = [], 0
+                now = bucket
+                own.append((_unpack(h.as_buffer()), _unpack(d.as_buffer())))
+        if own:
+            found.append(settle(own))
+        if found:
+            yield packed(found)
+
+    return run
 
 
 def _merge(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by document, its intervals and hashes before its texts."""
-        now, spans, marked = None, [], []
+        """Rows come sorted by slot: the intervals and hashes of its documents before its texts."""
+        now, ready = None, False
+        spans: dict[int, list[np.ndarray]] = {}
+        docs: list[np.ndarray] = []
+        marks: list[np.ndarray] = []
+        doc = mark = np.zeros(0, dtype=np.int64)
         for batch in batches:
             out = []
-            ids = _ids(batch.column("doc_id")).tolist()
-            for i, kind, marks, text in zip(ids, batch.column("kind").to_pylist(), batch.column("marks"), batch.column("text"), strict=True):
-                if i != now:
-                    now, spans, marked = i, [], []
+            for slot, kind, i, d, m, text in zip(batch.column("slot").to_pylist(), batch.column("kind").to_pylist(), _ids(batch.column("doc_id")).tolist(), batch.column("docs"), batch.column("marks"), batch.column("text"), strict=True):
+                if slot != now:
+                    now, ready, spans, docs, marks = slot, False, {}, [], []
                 if kind == 0:
-                    spans.append(np.frombuffer(marks.as_py(), dtype="<i8").reshape(-1, 2))
-                elif kind == 1:
-                    marked.append(np.frombuffer(marks.as_py(), dtype="<u8"))
-                else:
-                    words = words_of(text.as_py())
-                    delta = np.zeros(len(words) + 1, dtype=np.int64)
-                    for s in spans:
-                        np.add.at(delta, s[:, 0], 1)
-                        np.add.at(delta, s[:, 1], -1)
-                    if marked:
-                        starts = np.flatnonzero(np.isin(window_hashes(words, window), np.concatenate(marked)))
-                        s = intervals(starts, window)
-                        np.add.at(delta, s[:, 0], 1)
-                        np.add.at(delta, s[:, 1], -1)
-                    gone = np.cumsum(delta[:-1]) > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    kept = b" ".join([words[k] for k in np.flatnonzero(~gone)]) if edges.size else b" ".join(words)
-                    out.append((None if i == NO_ID else i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), edges.tolist(), kept.decode("utf-8", "replace")))
+                    spans.setdefault(i, []).append(np.frombuffer(m.as_buffer(), dtype="<i8").reshape(-1, 2))
+                    continue
+                if kind == 1:
+                    docs.append(np.cumsum(_unpack(d.as_buffer()).astype(np.int64)))
+                    marks.append(np.frombuffer(m.as_buffer(), dtype="<u8"))
+                    continue
+                if not ready:
+                    doc = np.concatenate([*docs, np.zeros(0, dtype=np.int64)])
+                    by = np.argsort(doc, kind="stable")
+                    doc, mark = doc[by], np.concatenate([*marks, np.zeros(0, dtype=np.uint64)])[by]
+                    docs, marks, ready = [], [], True
+                words = words_of(text.as_py())
+                covered = list(spans.get(i, ()))
+                a, b = np.searchsorted(doc, [i, i + 1]) if i != NO_ID else (np.searchsorted(doc, i), len(doc))
+                if b > a:
+                    covered.append(intervals(np.flatnonzero(np.isin(window_hashes(words, window), mark[a:b])), window))
+                if not covered:
+                    out.append((None if i == NO_ID else i, len(words), 0, hashlib.sha256(kept := b" ".join(words)).hexdigest(), [], kept.decode("utf-8", "replace")))
+                    continue
+                delta = np.zeros(len(words) + 1, dtype=np.int64)
+                for s in covered:
+                    np.add.at(delta, s[:, 0], 1)
+                    np.add.at(delta, s[:, 1], -1)
+                gone = np.cumsum(delta[:-1]) > 0
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+                kept = b" ".join([words[k] for k in np.flatnonzero(~gone)])
+                out.append((None if i == NO_ID else i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), edges.tolist(), kept.decode("utf-8", "replace")))
             if out:
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.string()]
@@ -207,9 +247,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = (
         rows.mapInArrow(_map(window, buckets), _MAPPED)
-        .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, _MARKED)
+        .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(buckets), _MARKED)
     )
-    texts = rows.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("marks"), "text")
+    known = F.coalesce("doc_id", F.lit(int(NO_ID)))
+    none = F.lit(None).cast("binary")
+    texts = rows.select(F.pmod(F.xxhash64(known), F.lit(buckets)).cast("int").alias("slot"), F.lit(2).alias("kind"), known.alias("doc_id"), none.alias("docs"), none.alias("marks"), "text")
     every = marks.withColumn("text", F.lit(None).cast("string")).union(texts)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<int>, kept_text string"
-    return every.repartition(n, "doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(_merge(window), schema)
+    return every.repartition(n, "slot").sortWithinPartitions("slot", "kind").mapInArrow(_merge(window), schema)
