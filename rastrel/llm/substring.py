@@ -150,7 +150,7 @@ def _count(slots: int):
         by = np.lexsort((flat, doc, slot))
         flat, doc, slot = flat[by], doc[by], slot[by]
         cuts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, dtype=np.int64)
-        ends = np.append(cuts[1:], len(slot))
+        ends = np.append(cuts[1:], len(slot))[: len(cuts)]
         rows = [{"slot": int(slot[a]), "kind": 1, "docs": _pack(np.diff(doc[a:b], prepend=np.int64(0))), "marks": flat[a:b].astype("<u8").tobytes()} for a, b in zip(cuts, ends, strict=True)]
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
