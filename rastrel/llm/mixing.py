@@ -53,9 +53,9 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float], rest: float, epo
     for name, w in weights.items():
         weight = F.when(F.col("mix_source") == name, F.lit(float(w))).otherwise(weight)
     counts = counts.withColumn("weight", weight)
-    total = counts.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weights"))
-    return counts.crossJoin(F.broadcast(total)).select(  # a one-row total
-        "mix_source", "n", F.expr("CASE WHEN weights > 0 THEN weight / weights * rows * {0}D / n ELSE 0D END".format(epochs)).alias("rate")
+    # totals over a handful of rows
+    return counts.selectExpr("mix_source", "n", "sum(n) OVER () AS rows", "sum(weight) OVER () AS weights", "weight").select(
+        "mix_source", "n", F.expr(f"CASE WHEN weights > 0 THEN weight / weights * rows * {float(epochs)}D / n ELSE 0D END").alias("rate")
     )
 
 
