@@ -1,9 +1,9 @@
 """Near-duplicate embeddings: exact threshold pairs by dual traversal of cover trees.
 
 Equal vectors are one point with a count. The top level of the tree is a bounded set of pivots; each
-point belongs to its nearest, cells larger than a block are cut into blocks, and pairs of blocks
-whose covering bounds admit a close pair go to a task each, which builds both trees and walks them
-together. Tasks return sums and a spanning forest for each point, never the pairs. The number of
+point belongs to its nearest, cells larger than a block are cut into blocks, each of which builds its tree
+once. Pairs of blocks whose covering bounds admit a close pair go to a task each, which walks both
+trees together. Tasks return sums and a spanning forest for each point, never the pairs. The number of
 block pairs is quadratic where bounds don't prune, as exact search in many dimensions is.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rastrel.llm.common import checkpoint, partitions, prepare
 from rastrel.llm.components import connected_components
-from rastrel.llm.covertree import CoverTree, close_pairs
+from rastrel.llm.covertree import CoverTree, build, close_pairs
 from rastrel.llm.simhash import _roots
 
 COSINE = 0.95
@@ -54,16 +54,32 @@ def _assign(pivots: np.ndarray, blocks: int):
     return run
 
 
+_TREE = "point long, count long, vector array<double>, cell int, block int, place int, starts array<boolean>"
+
+
+def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The tree of one block: its points as unit vectors, in the order of the tree."""
+    rows = rows.sort_values("point", kind="stable")
+    unit = _unit(rows["vector"])
+    order, starts = build(unit)
+    rows = rows.iloc[order]
+    return pd.DataFrame({
+        "point": rows["point"], "count": rows["count"], "vector": unit[order].tolist(), "cell": rows["cell"], "block": rows["block"],
+        "place": np.arange(len(rows)), "starts": starts.tolist(),
+    })
+
+
 def _pair_links(cosine: float, distance: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["block", "point"], kind="stable")
+        rows = rows.sort_values(["block", "place"], kind="stable")
         blocks = rows["block"].to_numpy()
         point, count = rows["point"].to_numpy(), rows["count"].to_numpy()
-        unit = _unit(rows["vector"])
+        unit = np.vstack(rows["vector"].to_numpy())
+        starts = np.vstack(rows["starts"].to_numpy()).astype(bool)
         cut = int(np.searchsorted(blocks, blocks[0], "right"))
         own = int(key[0]) == int(key[1])
-        a = CoverTree(unit[:cut])
-        b = a if own else CoverTree(unit[cut:])
+        a = CoverTree(unit[:cut], starts[:cut])
+        b = a if own else CoverTree(unit[cut:], starts[cut:])
         shift = 0 if own else cut
         links = np.zeros(len(rows), dtype=np.int64)
         low = np.arange(len(rows))
@@ -158,10 +174,11 @@ def _linked(points: DataFrame, n: int, cosine: float) -> DataFrame:
     cell_rows = spark.createDataFrame([(c, blocks[c][0], blocks[c][1]) for c in blocks], "cell int, start int, many int")
     meet_rows = spark.createDataFrame([(x, blocks[y][0], blocks[y][1]) for x, y in meets], "cell int, other_start int, other_many int")
     placed = dealt.join(F.broadcast(cell_rows), "cell").withColumn("block", (F.col("start") + F.pmod("code", F.col("many"))).cast("int"))  # at most MAX_PIVOTS rows
-    sent = placed.join(F.broadcast(meet_rows), "cell").select(  # at most MAX_PIVOTS^2 rows
-        "point", "count", "vector", "block", F.explode(F.sequence(F.col("other_start"), F.col("other_start") + F.col("other_many") - 1)).alias("other")
+    trees = checkpoint(placed.select("point", "count", "vector", "cell", "block").groupBy("block").applyInPandas(_build, _TREE))
+    sent = trees.join(F.broadcast(meet_rows), "cell").select(  # at most MAX_PIVOTS^2 rows
+        "point", "count", "vector", "block", "place", "starts", F.explode(F.sequence(F.col("other_start"), F.col("other_start") + F.col("other_many") - 1)).alias("other")
     )
-    sent = sent.select("point", "count", "vector", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    sent = sent.select("point", "count", "vector", "block", "place", "starts", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     return (
         sent.repartition(max(partitions(spark), 1), "x", "y").groupBy("x", "y")
         .applyInPandas(_pair_links(cosine, distance), "point long, links long, root long")
