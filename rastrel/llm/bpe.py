@@ -4,8 +4,8 @@ Encoding: a piece of text starts as one row for each byte, (piece, pos, tok). A
 joins neighbouring rows with the merge table, contracts each piece's leftmost pair of minimum rank,
 and ends when no pair is in the table. Decoding: token rows join the vocabulary, and an ordered
 aggregation puts the bytes together. Pieces are those that the vocabulary's split pattern makes; a
-piece that is a token as a whole is that token, as in the tiktoken library. Each worker keeps the
-pieces that it has met in a cache of bounded size, so a word is encoded about once.
+piece that is a token as a whole is that token, as in the tiktoken library. Each task keeps the
+pieces that it has met in a cache of bounded size, so a word is seldom encoded twice.
 """
 
 from __future__ import annotations
@@ -22,16 +22,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import prepare
+from rastrel.llm.common import prepare, release
 
 #: Bytes of pieces in one recursive query; pieces beyond LONG bytes go through LONG_SQL.
-QUERY_BYTES, LONG = 600_000, 200
+QUERY_BYTES, LONG = 400_000, 200
 #: The cache of a worker is emptied beyond so many pieces of text.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 250_000
 #: White space at an end or beside other white space, \x1c-\x1f included; as RE2 writes it.
 UNEVEN = r"(^[\s\x0b\x1c-\x1f\x85\p{Z}])|([\s\x0b\x1c-\x1f\x85\p{Z}]$)|([\s\x0b\x1c-\x1f\x85\p{Z}]{2})|(^$)"
 #: Documents are taken up to so many bytes at a time.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 4_000_000
 #: Put between strings to split them in one go.
 BREAK = "\u2028"
 
@@ -103,7 +103,7 @@ class Codec:
                     for x in (a, b):
                         lowest[x] = min(rank, lowest.get(x, rank))
         self.octets = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": True})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": True})
         pairs = (np.array(left, dtype=np.int64) << 32) | np.array(right, dtype=np.int64)
         lasting = np.array([lowest.get(m, m + 1) > m for m in merged], dtype=bool)
         self._fill("merges", pa.table({"pair": pairs, "ranked": np.array(merged, dtype=np.int64) << 32, "lasting": lasting}))
@@ -230,6 +230,7 @@ class Codec:
         names = pieces.dictionary.to_pylist()
         if len(self.known) > CACHE_PIECES:
             self.forget()
+            release()
         new = sorted(p for p in names if p not in self.known)
         if new:
             self._learn(new)
@@ -291,6 +292,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                     [batch.column(0).slice(start, n), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                     names=["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"],
                 )
+        c.forget()  # the next task may be another operator's
+        release()
 
     schema = "doc_id long, n_tokens long, token_ids binary, ids_sha256 string, decoded_sha256 string"
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,23 @@ def partitions(spark: SparkSession) -> int:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def thin(rows: DataFrame, code: Column, keep: int) -> DataFrame:
+    """About 4 * keep rows or all if there are fewer, chosen by their hash alone.
+
+    For fitting on a bounded sample: what is then sorted and sent to the driver stays small however
+    many tasks read the table.
+    """
+    step = max(1, rows.count() // (4 * keep))
+    return rows.where(F.pmod(code, F.lit(step)) == 0) if step > 1 else rows
+
+
+def release() -> None:
+    """Give memory that this Python worker no longer uses back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastrel.llm.boosting import BoostedTrees, Isotonic
-from rastrel.llm.common import checkpoint, prepare
+from rastrel.llm.common import checkpoint, prepare, release, thin
 
 #: Labelled rows that the model is fitted on at most, of each label; lexicon entries at most.
 SAMPLE_ROWS, LEXICON = 6_000, 4_000
@@ -144,7 +144,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(text, y) of up to `rows` labelled rows of each label, the first in the order of a hash of the id."""
     ids = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & training_rows(labels)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     order = F.xxhash64("doc_id")
-    picked = [ids.where(F.col("y") == y).orderBy(order, "doc_id").limit(rows) for y in (0, 1)]
+    picked = [thin(ids.where(F.col("y") == y), order, rows).orderBy(order, "doc_id").limit(rows) for y in (0, 1)]
     few = picked[0].union(picked[1])
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "y")  # at most 2 * rows ids
 
@@ -239,7 +239,11 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(model.score(batch.column(1).to_pylist()))], names=["doc_id", "score"])
+            for a in range(0, len(batch), 1000):
+                part = batch.slice(a, 1000)
+                yield pa.record_batch([part.column(0), pa.array(model.score(part.column(1).to_pylist()))], names=["doc_id", "score"])
+        model.features = None
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -251,6 +255,10 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.score(batch.column(at).to_pylist()) < threshold))
+            for a in range(0, len(batch), 1000):
+                part = batch.slice(a, 1000)
+                yield part.filter(pa.array(model.score(part.column(at).to_pylist()) < threshold))
+        model.features = None
+        release()
 
     return docs.mapInArrow(run, docs.schema)
