@@ -34,7 +34,7 @@ FROM {src} GROUP BY ROLLUP(codec)""")
 PERCENTILES = Operator("SELECT codec, " + ", ".join(f"MAX(CASE WHEN rank = CAST(FLOOR(n * {d(q / 100)}) AS BIGINT) + 1 THEN p_norm END) AS p{q}" for q in (5, 10, 50, 90, 95))
                        + " FROM (SELECT codec, p_norm, ROW_NUMBER() OVER (PARTITION BY codec ORDER BY p_norm) AS rank, COUNT(*) OVER (PARTITION BY codec) AS n FROM {src}) GROUP BY codec")
 SPEED_SUMMARY = Operator("""
-SELECT image, COUNT(*) AS runs, MIN(speed) AS low, MAX(speed) AS high, ROUND(CASE WHEN COUNT(*) = 1 THEN MAX(speed) ELSE EXP(SUM(CASE WHEN rank > 1 THEN LN(speed) ELSE 0D END) / (COUNT(*) - 1)) END, 3) AS central FROM (
+SELECT image, COUNT(*) AS runs, MIN(speed) AS low, MAX(speed) AS high, ROUND(CASE WHEN COUNT(*) = 1 THEN MAX(speed) ELSE EXP(SUM(CASE WHEN rank > 1 THEN LN(speed) ELSE 0D END) / (COUNT(*) - 1)) + 1e-7D END, 3) AS central FROM (
   SELECT image, speed, ROW_NUMBER() OVER (PARTITION BY image ORDER BY speed, bytes) AS rank FROM (SELECT image, bytes, pixels / bytes AS speed FROM {src})) GROUP BY image""")
 DISTINCT_COLOURS = Operator("SELECT image_id, COUNT(*) AS colours FROM (SELECT DISTINCT image_id, v0 DIV 32 AS a, v1 DIV 32 AS b, v2 DIV 32 AS c FROM {src}) GROUP BY image_id")
 
