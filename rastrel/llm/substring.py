@@ -103,7 +103,7 @@ def _map(window: int, buckets: int):
         local = np.lexsort((at[again], row[again]))
         rows, starts = row[again][local], at[again][local]
         cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, dtype=np.int64)
-        for a, b in zip(cuts, np.append(cuts[1:], len(rows)), strict=True):
+        for a, b in zip(cuts, np.append(cuts[1:], len(rows))[: len(cuts)], strict=True):
             yield {"bucket": int(doc[rows[a]] % buckets), "doc_id": int(doc[rows[a]]), "marks": intervals(starts[a:b], window).astype("<i8").tobytes()}
         flat, first = flat[head], doc[row[head]]
         to = ((flat >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
