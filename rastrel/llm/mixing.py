@@ -20,6 +20,7 @@ from rastrel.llm.common import partitions
 BITS = 13
 #: Rates above this are cut into equal parts whose counts add up, so that exp(-rate) stays a normal number.
 MAX_RATE = 30.0
+ADDED = ("mix_rate", "mix_copies", "mix_copy", "mix_key")
 
 
 def uniform(*parts: Column) -> Column:
@@ -68,8 +69,8 @@ def mix(
     weights names the sources; all others together, null sources with them, have the weight rest.
     Weights are relative. A source without rows leaves its share to the others. mix_copy counts a
     row's copies from 0. mix_key is the hash that orders the shuffle. Null ids draw as the empty
-    string; repeated rows draw equal counts; an empty table gives no rows; docs may have further
-    columns, but none with the names that are added.
+    string; repeated rows draw equal counts; an empty table gives no rows; further
+    columns of docs come along, but for those with the names that are added, which are replaced.
     """
     if any(not math.isfinite(w) or w < 0 for w in [*weights.values(), rest, epochs]):
         raise ValueError("weights and epochs must be finite and not negative")
@@ -80,8 +81,10 @@ def mix(
     cut = F.least(F.col("rate") / F.col("mix_parts"), F.lit(MAX_RATE))
     table = rates.withColumn("mix_parts", parts).withColumn("mix_cdf", poisson_cdf(cut, int(MAX_RATE + 12 * math.sqrt(MAX_RATE))))
     # bounded by the number of named sources
-    joined = docs.withColumn("mix_source", key).join(F.broadcast(table), "mix_source")
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.struct(*kept).alias("mix_row"), F.col(id_col).alias("mix_id"), key.alias("mix_source"))  # no other name can clash
+    joined = rows.join(F.broadcast(table), "mix_source")
+    ident = F.coalesce(F.col("mix_id").cast("string"), F.lit(""))
 
     def draw(part: Column) -> Column:
         u = uniform(F.lit(str(seed)), ident, part.cast("string"))
@@ -91,7 +94,7 @@ def mix(
     counted = joined.withColumn("mix_copies", count).where("mix_copies > 0")
     out = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col("mix_copy").cast("string")).cast("binary")))
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("rate").alias("mix_rate"), "mix_copies", "mix_copy", "mix_key")
+    out = out.select("mix_row.*", F.col("rate").alias("mix_rate"), "mix_copies", "mix_copy", "mix_key")
     if shuffle:
         # a hash decides the partition and orders it: together a uniform permutation, without a sampling pass
         out = out.repartition(partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")

@@ -195,7 +195,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeats of the same text among them.
     """
     parts = near_duplicate_components(docs, id_col, text_col)
-    gone = parts.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("near_gone_id")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("near_gone_id"), "left_anti")
+    own = max(docs.columns, key=len) + "_near"  # a name that docs does not have
+    gone = parts.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    left = docs.join(gone, F.col(id_col) == F.col(own), "left_anti")
     key = F.when(F.col(id_col).isNull(), F.md5(text_or_empty(text_col).cast("binary")))
-    return left.withColumn("near_null_key", key).dropDuplicates([id_col, "near_null_key"]).drop("near_null_key")
+    return left.withColumn(own, key).dropDuplicates([id_col, own]).drop(own)
