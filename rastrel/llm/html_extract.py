@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastrel.llm.bilstm import BiLstm, pad
-from rastrel.llm.common import prepare
+from rastrel.llm.common import prepare, thin
 
 #: Own pages that the labeller learns from at most, their size in characters at most, and written ones.
 SAMPLE_PAGES, SAMPLE_CHARS, PRACTICE = 96, 60_000, 256
@@ -220,7 +220,8 @@ def practice_pages(n: int, seed: int = 11) -> list[tuple[str, list[bool]]]:
 def learn(pages: DataFrame, html_col: str = "html", seed: int = 7) -> BiLstm:
     """Fit the labeller. Of the table, the SAMPLE_PAGES first pages in the order of a hash, none over SAMPLE_CHARS, take part."""
     page = F.col(html_col)
-    own = pages.where(F.octet_length(page) <= SAMPLE_CHARS).select(page.alias("html")).orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
+    fit = pages.where(F.octet_length(page) <= SAMPLE_CHARS).select(page.alias("html"))
+    own = thin(fit, F.xxhash64("html"), SAMPLE_PAGES).orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
     data = []
     for text, label in [*practice_pages(PRACTICE), *[(r["html"], None) for r in own]]:
         blocks = leaves(text)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import prepare
+from rastrel.llm.common import prepare, thin
 from rastrel.llm.semicrf import Segment, SemiCrf
 
 KINDS = ("email", "ip", "card", "phone")
@@ -225,9 +225,9 @@ def practice(n: int, seed: int = 23) -> list[tuple[str, list[Span]]]:
 def learn(docs: DataFrame, text_col: str = "text") -> SemiCrf:
     """Fit on practice texts and on regions of the first SAMPLE_REGIONS documents, in the order of a hash, that have marks."""
     text = F.col(text_col)
-    own = docs.where(text.rlike("[0-9@]")).select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_REGIONS).select(
-        F.regexp_extract_all(F.col("text"), F.lit(r"((?:^|\s)(?:\S{0,80}[0-9@]\S{0,80}\s?){1,8})"), 1)[0].alias("text")
-    ).collect()
+    around = F.regexp_extract_all(F.col("text"), F.lit(r"((?:^|\s)(?:\S{0,80}[0-9@]\S{0,80}\s?){1,8})"), 1)[0]
+    marked = docs.where(text.rlike("[0-9@]")).select(text.alias("text"))
+    own = thin(marked, F.xxhash64("text"), SAMPLE_REGIONS).select(around.alias("text"), F.xxhash64("text").alias("code")).orderBy("code", "text").limit(SAMPLE_REGIONS).collect()
     lessons = [_lesson(t, g, a, b) for t, g in practice(PRACTICE) for a, b in regions(t)]
     for r in own:
         t = " " + (r["text"] or "") + " "
