@@ -121,8 +121,14 @@ SELECT image_id, y, x, {', '.join(f'ROUND((mix * l + (1D - mix) * {n}) / GREATES
     SELECT *, LEAST(r, g, b) AS low, GREATEST(r, g, b) AS top, {_LUMINANCE} AS l FROM (SELECT image_id, y, x, r * 1.5D - 0.2D AS r, g * 1.5D - 0.2D AS g, b * 1.5D - 0.2D AS b FROM {{src}})))""")
 ALPHA_FLATTEN = Operator("SELECT image_id, y, x, ROUND(r * b + 0.5D * (1D - b), 6) AS r, ROUND(g * b + 0.5D * (1D - b), 6) AS g FROM {src}")
 PREMULTIPLY = Operator("SELECT image_id, y, x, ROUND(r * GREATEST(b, 1e-6D), 6) AS premultiplied, ROUND(r * GREATEST(b, 1e-6D) / GREATEST(b, 1e-6D), 6) AS straight FROM {src}")
-SPOT_COLOUR = Operator("SELECT image_id, y, x, ROUND(0.8D * b * 0.9D + (1D - 0.8D * b) * r, 6) AS r, ROUND(0.8D * b * 0.1D + (1D - 0.8D * b) * g, 6) AS g FROM {src}")
-SHAPE_RANGE = Operator("""SELECT image_id, y, x, v, CASE WHEN v >= 60D THEN 60D + 0.724D * (v - 60D) WHEN v < -60D THEN -60D + 0.724D * (v + 60D) ELSE v * 1D END AS clamped,
+
+
+def spot_colour(colour: tuple[float, float, float], solidity: float, coverage: str = "b") -> Operator:
+    """A spot colour over the image where another channel says how much of it there is."""
+    return Operator(f"SELECT image_id, y, x, {', '.join(f'ROUND({d(solidity)} * {coverage} * {d(v)} + (1D - {d(solidity)} * {coverage}) * {n}, 6) AS {n}' for n, v in zip('rgb', colour, strict=True))} FROM {{src}}")
+
+
+SHAPE_RANGE = Operator("""SELECT image_id, y, x, v, CASE WHEN v >= 60D THEN 60D + 0.724216145665D * (v - 60D) WHEN v < -60D THEN -60D + 0.724216145665D * (v + 60D) ELSE v * 1D END AS clamped,
   CASE WHEN v > 10D THEN v - 10D WHEN v < -10D THEN v + 10D ELSE 0D END AS removed, CASE WHEN v > 10D THEN v + 10D WHEN v < -10D THEN v - 10D ELSE 2D * v END AS amplified FROM {src}""")
 CHANNEL_QUANTISE = Operator("SELECT image_id, y, x, CASE WHEN v < 0 THEN -((-v + 2) DIV 5) ELSE (v + 2) DIV 5 END * 5 AS v FROM {src}")
 EXTERNAL = Operator("SELECT image_id, y, x, CAST(FLOOR(r * 255D + 0.5D) AS BIGINT) AS v8, CAST(FLOOR(r * 65535D + 0.5D) AS BIGINT) AS v16 FROM {src}")
@@ -130,7 +136,16 @@ ORIENT = Operator("""
 SELECT image_id, o.o AS orientation, CASE WHEN o.o IN (1, 2) THEN y WHEN o.o IN (3, 4) THEN 7 - y WHEN o.o IN (5, 6) THEN x ELSE 7 - x END AS y,
   CASE WHEN o.o IN (1, 4) THEN x WHEN o.o IN (2, 3) THEN 7 - x WHEN o.o IN (5, 8) THEN y ELSE 7 - y END AS x, v
 FROM {src} JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) o(o) ON o.o = 1 + image_id % 8""")
-NOISE_STRENGTH = Operator("""SELECT image_id, y, x, ROUND(CASE WHEN k >= 7 THEN 0.07D ELSE 0.01D * k + (i - k) * 0.01D END, 6) AS strength FROM (SELECT *, FLOOR(r * 6D) AS k, r * 6D AS i FROM {src})""")
+
+
+def noise_strength(lut: tuple[float, ...]) -> Operator:
+    """Strength of noise at an intensity, by eight points for 0 to 7/6 and straight lines between them."""
+    def point(k: str) -> str:
+        return f"CASE {k} " + " ".join(f"WHEN {i} THEN {d(v)}" for i, v in enumerate(lut)) + " END"
+
+    return Operator(f"""
+SELECT image_id, y, x, ROUND({point('k')} + ({point('(k + 1)')} - {point('k')}) * rest, 6) AS strength FROM (
+  SELECT image_id, y, x, CASE WHEN s >= 7D THEN 6 ELSE CAST(FLOOR(s) AS BIGINT) END AS k, CASE WHEN s >= 7D THEN 1D ELSE s - FLOOR(s) END AS rest FROM (SELECT image_id, y, x, GREATEST(0D, r * 6D) AS s FROM {{src}}))""")
 
 
 def pack(v: str) -> str:

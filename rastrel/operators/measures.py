@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from rastrel.functions.pointwise import LUMA, d, dot
+from rastrel.operators.neighbourhood import blur
 from rastrel.plans.steps import Operator
 
 P_NORM = Operator("""SELECT image_id, ROUND((POWER(AVG(POWER(ABS(a - b), 3D)), """ + d(1 / 3) + """) + POWER(AVG(POWER(ABS(a - b), 6D)), """ + d(1 / 6) + """) + POWER(AVG(POWER(ABS(a - b), 12D)), """ + d(1 / 12) + """)) / 3D, 6) AS p_norm,
@@ -16,16 +17,34 @@ PSNR = Operator("SELECT image_id, ROUND(" + " + ".join(f"{d(w)} * CASE WHEN s{i}
                 + ", 6) AS psnr, ROUND(POWER(" + " + ".join(f"{d(w)} * SQRT(s{i})" for i, w in enumerate((6 / 8, 1 / 8, 1 / 8))) + ", 2D), 6) AS distance2 FROM (SELECT image_id, COUNT(*) * 1D AS n, "
                 + ", ".join(f"SUM(POWER({dot(row, _DIFF)}, 2D)) AS s{i}" for i, row in enumerate(_YUV)) + " FROM {src} GROUP BY image_id)")
 _C2 = d(0.0009)
+#: Means of both images, their squares and product; SSIM and EDGE_DIFF take its rows.
+BLURRED = blur({"ma": "a", "mb": "b", "aa": "a * a", "bb": "b * b", "ab": "a * b"}, 1.5, 4)
 SSIM = Operator(f"""
 SELECT image_id, ROUND(AVG(e), 6) AS mean, ROUND(POWER(AVG(POWER(e, 4D)), 0.25D), 6) AS norm4 FROM (
-  SELECT image_id, GREATEST(0D, 1D - (1D - (ma - mb) * (ma - mb)) * (2D * (ab - ma * mb) + {_C2}) / ((aa - ma * ma) + (bb - mb * mb) + {_C2})) AS e FROM (
-    SELECT image_id, y DIV 4 AS cy, x DIV 4 AS cx, AVG(a) AS ma, AVG(b) AS mb, AVG(a * a) AS aa, AVG(b * b) AS bb, AVG(a * b) AS ab FROM {{src}} GROUP BY image_id, y DIV 4, x DIV 4))
+  SELECT image_id, GREATEST(0D, 1D - (1D - (ma - mb) * (ma - mb)) * (2D * (ab - ma * mb) + {_C2}) / ((aa - ma * ma) + (bb - mb * mb) + {_C2})) AS e FROM {{src}})
 GROUP BY image_id""")
 EDGE_DIFF = Operator("""
 SELECT image_id, ROUND(AVG(GREATEST(e, 0D)), 6) AS artifact, ROUND(POWER(AVG(POWER(GREATEST(e, 0D), 4D)), 0.25D), 6) AS artifact4, ROUND(AVG(GREATEST(-e, 0D)), 6) AS lost, ROUND(POWER(AVG(POWER(GREATEST(-e, 0D), 4D)), 0.25D), 6) AS lost4 FROM (
-  SELECT image_id, (1D + ABS(b - mb)) / (1D + ABS(a - ma)) - 1D AS e FROM (SELECT *, AVG(a) OVER w AS ma, AVG(b) OVER w AS mb FROM {src} WINDOW w AS (PARTITION BY image_id, y DIV 4, x DIV 4))) GROUP BY image_id""")
+  SELECT image_id, (1D + ABS(b - mb)) / (1D + ABS(a - ma)) - 1D AS e FROM {src}) GROUP BY image_id""")
 BLOCK_L2 = Operator("SELECT image_id, y DIV 4 AS by, x DIV 4 AS bx, ROUND(12.34D * SUM(POWER(r1 - r2, 2D)) + SUM(POWER(g1 - g2, 2D)) + 0.2D * SUM(POWER(b1 - b2, 2D)), 6) AS l2 FROM {src} GROUP BY image_id, y DIV 4, x DIV 4")
-TILE_16NORM = Operator("SELECT image_id, y DIV 4 AS ty, x DIV 4 AS tx, ROUND(1.2D * POWER(AVG(POWER(ABS(a - b), 16D)), 0.0625D), 6) AS norm FROM {src} GROUP BY image_id, y DIV 4, x DIV 4")
+
+
+def tile_16norm(tile: int, margin: int) -> Operator:
+    """16-norm of a difference map by tile and a margin around it, whose outermost rows and columns weigh less."""
+    def pick(axis: str) -> tuple[str, str, str]:
+        t = f"({axis} DIV {tile} + n{axis}.k)"
+        return t, f"GREATEST(0, {t} * {tile} - {margin})", f"LEAST(side{axis}, {t} * {tile} + {tile + margin})"
+
+    (ty, y0, y1), (tx, x0, x1) = pick("y"), pick("x")
+    border = lambda axis, lo, hi: f"CASE WHEN {margin} > 0 AND ({axis} = {lo} OR {axis} = {hi} - 1) THEN 1 ELSE 0 END"
+    return Operator(f"""
+SELECT image_id, ty, tx, ROUND(1.2D * POWER(SUM(m * POWER(diff, 16D)) / SUM(m), 0.0625D), 6) AS norm FROM (
+  SELECT image_id, diff, {ty} AS ty, {tx} AS tx, CASE {border('y', y0, y1)} + {border('x', x0, x1)} WHEN 0 THEN 1D WHEN 1 THEN 0.98D ELSE 0.7D END AS m FROM (
+    SELECT image_id, y, x, ABS(a - b) AS diff, MAX(y) OVER (PARTITION BY image_id) + 1 AS sidey, MAX(x) OVER (PARTITION BY image_id) + 1 AS sidex FROM {{src}})
+  CROSS JOIN (VALUES (-1), (0), (1)) ny(k) CROSS JOIN (VALUES (-1), (0), (1)) nx(k)
+  WHERE {ty} >= 0 AND {tx} >= 0 AND {ty} * {tile} < sidey AND {tx} * {tile} < sidex AND y >= {y0} AND y < {y1} AND x >= {x0} AND x < {x1}) GROUP BY image_id, ty, tx""")
+
+
 MINMAX_STATS = Operator("SELECT image_id, MIN(v) AS low, MAX(v) AS high, MIN_BY(y * 8 + x, v * 64 + y * 8 + x) AS at_low, MAX_BY(y * 8 + x, v * 64 + y * 8 + x) AS at_high, ROUND(AVG(v), 6) AS mean, ROUND(AVG(v * v * 1D) - AVG(v) * AVG(v), 4) AS variance FROM {src} GROUP BY image_id")
 IMAGE_INFO = Operator("SELECT image_id, MAX(x) + 1 AS width, MAX(y) + 1 AS height, COUNT(DISTINCT c) AS channels, COUNT(*) AS samples FROM {src} GROUP BY image_id")
 BENCH_ROLLUP = Operator("""
@@ -40,7 +59,10 @@ DISTINCT_COLOURS = Operator("SELECT image_id, COUNT(*) AS colours FROM (SELECT D
 
 PALETTE = Operator("SELECT image_id, v, DENSE_RANK() OVER (PARTITION BY image_id ORDER BY v) - 1 AS idx, COUNT(*) AS n FROM {src} GROUP BY image_id, v")
 PALETTE_INDEX = Operator("SELECT p.image_id, p.y, p.x, q.idx, q.v AS expanded FROM {src} p JOIN {palette} q ON q.image_id = p.image_id AND q.v = p.v")
-PALETTE_ORDER = Operator("SELECT image_id, v, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY CASE WHEN n > 4 THEN -v ELSE v END, v) AS place FROM {src}")
+#: Colours of each image by how often they occur; common ones first, from bright to dark, then the others from dark to bright.
+PALETTE_ORDER = Operator(f"""
+SELECT image_id, v0, v1, v2, n, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY CASE WHEN n > 4 THEN -luma ELSE luma END, v0, v1, v2) - 1 AS place FROM (
+  SELECT *, {dot(LUMA, ('v0', 'v1', 'v2'))} + 0.1D AS luma FROM (SELECT image_id, v0, v1, v2, COUNT(*) AS n FROM (SELECT image_id, v0 DIV 64 AS v0, v1 DIV 64 AS v1, v2 DIV 64 AS v2 FROM {{src}}) GROUP BY image_id, v0, v1, v2))""")
 #: The nearest of eight levels spread over each image's own range.
 PALETTE_NEAREST = Operator("""
 SELECT p.image_id, p.y, p.x, MIN_BY(k.k, ABS(p.v - q.low - k.k * (q.high - q.low) DIV 7) * 10 + k.k) AS idx FROM {src} p

@@ -41,17 +41,33 @@ CONTEXT = Operator("SELECT image_id, label, ctx, packed FROM (SELECT image_id, l
                    + f" AS ctx, {pack(f'(v - {_GRADIENT})')} AS packed FROM {{src}})")
 
 
-def _mirror(x: str, size: int = 8) -> str:
-    return f"CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} >= {size} THEN {2 * size - 1} - ({x}) ELSE {x} END"
+def shifted(column: str, by: int, window: str) -> str:
+    """The column's value so many places further along a named window; beyond the border it is mirrored, the edge included.
 
+    Images that are smaller than the reach take their own value where even the mirror ends.
+    """
+    if not by:
+        return column
+    ahead, back, n = ("LEAD", "LAG", by) if by > 0 else ("LAG", "LEAD", -by)
 
-def convolve(kernel: dict[tuple[int, int], float], size: int = 8, value: str = "v") -> Operator:
-    """Weighted sum over offsets (dy, dx): every pixel is sent to the places that it takes part in, then one aggregation by image."""
-    rows = ", ".join(f"({dy}, {dx}, {d(w)})" for (dy, dx), w in sorted(kernel.items()))
+    def at(k: int) -> str:
+        return column if not k else f"{ahead if k > 0 else back}({column}, {abs(k)}) OVER {window}"
+
+    short = [f"WHEN {at(j)} IS NOT NULL THEN {at(2 * j + 1 - n)}" for j in range(n - 1, 0, -1)]  # j places are left before the border
+    rest = f"CASE {' '.join(short)} ELSE {at(1 - n)} END" if short else at(1 - n)
+    return f"COALESCE({at(n)}, {rest}, {column})"
+
+
+def convolve(kernel: dict[tuple[int, int], float], value: str = "v") -> Operator:
+    """Weighted sum over offsets (dy, dx) in two window passes: along each column once for every dx, then along rows.
+
+    A pixel stays one row throughout, whatever the kernel's size, and images may have any size.
+    """
+    across = sorted({dx for _, dx in kernel})
+    columns = ", ".join("(" + " + ".join(f"{d(w)} * {shifted(value, dy, 'k')}" for (dy, a), w in sorted(kernel.items()) if a == dx) + f") AS u{i}" for i, dx in enumerate(across))
     return Operator(f"""
-SELECT t.image_id, t.c, t.y, t.x, ROUND(SUM(s.{value} * t.weight), 6) AS v FROM (
-  SELECT p.image_id, p.c, p.y, p.x, k.weight, {_mirror('p.y + k.dy', size)} AS sy, {_mirror('p.x + k.dx', size)} AS sx FROM {{src}} p CROSS JOIN (VALUES {rows}) k(dy, dx, weight)) t
-JOIN {{src}} s ON s.image_id = t.image_id AND s.c = t.c AND s.y = t.sy AND s.x = t.sx GROUP BY t.image_id, t.c, t.y, t.x""")
+SELECT image_id, c, y, x, ROUND({' + '.join(shifted(f'u{i}', dx, 'r') for i, dx in enumerate(across))}, 6) + 0D AS v FROM (
+  SELECT image_id, c, y, x, {columns} FROM {{src}} WINDOW {_COLUMNS}) WINDOW {_ROWS}""")
 
 
 def ring(weights: dict[tuple[int, int], float], normalise: bool = True) -> dict[tuple[int, int], float]:
@@ -99,18 +115,91 @@ DOWNSAMPLE_MEAN = Operator("SELECT image_id, c, y DIV 3 AS y, x DIV 3 AS x, ROUN
 DOWNSAMPLE_EDGE = Operator("""
 SELECT image_id, c, y DIV 3 AS y, x DIV 3 AS x, ROUND(SUM(v * (CASE WHEN y = 7 THEN 2D ELSE 1D END) * (CASE WHEN x = 7 THEN 2D ELSE 1D END)) / 9D, 6) AS v FROM {src} GROUP BY image_id, c, y DIV 3, x DIV 3""")
 MAX_LOG = Operator("SELECT image_id, y DIV 4 AS y, x DIV 4 AS x, ROUND(LOG2(GREATEST(MAX(r), 1e-6D)), 6) AS v FROM {src} GROUP BY image_id, y DIV 4, x DIV 4")
-_OFFSETS3 = "(VALUES " + ", ".join(f"({a}, {b})" for a in (-1, 0, 1) for b in (-1, 0, 1)) + ") o(dy, dx)"
-_AROUND3 = f"""(SELECT p.image_id, p.c, p.y, p.x, p.v AS own, s.v, o.dy, o.dx, ROW_NUMBER() OVER (PARTITION BY p.image_id, p.c, p.y, p.x ORDER BY s.v, o.dy, o.dx) AS rank
-  FROM {{src}} p CROSS JOIN {_OFFSETS3} JOIN {{src}} s ON s.image_id = p.image_id AND s.c = p.c AND s.y = LEAST(7, GREATEST(0, p.y + o.dy)) AND s.x = LEAST(7, GREATEST(0, p.x + o.dx)))"""
-#: The four smallest of a clamped 3x3 neighbourhood, weighted, and halved in size.
-FUZZY_EROSION = Operator(f"""
-SELECT image_id, c, y DIV 2 AS y, x DIV 2 AS x, ROUND(SUM(v) / 4D, 6) AS v FROM (
-  SELECT image_id, c, y, x, SUM(v * CASE rank WHEN 1 THEN 0.125D WHEN 2 THEN 0.075D WHEN 3 THEN 0.06D ELSE 0.05D END) AS v FROM {_AROUND3} WHERE rank <= 4 GROUP BY image_id, c, y, x)
+_AROUND3 = f"""(SELECT image_id, c, y, x, v, {', '.join(f"{shifted(n, k, 'r')} AS {n}{k + 1}" for n in 'tvb' for k in (-1, 0, 1))} FROM (
+  SELECT *, {shifted('v', -1, 'k')} AS t, {shifted('v', 1, 'k')} AS b FROM {{src}} WINDOW {_COLUMNS}) WINDOW {_ROWS})"""
+_NINE = [f"{n}{k}" for n in "tvb" for k in (0, 1, 2)]
+# Weights of the four smallest, what a target below 2 adds to them, and their total.
+EROSION, EROSION_ADD, EROSION_TOTAL = (0.125, 0.1, 0.09, 0.06), (0.0, -0.1, -0.09, -0.06), 0.29959705784054957
+
+
+def fuzzy_erosion(target: float = 1.0) -> Operator:
+    """The four smallest of a clamped 3x3 neighbourhood, weighted for a target distance, and summed to half the size."""
+    weights = [a + max(0.0, (2 - target) / 2) * b for a, b in zip(EROSION, EROSION_ADD, strict=True)]
+    term = " + ".join(f"{d(w * EROSION_TOTAL / sum(weights))} * ELEMENT_AT(low, {i + 1})" for i, w in enumerate(weights))
+    return Operator(f"""
+SELECT image_id, c, y DIV 2 AS y, x DIV 2 AS x, ROUND(SUM({term}), 6) + 0D AS v FROM (SELECT image_id, c, y, x, ARRAY_SORT(ARRAY({', '.join(_NINE)})) AS low FROM {_AROUND3})
 GROUP BY image_id, c, y DIV 2, x DIV 2""")
+
+
 SECOND_SMALLEST_DIFFERENCE = Operator(f"""
-SELECT image_id, c, y, x, v FROM (SELECT image_id, c, y, x, ABS(v - own) AS v, ROW_NUMBER() OVER (PARTITION BY image_id, c, y, x ORDER BY ABS(v - own), dy, dx) AS k FROM {_AROUND3} WHERE dy <> 0 OR dx <> 0) WHERE k = 2""")
+SELECT image_id, c, y, x, ELEMENT_AT(ARRAY_SORT(ARRAY({', '.join(f'ABS({n} - v)' for n in _NINE if n != 'v1')})), 2) AS v FROM {_AROUND3}""")
 CROSS_AGREEMENT = Operator("SELECT image_id, c, y, x, CAST(v = w AND v = n AND w = nw AS INT) AS flat FROM {src}")
 FLAT_CELLS = Operator("SELECT image_id, c, y DIV 4 AS cy, x DIV 4 AS cx, MIN(v) AS low, MAX(v) AS high, CAST(MAX(v) - MIN(v) <= 100 AS INT) AS flat FROM {src} GROUP BY image_id, c, y DIV 4, x DIV 4")
 CROP = Operator("SELECT image_id, c, y - 2 AS y, x - 1 AS x, v FROM {src} WHERE y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 6")
-DC_SMOOTH = Operator("""
-SELECT p.image_id, p.c, p.y, p.x, ROUND(p.v + (s.v - p.v) * GREATEST(0D, 3D - 4D * GREATEST(0.5D, ABS(p.v - s.v) / 16D)), 6) AS v FROM {src} p JOIN {smooth} s ON s.image_id = p.image_id AND s.c = p.c AND s.y = p.y AND s.x = p.x""")
+# Weights beside and diagonal to the centre.
+DC_SIDE, DC_CORNER = 0.20345139757231578, 0.0334829185968739
+_IMAGE_COLUMNS, _IMAGE_ROWS = "k AS (PARTITION BY image_id, x ORDER BY y)", "r AS (PARTITION BY image_id, y ORDER BY x)"
+
+
+def dc_smooth(steps: tuple[float, float, float]) -> Operator:
+    """Channels r, g, b towards their 3x3 mean, the less the more any of them changes in its quantisation step; borders stay."""
+    inner = ", ".join(f"{d(DC_SIDE)} * {n} + {d(DC_CORNER)} * (LAG({n}) OVER k + LEAD({n}) OVER k) AS {n}s, {d(1 - 4 * (DC_SIDE + DC_CORNER))} * {n} + {d(DC_SIDE)} * (LAG({n}) OVER k + LEAD({n}) OVER k) AS {n}m" for n in "rgb")
+    smooth = ", ".join(f"COALESCE({n}m + LAG({n}s) OVER r + LEAD({n}s) OVER r, {n}) AS {n}2" for n in "rgb")
+    gap = ", ".join(f"ABS({n} - {n}2) / {d(s)}" for n, s in zip("rgb", steps, strict=True))
+    return Operator(f"""
+SELECT image_id, y, x, {', '.join(f'ROUND({n} + ({n}2 - {n}) * factor, 6) AS {n}' for n in 'rgb')} FROM (
+  SELECT *, GREATEST(0D, 3D - 4D * GREATEST(0.5D, {gap})) AS factor FROM (
+    SELECT image_id, y, x, r, g, b, {smooth} FROM (SELECT *, {inner} FROM {{src}} WINDOW {_IMAGE_COLUMNS}) WINDOW {_IMAGE_ROWS}))""")
+
+
+# What a filter's strength is divided by, the step's common scale, channel weights, and the block border's share.
+INV_SIGMA, EPF_SCALE, EPF_CHANNELS, EPF_BORDER = -1.1715728752538099, 1.65, (40.0, 5.0, 3.5), 2 / 3
+EPF_STEP_SCALE = (0.9, 1.0, 6.5)
+_PLUS = ((0, 0), (-1, 0), (0, -1), (1, 0), (0, 1))
+
+
+def edge_preserving(step: int, sigma: float) -> Operator:
+    """One of three steps of the edge-preserving filter: neighbours weigh by how alike their surroundings are.
+
+    Step 0 looks at all within two steps of a rook, 1 and 2 at the four beside; surroundings are a plus of five pixels, in step 2 the pixel alone.
+    """
+    reach = 2 if step == 0 else 1
+    offsets = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if 0 < abs(a) + abs(b) <= reach]
+    plus = _PLUS[:1] if step == 2 else _PLUS
+    needed = sorted({(a + p, b + q) for a, b in [(0, 0), *offsets] for p, q in plus})
+
+    def at(n: str, a: int, b: int) -> str:
+        return f"{n}_{a + 3}_{b + 3}"
+
+    down = ", ".join(f"{shifted(n, a, 'k')} AS {n}{a + 3}" for n in "rgb" for a in sorted({a for a, _ in needed}))
+    along = ", ".join(f"{shifted(f'{n}{a + 3}', b, 'r')} AS {at(n, a, b)}" for n in "rgb" for a, b in needed)
+    scale = d(INV_SIGMA / sigma * EPF_SCALE * EPF_STEP_SCALE[step])
+    sads = ", ".join("GREATEST(0D, 1D + strength * (" + " + ".join(f"{d(s)} * ABS({at(n, p, q)} - {at(n, a + p, b + q)})" for n, s in zip("rgb", EPF_CHANNELS, strict=True) for p, q in plus) + f")) AS w{i}" for i, (a, b) in enumerate(offsets))
+    total = " + ".join(f"w{i}" for i in range(len(offsets)))
+    mean = ", ".join(f"ROUND(({at(n, 0, 0)} + " + " + ".join(f"w{i} * {at(n, a, b)}" for i, (a, b) in enumerate(offsets)) + f") / (1D + {total}), 6) AS {n}" for n in "rgb")
+    return Operator(f"""
+SELECT image_id, y, x, {mean} FROM (SELECT *, {sads} FROM (
+  SELECT image_id, y, x, {scale} * CASE WHEN y % 8 IN (0, 7) OR x % 8 IN (0, 7) THEN {d(EPF_BORDER)} ELSE 1D END AS strength, {along} FROM (
+    SELECT image_id, y, x, r, g, b, {down} FROM {{src}} WINDOW {_IMAGE_COLUMNS}) WINDOW {_IMAGE_ROWS}))""")
+
+
+def blur(planes: dict[str, str], sigma: float, radius: int) -> Operator:
+    """Gaussian means of several planes at once (name: expression); what lies beyond the border has no weight."""
+    import math
+
+    weight = {k: math.exp(-k * k / (2 * sigma * sigma)) for k in range(-radius, radius + 1)}
+
+    def mean(n: str, window: str) -> str:
+        at = {k: n if not k else f"{'LEAD' if k > 0 else 'LAG'}({n}, {abs(k)}) OVER {window}" for k in weight}
+        return "(" + " + ".join(f"{d(w)} * COALESCE({at[k]}, 0D)" for k, w in weight.items()) + ") / (" + " + ".join(f"CASE WHEN {at[k]} IS NULL THEN 0D ELSE {d(w)} END" for k, w in weight.items()) + f") AS {n}"
+
+    return Operator(f"""
+SELECT image_id, y, x, a, b, {', '.join(mean(n, 'r') for n in planes)} FROM (
+  SELECT image_id, y, x, a, b, {', '.join(mean(n, 'k') for n in planes)} FROM (SELECT image_id, y, x, a, b, {', '.join(f'{e} AS {n}' for n, e in planes.items())} FROM {{src}}) WINDOW {_IMAGE_COLUMNS}) WINDOW {_IMAGE_ROWS}""")
+
+
+CHROMA_UPSAMPLE_V = Operator(f"""
+SELECT image_id, c, 2 * y + side.s AS y, x, ROUND(0.75D * v + 0.25D * CASE WHEN side.s = 0 THEN v_before ELSE v_after END, 6) AS v
+FROM (SELECT *, {_AROUND.format('v', 'k')} FROM {{src}} WINDOW {_COLUMNS}) CROSS JOIN (VALUES (0), (1)) side(s)""")
+#: A pixel held between the least and the greatest of its 3x3 neighbourhood in another image.
+CLAMP_LOCAL = Operator("SELECT p.image_id, p.c, p.y, p.x, GREATEST(q.lo, LEAST(q.hi, p.v)) AS v FROM {src} p JOIN {range} q ON q.image_id = p.image_id AND q.c = p.c AND q.y = p.y AND q.x = p.x")

@@ -6,7 +6,9 @@ from rastrel.functions import pointwise as P
 from rastrel.operators import entropy as E
 from rastrel.operators import measures as M
 from rastrel.operators import neighbourhood as N
-from rastrel.plans.steps import Operator, Plan
+from rastrel.operators import recurrences as R
+from rastrel.operators import trees as T
+from rastrel.plans.steps import Custom, Operator, Plan
 from rastrel.sources import fixtures as S
 
 _near = N.NEIGHBOURS(S.PIXELS)
@@ -16,6 +18,7 @@ _xyb, _ycbcr = P.XYB(S.LIGHT), P.YCBCR(S.LIGHT)
 _histogram = E.HISTOGRAM(S.CHARACTERS)
 _dct = M.DCT8(S.PIXELS)
 _quantised = M.DEADZONE(_dct)
+_blurred = M.BLURRED(S.PAIRS)
 _palette = M.PALETTE(S.PIXELS)
 _symbols = E.SYMBOLS(S.SIGNALS)
 _qualities = Operator("SELECT DISTINCT (l_partkey % 101) AS q FROM {src}")
@@ -26,6 +29,12 @@ def _rct_costs() -> Plan:
     each = " UNION ALL ".join(P.rct(k).sql.replace("SELECT image_id, y, x, v0, v1, v2,", f"SELECT image_id, {k} AS kind,") for k in range(42))
     return Operator(f"SELECT image_id, MIN_BY(kind, cost * 100 + kind) AS kind, MIN(cost) AS cost FROM (SELECT image_id, kind, CAST(SUM(ABS(w0) + ABS(w1) + ABS(w2)) AS BIGINT) AS cost FROM ({each}) GROUP BY image_id, kind) GROUP BY image_id")(S.RGB)
 
+#: A tree that uses every kind of leaf by the way.
+TREE = """if |N| > 100 if W-NW > 20 - Gradient + 1 if NW-N > -10 - AvgAll - 2 - NE 0
+if W-WW-NW+NWW > 50 - Select 3 if x > 3 - AvgW+N - 1 - Set + 7"""
+_same_pixels = Operator("SELECT image_id, c, y, x, v FROM {src}")(S.PIXELS)
+_sample = Operator(f"SELECT {P.pack('(v - n)')} AS packed, w, n, nw, ne, ww, nn FROM {{src}}")(_near)
+_splits = T.best_split({"W-NW": "(w - nw)", "NW-N": "(nw - n)", "N-NE": "(n - ne)", "N": "n", "W": "w"})
 
 PLANS: dict[str, Plan] = {
     # the cost of lossless coding
@@ -34,29 +43,37 @@ PLANS: dict[str, Plan] = {
     # prediction and neighbourhoods
     "predictor_residual_stats": N.RESIDUAL_STATS(_residuals), "best_predictor": N.BEST_PREDICTOR(_residuals), "ma_properties": N.PROPERTIES(_near), "cross_agreement": N.CROSS_AGREEMENT(_near),
     "conv3x3": N.convolve(N.SMOOTH3)(S.PIXELS), "gaborish": N.convolve(N.GABORISH)(S.PIXELS), "gaborish_inverse": N.convolve(N.GABORISH_INVERSE)(S.PIXELS), "gaussian_blur": N.convolve(N.gaussian(1.2, 2))(S.PIXELS),
-    "laplacian": N.convolve(N.LAPLACIAN)(S.PIXELS), "local_minmax": N.MINMAX(S.PIXELS), "fuzzy_erosion": N.FUZZY_EROSION(S.PIXELS), "second_smallest_difference": N.SECOND_SMALLEST_DIFFERENCE(S.PIXELS),
-    "dc_smoothing": N.DC_SMOOTH(S.PIXELS, smooth=N.convolve(N.SMOOTH3)(S.PIXELS)), "squeeze_h": N.SQUEEZE(S.PIXELS), "squeeze_v": N.TRANSPOSE(N.Operator("SELECT image_id, c, y, x, residual AS v FROM {src}")(N.SQUEEZE(N.TRANSPOSE(S.PIXELS)))),
-    "chroma_upsample_h": N.CHROMA_UPSAMPLE(S.PIXELS), "downsample_box": N.DOWNSAMPLE_MEAN(S.PIXELS), "downsample_edge": N.DOWNSAMPLE_EDGE(S.PIXELS), "max_luminance_log": N.MAX_LOG(S.LIGHT), "flat_cells": N.FLAT_CELLS(S.PIXELS), "crop": N.CROP(S.PIXELS),
+    "laplacian": N.convolve(N.LAPLACIAN)(S.PIXELS), "local_minmax": N.MINMAX(S.PIXELS), "fuzzy_erosion": N.fuzzy_erosion()(S.PIXELS), "second_smallest_difference": N.SECOND_SMALLEST_DIFFERENCE(S.PIXELS),
+    "dc_smoothing": N.dc_smooth((1 / 16, 1 / 32, 1 / 16))(S.LIGHT), "edge_preserving_0": N.edge_preserving(0, 60.0)(S.LIGHT), "edge_preserving_1": N.edge_preserving(1, 60.0)(S.LIGHT), "edge_preserving_2": N.edge_preserving(2, 100.0)(S.LIGHT), "squeeze_h": N.SQUEEZE(S.PIXELS), "squeeze_v": N.TRANSPOSE(N.Operator("SELECT image_id, c, y, x, residual AS v FROM {src}")(N.SQUEEZE(N.TRANSPOSE(S.PIXELS)))),
+    "chroma_upsample_h": N.CHROMA_UPSAMPLE(S.PIXELS), "chroma_upsample_v": N.CHROMA_UPSAMPLE_V(S.PIXELS), "local_minmax_clamp": N.CLAMP_LOCAL(N.convolve(N.LAPLACIAN)(S.PIXELS), range=N.MINMAX(S.PIXELS)), "downsample_box": N.DOWNSAMPLE_MEAN(S.PIXELS), "downsample_edge": N.DOWNSAMPLE_EDGE(S.PIXELS), "max_luminance_log": N.MAX_LOG(S.LIGHT), "flat_cells": N.FLAT_CELLS(S.PIXELS), "crop": N.CROP(S.PIXELS),
     # points
     "xyb_scaled": P.XYB_SCALED(_xyb), "xyb_positive": P.XYB_POSITIVE(_xyb), "xyb_roundtrip": P.REST(P.UNXYB(_xyb)), "ycbcr_roundtrip": P.REST(P.UNYCBCR(_ycbcr)),
     "tf_srgb": P.TF_SRGB(S.LIGHT), "tf_709": P.TF_709(S.LIGHT), "tf_pq": P.TF_PQ(S.LIGHT), "tf_hlg": P.TF_HLG(S.LIGHT), "tf_gamma": P.TF_GAMMA(S.LIGHT), "tone_map_2408": P.tone_map()(S.LIGHT), "hlg_ootf": P.HLG_OOTF(S.LIGHT), "gamut_map": P.GAMUT_MAP(S.LIGHT),
-    "alpha_flatten": P.ALPHA_FLATTEN(S.LIGHT), "premultiply": P.PREMULTIPLY(S.LIGHT), "spot_colour": P.SPOT_COLOUR(S.LIGHT), "shape_range": P.SHAPE_RANGE(S.PIXELS), "channel_quantise": P.CHANNEL_QUANTISE(S.PIXELS), "external_depths": P.EXTERNAL(S.LIGHT),
-    "orientation": P.ORIENT(S.PIXELS), "noise_strength": P.NOISE_STRENGTH(S.LIGHT), "hybrid_uint_tokens": P.HYBRID(S.SIGNALS), "pack_signed": P.PACK_SIGNED(S.PIXELS),
+    "alpha_flatten": P.ALPHA_FLATTEN(S.LIGHT), "premultiply": P.PREMULTIPLY(S.LIGHT), "spot_colour": P.spot_colour((0.9, 0.1, 0.3), 0.8)(S.LIGHT), "shape_range": P.SHAPE_RANGE(S.PIXELS), "channel_quantise": P.CHANNEL_QUANTISE(S.PIXELS), "external_depths": P.EXTERNAL(S.LIGHT),
+    "orientation": P.ORIENT(S.PIXELS), "noise_strength": P.noise_strength((0.01, 0.02, 0.035, 0.03, 0.05, 0.04, 0.06, 0.07))(S.LIGHT), "hybrid_uint_tokens": P.HYBRID(S.SIGNALS), "pack_signed": P.PACK_SIGNED(S.PIXELS),
     "quality_to_distance": P.QUALITY_TO_DISTANCE(_qualities(S.Source(lambda s, d: s.read.parquet(f"{d}/lineitem.parquet"), "SELECT * FROM lineitem"))),
     # entropy and streams
     "hist_entropy_by_ctx": E.ENTROPY(_histogram), "hist_distance_pairs": E.HISTOGRAM_DISTANCE(_histogram), "quantile_thresholds": E.QUANTILES(_histogram), "noise_hist_mode": E.MODE(_histogram), "rle_runs": E.RUN_LENGTHS(S.CHARACTERS),
     "uint_config_search": E.UINT_SEARCH(S.SIGNALS), "cluster_renumber": E.CLUSTER_RENUMBER(S.SIGNALS), "mtf_index": E.MOVE_TO_FRONT(_symbols), "lehmer_code": E.LEHMER(S.SIGNALS), "delta_orders": E.DELTAS(S.SIGNALS),
     # measures
-    "pnorm3": M.P_NORM(S.PAIRS), "psnr": M.PSNR(S.RGB_PAIRS), "ssim_map": M.SSIM(S.PAIRS), "edge_diff": M.EDGE_DIFF(S.PAIRS), "block_l2": M.BLOCK_L2(S.RGB_PAIRS), "tile_16norm": M.TILE_16NORM(S.PAIRS), "plane_stats": M.MINMAX_STATS(S.PIXELS), "image_info": M.IMAGE_INFO(S.CHANNELS),
+    "pnorm3": M.P_NORM(S.PAIRS), "psnr": M.PSNR(S.RGB_PAIRS), "ssim_map": M.SSIM(_blurred), "edge_diff": M.EDGE_DIFF(_blurred), "block_l2": M.BLOCK_L2(S.RGB_PAIRS), "tile_16norm": M.tile_16norm(4, 1)(S.PAIRS), "plane_stats": M.MINMAX_STATS(S.PIXELS), "image_info": M.IMAGE_INFO(S.CHANNELS),
     "bench_rollup": M.BENCH_ROLLUP(S.RUNS), "bench_percentiles": M.PERCENTILES(S.RUNS), "speed_geomean": M.SPEED_SUMMARY(S.RUNS), "distinct_colours": M.DISTINCT_COLOURS(S.RGB),
     # palettes, compositing, orders
-    "palette_index": M.PALETTE_INDEX(S.PIXELS, palette=_palette), "palette_order": M.PALETTE_ORDER(_palette), "palette_nearest": M.PALETTE_NEAREST(S.PIXELS), "topk_deltas": M.TOP_DELTAS(S.RGB),
+    "palette_index": M.PALETTE_INDEX(S.PIXELS, palette=_palette), "palette_order": M.PALETTE_ORDER(S.RGB), "palette_nearest": M.PALETTE_NEAREST(S.PIXELS), "topk_deltas": M.TOP_DELTAS(S.RGB),
     "blend_modes": M.BLEND(S.RGB_PAIRS), "alpha_over": M.ALPHA_OVER(S.RGB_PAIRS), "patch_apply": M.PATCH_APPLY(S.PIXELS, patches=S.PATCHES), "zigzag_order": M.ZIGZAG(S.PIXELS), "group_center_first": M.CENTRE_FIRST(S.PIXELS),
     # blocks
     "dct8x8": M.COEFFICIENTS(_dct), "dct_roundtrip": M.SAMPLES(M.IDCT8(_dct)), "quantize_deadzone": _quantised, "dequant_bias": M.DEQUANTISE(_quantised), "nonzeros_per_block": M.NONZEROS(_quantised), "coeff_order_by_zeros": M.COEFFICIENT_ORDER(_quantised),
     "scan_tokens": M.SCAN_TOKENS(_quantised), "cfl_fit": M.CFL_FIT(S.LIGHT), "quant_median_mad": M.MEDIAN_MAD(S.PIXELS),
+    # trees
+    "tree_context_case": T.apply(T.parse(TREE))(_near), "tree_split_gain": _splits(_sample),
     # frames and parts
     "frame_index": M.OFFSETS(S.FRAMES), "layer_groups": M.LAYER_GROUPS(S.FRAMES), "reference_slot": M.REFERENCE_SLOT(S.FRAMES), "part_reorder_prefix": M.READY_PARTS(S.PIXELS), "pass_refinement": M.PASSES(S.PIXELS),
 }
-QUERIES = {name: plan.frame for name, plan in PLANS.items()}
-ORACLE_SQL = {name: plan.oracle() for name, plan in PLANS.items()}
+#: Steps in Python: an inverse is held against what it restores; the others have no oracle.
+CUSTOM = {
+    "weighted_predictor": Custom(R.weighted_residuals, S.PIXELS),
+    "weighted_roundtrip": Custom(lambda p: R.weighted_restore(R.weighted_residuals(p)), S.PIXELS, _same_pixels),
+    "unsqueeze_h": Custom(R.unsqueeze, N.SQUEEZE(S.PIXELS), _same_pixels),
+}
+QUERIES = {name: plan.frame for name, plan in (PLANS | CUSTOM).items()}
+ORACLE_SQL = {name: sql for name, plan in (PLANS | CUSTOM).items() if (sql := plan.oracle())}

@@ -45,6 +45,21 @@ class Plan:
         return out
 
 
+@dataclass(frozen=True)
+class Custom:
+    """A step in Python over one input. Its oracle, if any, is a plan with the same rows by another way, an inverse's being its origin."""
+
+    run: Callable[[DataFrame], DataFrame]
+    src: Plan | Source
+    same_as: Plan | Source | None = None
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.run(self.src.frame(spark, sf_dir))
+
+    def oracle(self) -> str | None:
+        return self.same_as and self.same_as.oracle()
+
+
 class Operator:
     def __init__(self, sql: str):
         self.sql = sql
@@ -59,5 +74,7 @@ class Operator:
 
 
 def other_dialect(sql: str) -> str:
-    """Spark SQL of the templates as DuckDB writes it: integer division and double literals."""
-    return re.sub(r"(?<![\w.])(\d+(?:\.\d+)?(?:[eE]-?\d+)?)D\b", r"(\1)::DOUBLE", sql.replace(" DIV ", " // "))
+    """Spark SQL of the templates as DuckDB writes it: integer division, arrays and double literals."""
+    for ours, theirs in ((" DIV ", " // "), ("ARRAY_SORT(", "list_sort("), (" ARRAY(", " list_value("), ("(ARRAY(", "(list_value("), ("ELEMENT_AT(", "list_extract(")):
+        sql = sql.replace(ours, theirs)
+    return re.sub(r"(?<![\w.])(\d+(?:\.\d+)?(?:[eE]-?\d+)?)D\b", r"(\1)::DOUBLE", sql)
