@@ -187,3 +187,56 @@ def rct(kind: int) -> Operator:
 UN_YCOCG = Operator("""
 SELECT image_id, y, x, v0 - (t - (w1 >> 1) + w1) AS d0, v1 - (w2 + t) AS d1, v2 - (t - (w1 >> 1)) AS d2 FROM (SELECT *, w0 - (w2 >> 1) AS t FROM {src})""")
 QUALITY_TO_DISTANCE = Operator("SELECT q, CASE WHEN q >= 100 THEN 0D WHEN q >= 30 THEN ROUND(0.1D + (100 - q) * 0.09D, 6) ELSE ROUND(53D / 3000D * q * q - 23D / 20D * q + 25D, 6) END AS distance FROM {src}")
+
+
+# Rows of the colour space's mixing, its knee and slope below it, offset, and scales of the three outputs.
+LAB_MIX = ((0.43393624408206207, 0.3761977906365071, 0.1898342977380344), (0.2126729, 0.7151522, 0.072175), (0.017753810835629014, 0.10945087235996327, 0.872639210284664830))
+LAB_KNEE, LAB_SLOPE, LAB_OFFSET = 0.008856451679035631, 7.787037037037037, 0.13793103448275862
+LAB_ZERO, LAB_SCALE = (0.0, 0.3918181818181818, 0.49045454545454545), (1.16, 2.272727272727273, 0.9090909090909091)
+_LAB = ", ".join(f"CASE WHEN {dot(row, 'rgb')} > {d(LAB_KNEE)} THEN POWER({dot(row, 'rgb')}, {d(1 / 3)}) - {d(LAB_OFFSET)} ELSE {d(LAB_SLOPE)} * {dot(row, 'rgb')} END AS f{n}" for n, row in zip("xyz", LAB_MIX, strict=True))
+LAB = Operator("SELECT image_id, y, x, " + ", ".join(f"ROUND({d(z)} + {d(s)} * ({e}), 6) AS {n}" for n, z, s, e in zip(("lab_l", "lab_a", "lab_b"), LAB_ZERO, LAB_SCALE, ("fy", "fx - fy", "fy - fz"), strict=True)) + f" FROM (SELECT image_id, y, x, {_LAB} FROM {{src}})")
+
+
+def fuzzy_class(score: str) -> str:
+    """2 for a perfect image, 0.7777 at a score of 1, towards 0 beyond."""
+    s = f"(2D / (1D + EXP(({score} - 1D) * 4.8D)))"
+    return f"(CASE WHEN {score} < 1D THEN ({s} - 1D) * {d(2 - 0.7777)} + 0.7777D ELSE {s} * 0.7777D END)"
+
+
+def fuzzy_score(value: str) -> str:
+    """The score that a class stands for: fuzzy_class solved for it; defined for classes over 0 and below 1 + 0.2223 * 2 / (1 + e^-4.8) or so."""
+    high = f"(2D / (({value} - 0.7777D) / {d(2 - 0.7777)} + 1D) - 1D)"
+    return f"(1D + LN(CASE WHEN {value} > 0.7777D THEN {high} ELSE 2D / ({value} / 0.7777D) - 1D END) / 4.8D)"
+
+
+FUZZY = Operator(f"SELECT image_id, y, x, ROUND(cls, 6) AS cls, ROUND({fuzzy_score('cls')} - score, 4) + 0D AS rest FROM (SELECT image_id, y, x, r * 3D AS score, {fuzzy_class('(r * 3D)')} AS cls FROM {{src}})")
+# Colours of the scale from a perfect score on.
+HEAT = ((0, 0, 0), (0, 0, 1), (0, 1, 1), (0, 1, 0), (1, 1, 0), (1, 0, 0), (1, 0, 1), (0.5, 0.5, 1), (1, 0.5, 0.5), (1, 1, 0.5), (1, 1, 1), (1, 1, 1))
+
+
+def heat_map(score: str, good: float, bad: float) -> Operator:
+    """Colour of a score: three tenths of the scale up to a good one, then to a bad one, then on."""
+    place = f"CASE WHEN s < {d(good)} THEN s / {d(good)} * 0.3D WHEN s < {d(bad)} THEN 0.3D + (s - {d(good)}) / {d(bad - good)} * 0.15D ELSE 0.45D + (s - {d(bad)}) / {d(bad * 12)} * 0.5D END"
+    at = lambda c, k: f"CASE {k} " + " ".join(f"WHEN {i} THEN {d(float(v[c]))}" for i, v in enumerate(HEAT)) + " END"
+    return Operator(f"""
+SELECT image_id, y, x, {', '.join(f'ROUND(SQRT((place - k) * {at(c, "(k + 1)")} + (1D - place + k) * {at(c, "k")}), 6) AS {n}' for c, n in enumerate('rgb'))} FROM (
+  SELECT *, LEAST({len(HEAT) - 2}, CAST(FLOOR(place) AS BIGINT)) AS k FROM (SELECT image_id, y, x, LEAST({d(len(HEAT) - 2.0)}, GREATEST(0D, ({place}) * {d(len(HEAT) - 1.0)})) AS place FROM (SELECT image_id, y, x, {score} AS s FROM {{src}})))""")
+
+
+def dither(bits: int = 3) -> Operator:
+    """To 8 bits with an ordered pattern of 2^bits by 2^bits thresholds, made by the doubling rule of recursive tessellation."""
+    side = 1 << bits
+
+    def threshold(y: int, x: int) -> float:
+        rank = sum((((x ^ y) >> k & 1) << 1 | (y >> k & 1)) << 2 * (bits - 1 - k) for k in range(bits))
+        return (rank + 0.5) / (side * side) - 0.5
+
+    table = ", ".join(f"({y}, {x}, {d(threshold(y, x))})" for y in range(side) for x in range(side))
+    return Operator(f"SELECT p.image_id, p.y, p.x, CAST(FLOOR(LEAST(255D, GREATEST(0D, p.r * 255D + t.t)) + 0.5D) AS BIGINT) AS v FROM {{src}} p JOIN (VALUES {table}) t(y, x, t) ON t.y = p.y % {side} AND t.x = p.x % {side}")
+
+
+#: Range of each opponent channel over a grid of colours, and where its ends are; grid rows have an id, steps a side.
+def xyb_range(side: int) -> tuple[Operator, Operator]:
+    grid = Operator(f"SELECT id AS image_id, id AS y, 0 AS x, (id DIV {side * side}) * {d(1 / (side - 1))} AS r, (id DIV {side} % {side}) * {d(1 / (side - 1))} AS g, (id % {side}) * {d(1 / (side - 1))} AS b FROM {{src}}")
+    return grid, Operator("SELECT n.n AS channel, ROUND(MIN(v), 6) AS low, ROUND(MAX(v), 6) AS high, MIN_BY(image_id, ROUND(v, 6) * 1e7D + image_id * 1e-6D) AS at_low, MAX_BY(image_id, ROUND(v, 6) * 1e7D - image_id * 1e-6D) AS at_high FROM ("
+                          "SELECT image_id, n.n, CASE n.n WHEN 'x' THEN xx WHEN 'y' THEN yy ELSE bb END AS v FROM {src} CROSS JOIN (VALUES ('x'), ('y'), ('b')) n(n)) n GROUP BY n.n")

@@ -41,10 +41,6 @@ UINT_SEARCH = Operator("SELECT stream, MIN_BY(config, cost * 10 + config) AS con
                        + " UNION ALL ".join("SELECT stream, {0} AS config, {1} AS token, {2} AS extra FROM {{src}}".format(i, *tokens("v", *c)) for i, c in enumerate(UINT_CONFIGS))
                        + ") GROUP BY stream, config, token)) GROUP BY stream, config) GROUP BY stream")
 CLUSTER_RENUMBER = Operator("SELECT stream, v, DENSE_RANK() OVER (PARTITION BY stream ORDER BY first_pos) - 1 AS cluster FROM (SELECT stream, v, MIN(pos) AS first_pos FROM {src} GROUP BY stream, v)")
-#: Move-to-front: how many distinct symbols were seen since the last time.
-MOVE_TO_FRONT = Operator("""
-SELECT a.stream, a.pos, COUNT(DISTINCT b.v) AS rank FROM (SELECT stream, pos, v, LAG(pos) OVER (PARTITION BY stream, v ORDER BY pos) AS last FROM {src}) a
-JOIN {src} b ON b.stream = a.stream AND b.pos > a.last AND b.pos < a.pos WHERE a.last IS NOT NULL GROUP BY a.stream, a.pos""")
 LEHMER = Operator("""
 SELECT a.stream, a.pos, COUNT(b.pos) AS code FROM (SELECT stream, pos, ROW_NUMBER() OVER (PARTITION BY stream ORDER BY v, pos) AS p FROM {src}) a
 LEFT JOIN (SELECT stream, pos, ROW_NUMBER() OVER (PARTITION BY stream ORDER BY v, pos) AS p FROM {src}) b ON b.stream = a.stream AND b.pos > a.pos AND b.p < a.p GROUP BY a.stream, a.pos""")

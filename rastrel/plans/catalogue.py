@@ -5,6 +5,7 @@ from __future__ import annotations
 from rastrel.functions import pointwise as P
 from rastrel.operators import entropy as E
 from rastrel.operators import measures as M
+from rastrel.operators import modelling as L
 from rastrel.operators import neighbourhood as N
 from rastrel.operators import recurrences as R
 from rastrel.operators import trees as T
@@ -32,6 +33,12 @@ def _rct_costs() -> Plan:
 #: A tree that uses every kind of leaf by the way.
 TREE = """if |N| > 100 if W-NW > 20 - Gradient + 1 if NW-N > -10 - AvgAll - 2 - NE 0
 if W-WW-NW+NWW > 50 - Select 3 if x > 3 - AvgW+N - 1 - Set + 7"""
+_grid, _range = P.xyb_range(17)
+_colours = S.Source(lambda spark, _: spark.range(17**3), f"SELECT range AS id FROM range({17**3})")
+_points = Operator("SELECT stream, pos, pos * 8D AS px, v / 100D AS py FROM {src} WHERE pos < 12")(S.SIGNALS)
+_moved = L.move_to_front(16)(_symbols)
+_ranks = Operator("SELECT stream, pos, ROW_NUMBER() OVER (PARTITION BY stream ORDER BY v, pos) - 1 AS v FROM {src}")(S.SIGNALS)
+_channels = Operator("SELECT image_id, 0 AS label, c, y, x, v FROM {src}")(S.CHANNELS)
 _same_pixels = Operator("SELECT image_id, c, y, x, v FROM {src}")(S.PIXELS)
 _sample = Operator(f"SELECT {P.pack('(v - n)')} AS packed, w, n, nw, ne, ww, nn FROM {{src}}")(_near)
 _splits = T.best_split({"W-NW": "(w - nw)", "NW-N": "(nw - n)", "N-NE": "(n - ne)", "N": "n", "W": "w"})
@@ -50,11 +57,12 @@ PLANS: dict[str, Plan] = {
     "xyb_scaled": P.XYB_SCALED(_xyb), "xyb_positive": P.XYB_POSITIVE(_xyb), "xyb_roundtrip": P.REST(P.UNXYB(_xyb)), "ycbcr_roundtrip": P.REST(P.UNYCBCR(_ycbcr)),
     "tf_srgb": P.TF_SRGB(S.LIGHT), "tf_709": P.TF_709(S.LIGHT), "tf_pq": P.TF_PQ(S.LIGHT), "tf_hlg": P.TF_HLG(S.LIGHT), "tf_gamma": P.TF_GAMMA(S.LIGHT), "tone_map_2408": P.tone_map()(S.LIGHT), "hlg_ootf": P.HLG_OOTF(S.LIGHT), "gamut_map": P.GAMUT_MAP(S.LIGHT),
     "alpha_flatten": P.ALPHA_FLATTEN(S.LIGHT), "premultiply": P.PREMULTIPLY(S.LIGHT), "spot_colour": P.spot_colour((0.9, 0.1, 0.3), 0.8)(S.LIGHT), "shape_range": P.SHAPE_RANGE(S.PIXELS), "channel_quantise": P.CHANNEL_QUANTISE(S.PIXELS), "external_depths": P.EXTERNAL(S.LIGHT),
+    "lab": P.LAB(S.LIGHT), "fuzzy_class": P.FUZZY(S.LIGHT), "heat_map": P.heat_map("r * 3D", 0.6, 1.4)(S.LIGHT), "dither_8bit": P.dither()(S.LIGHT), "xyb_range": _range(P.XYB(_grid(_colours))),
     "orientation": P.ORIENT(S.PIXELS), "noise_strength": P.noise_strength((0.01, 0.02, 0.035, 0.03, 0.05, 0.04, 0.06, 0.07))(S.LIGHT), "hybrid_uint_tokens": P.HYBRID(S.SIGNALS), "pack_signed": P.PACK_SIGNED(S.PIXELS),
     "quality_to_distance": P.QUALITY_TO_DISTANCE(_qualities(S.Source(lambda s, d: s.read.parquet(f"{d}/lineitem.parquet"), "SELECT * FROM lineitem"))),
     # entropy and streams
     "hist_entropy_by_ctx": E.ENTROPY(_histogram), "hist_distance_pairs": E.HISTOGRAM_DISTANCE(_histogram), "quantile_thresholds": E.QUANTILES(_histogram), "noise_hist_mode": E.MODE(_histogram), "rle_runs": E.RUN_LENGTHS(S.CHARACTERS),
-    "uint_config_search": E.UINT_SEARCH(S.SIGNALS), "cluster_renumber": E.CLUSTER_RENUMBER(S.SIGNALS), "mtf_index": E.MOVE_TO_FRONT(_symbols), "lehmer_code": E.LEHMER(S.SIGNALS), "delta_orders": E.DELTAS(S.SIGNALS),
+    "uint_config_search": E.UINT_SEARCH(S.SIGNALS), "cluster_renumber": E.CLUSTER_RENUMBER(S.SIGNALS), "mtf_index": _moved, "lehmer_code": E.LEHMER(S.SIGNALS), "delta_orders": E.DELTAS(S.SIGNALS),
     # measures
     "pnorm3": M.P_NORM(S.PAIRS), "psnr": M.PSNR(S.RGB_PAIRS), "ssim_map": M.SSIM(_blurred), "edge_diff": M.EDGE_DIFF(_blurred), "block_l2": M.BLOCK_L2(S.RGB_PAIRS), "tile_16norm": M.tile_16norm(4, 1)(S.PAIRS), "plane_stats": M.MINMAX_STATS(S.PIXELS), "image_info": M.IMAGE_INFO(S.CHANNELS),
     "bench_rollup": M.BENCH_ROLLUP(S.RUNS), "bench_percentiles": M.PERCENTILES(S.RUNS), "speed_geomean": M.SPEED_SUMMARY(S.RUNS), "distinct_colours": M.DISTINCT_COLOURS(S.RGB),
@@ -64,7 +72,9 @@ PLANS: dict[str, Plan] = {
     # blocks
     "dct8x8": M.COEFFICIENTS(_dct), "dct_roundtrip": M.SAMPLES(M.IDCT8(_dct)), "quantize_deadzone": _quantised, "dequant_bias": M.DEQUANTISE(_quantised), "nonzeros_per_block": M.NONZEROS(_quantised), "coeff_order_by_zeros": M.COEFFICIENT_ORDER(_quantised),
     "scan_tokens": M.SCAN_TOKENS(_quantised), "cfl_fit": M.CFL_FIT(S.LIGHT), "quant_median_mad": M.MEDIAN_MAD(S.PIXELS),
-    # trees
+    # models
+    "previous_channel": L.PREVIOUS_CHANNEL(N.NEIGHBOURS(_channels)), "zero_density_ctx": L.ZERO_DENSITY(_quantised), "nearest_histogram": L.NEAREST_HISTOGRAM(_histogram), "spline_samples": L.catmull_rom()(_points), "main_axes": L.MAIN_AXES(S.LIGHT), "ready_corners": L.READY_CORNERS(S.PIXELS),
+    "idct8x8": M.SAMPLES(M.IDCT8(M.DEQUANTISE(_quantised))),
     "tree_context_case": T.apply(T.parse(TREE))(_near), "tree_split_gain": _splits(_sample),
     # frames and parts
     "frame_index": M.OFFSETS(S.FRAMES), "layer_groups": M.LAYER_GROUPS(S.FRAMES), "reference_slot": M.REFERENCE_SLOT(S.FRAMES), "part_reorder_prefix": M.READY_PARTS(S.PIXELS), "pass_refinement": M.PASSES(S.PIXELS),
@@ -73,6 +83,9 @@ PLANS: dict[str, Plan] = {
 CUSTOM = {
     "weighted_predictor": Custom(R.weighted_residuals, S.PIXELS),
     "weighted_roundtrip": Custom(lambda p: R.weighted_restore(R.weighted_residuals(p)), S.PIXELS, _same_pixels),
+    "mtf_inverse": Custom(lambda f: L.restore_moved(f, 16), _moved, Operator("SELECT stream, pos, v FROM {src}")(_symbols)),
+    "lehmer_decode": Custom(L.restore_permutation, E.LEHMER(S.SIGNALS), _ranks),
+    "huffman_depths": Custom(L.huffman, _histogram), "components": Custom(lambda p: L.components(p, 0, 60), S.PIXELS),
     "unsqueeze_h": Custom(R.unsqueeze, N.SQUEEZE(S.PIXELS), _same_pixels),
 }
 QUERIES = {name: plan.frame for name, plan in (PLANS | CUSTOM).items()}

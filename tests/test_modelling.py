@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from rastrel.operators import modelling as L
 from rastrel.operators import neighbourhood as N
 from rastrel.operators import recurrences as R
 from rastrel.operators import trees as T
@@ -57,3 +58,46 @@ def test_unsqueeze(spark, width):
 def test_unsqueeze_with_a_single_last_average():
     out = R.unsqueeze_planes(np.array([[[5, 7]]]), np.array([[[0]]]))
     assert out.shape == (1, 1, 3) and out[0, 0, 2] == 7
+
+
+@pytest.mark.parametrize("most", [4, 6, 15])
+def test_code_lengths(most):
+    for counts in ([1], [5, 5], [1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144], [7] * 16):
+        depths = L.code_lengths(counts, most)
+        assert max(depths) <= most
+        assert len(counts) == 1 or sum(2.0**-k for k in depths) == 1
+
+
+def test_code_lengths_are_optimal_without_a_limit():
+    assert sorted(L.code_lengths([1, 1, 2, 4], 15)) == [1, 2, 3, 3]
+
+
+def test_components(spark):
+    image = ["##..#", "#..##", "..#..", "#...#", "##.##"]
+    pixels = _frame(spark, [[[5 if ch == "#" else 0 for ch in row] for row in image], [[9, 0, 5]] * 2])
+    labels = _values(L.components(pixels, 1, 4).collect())
+    assert {labels[0, y, x] for y, x in ((0, 0), (0, 1), (1, 0))} == {0}
+    assert {labels[0, y, x] for y, x in ((0, 4), (1, 3), (1, 4), (2, 2))} == {4}
+    assert {labels[0, y, x] for y, x in ((3, 0), (4, 0), (4, 1))} == {15} and labels[0, 2, 0] == -1
+    weak = _values(L.components(pixels, 1, 8).collect())
+    assert weak[1, 0, 0] == 0 and weak[1, 0, 2] == -1 and weak[0, 0, 0] == -1
+
+
+def test_move_to_front(spark):
+    rng = np.random.default_rng(1)
+    stream = [3, 3, 0, 5, 3, *rng.integers(0, 6, 60).tolist()]
+    order, places = list(range(6)), []
+    for v in stream:
+        places.append(order.index(v))
+        order.insert(0, order.pop(places[-1]))
+    coded = L.move_to_front(6)(spark.createDataFrame([(0, i, v) for i, v in enumerate(stream)], "stream long, pos long, v long"))
+    assert [r.place for r in coded.orderBy("pos").collect()] == places
+    assert [r.v for r in L.restore_moved(coded, 6).orderBy("pos").collect()] == stream
+
+
+def test_spline_goes_through_its_points(spark):
+    points = [(0.0, 0.0), (4.0, 9.0), (10.0, 2.0), (11.0, 3.0)]
+    rows = L.catmull_rom()(spark.createDataFrame([(0, i, *p) for i, p in enumerate(points)], "stream long, pos long, px double, py double")).orderBy("pos", "step").collect()
+    assert len(rows) == 48 and [(r.x, r.y) for r in rows if r.step == 0] == points[:3]
+    straight = L.catmull_rom()(spark.createDataFrame([(0, i, 2.0 * i, 3.0 * i) for i in range(4)], "stream long, pos long, px double, py double")).collect()
+    assert all(r.y == pytest.approx(1.5 * r.x, abs=2e-6) for r in straight)
