@@ -7,6 +7,8 @@ does not exist; borders mirror including the edge unless the operator says other
 
 from __future__ import annotations
 
+import re
+
 from rastrel.functions.pointwise import d, pack
 from rastrel.plans.steps import Operator
 
@@ -58,6 +60,14 @@ def shifted(column: str, by: int, window: str) -> str:
     return f"COALESCE({at(n)}, {rest}, {column})"
 
 
+def one_pass(select: str, source: str, window: str) -> str:
+    """SELECT over a source's neighbours along one window, each LAG and LEAD in the text being computed once."""
+    pattern = r"(LAG|LEAD)\((\w+), (\d+)\) OVER (\w+)"
+    once = sorted({m.groups() for m in re.finditer(pattern, select)})
+    names = ", ".join(f"{f}({n}, {k}) OVER {w} AS {n}_{f.lower()}{k}" for f, n, k, w in once)
+    return f"SELECT {re.sub(pattern, lambda m: f'{m[2]}_{m[1].lower()}{m[3]}', select)} FROM (SELECT *, {names} FROM {source} WINDOW {window})" if once else f"SELECT {select} FROM {source}"
+
+
 def convolve(kernel: dict[tuple[int, int], float], value: str = "v") -> Operator:
     """Weighted sum over offsets (dy, dx) in two window passes: along each column once for every dx, then along rows.
 
@@ -65,9 +75,8 @@ def convolve(kernel: dict[tuple[int, int], float], value: str = "v") -> Operator
     """
     across = sorted({dx for _, dx in kernel})
     columns = ", ".join("(" + " + ".join(f"{d(w)} * {shifted(value, dy, 'k')}" for (dy, a), w in sorted(kernel.items()) if a == dx) + f") AS u{i}" for i, dx in enumerate(across))
-    return Operator(f"""
-SELECT image_id, c, y, x, ROUND({' + '.join(shifted(f'u{i}', dx, 'r') for i, dx in enumerate(across))}, 6) + 0D AS v FROM (
-  SELECT image_id, c, y, x, {columns} FROM {{src}} WINDOW {_COLUMNS}) WINDOW {_ROWS}""")
+    total = " + ".join(shifted(f"u{i}", dx, "r") for i, dx in enumerate(across))
+    return Operator(one_pass(f"image_id, c, y, x, ROUND({total}, 6) + 0D AS v", f"({one_pass(f'image_id, c, y, x, {columns}', '{src}', _COLUMNS)})", _ROWS))
 
 
 def ring(weights: dict[tuple[int, int], float], normalise: bool = True) -> dict[tuple[int, int], float]:
@@ -173,14 +182,14 @@ def edge_preserving(step: int, sigma: float) -> Operator:
 
     down = ", ".join(f"{shifted(n, a, 'k')} AS {n}{a + 3}" for n in "rgb" for a in sorted({a for a, _ in needed}))
     along = ", ".join(f"{shifted(f'{n}{a + 3}', b, 'r')} AS {at(n, a, b)}" for n in "rgb" for a, b in needed)
-    scale = d(INV_SIGMA / sigma * EPF_SCALE * EPF_STEP_SCALE[step])
+    strength = f"{d(INV_SIGMA / sigma * EPF_SCALE * EPF_STEP_SCALE[step])} * CASE WHEN y % 8 IN (0, 7) OR x % 8 IN (0, 7) THEN {d(EPF_BORDER)} ELSE 1D END AS strength"
+    surroundings = one_pass(f"image_id, y, x, {strength}, {along}", f"({one_pass(f'image_id, y, x, {down}', '{src}', _IMAGE_COLUMNS)})", _IMAGE_ROWS)
     sads = ", ".join("GREATEST(0D, 1D + strength * (" + " + ".join(f"{d(s)} * ABS({at(n, p, q)} - {at(n, a + p, b + q)})" for n, s in zip("rgb", EPF_CHANNELS, strict=True) for p, q in plus) + f")) AS w{i}" for i, (a, b) in enumerate(offsets))
     total = " + ".join(f"w{i}" for i in range(len(offsets)))
     mean = ", ".join(f"ROUND(({at(n, 0, 0)} + " + " + ".join(f"w{i} * {at(n, a, b)}" for i, (a, b) in enumerate(offsets)) + f") / (1D + {total}), 6) AS {n}" for n in "rgb")
     return Operator(f"""
 SELECT image_id, y, x, {mean} FROM (SELECT *, {sads} FROM (
-  SELECT image_id, y, x, {scale} * CASE WHEN y % 8 IN (0, 7) OR x % 8 IN (0, 7) THEN {d(EPF_BORDER)} ELSE 1D END AS strength, {along} FROM (
-    SELECT image_id, y, x, r, g, b, {down} FROM {{src}} WINDOW {_IMAGE_COLUMNS}) WINDOW {_IMAGE_ROWS}))""")
+  {surroundings}))""")
 
 
 def blur(planes: dict[str, str], sigma: float, radius: int) -> Operator:
@@ -193,9 +202,10 @@ def blur(planes: dict[str, str], sigma: float, radius: int) -> Operator:
         at = {k: n if not k else f"{'LEAD' if k > 0 else 'LAG'}({n}, {abs(k)}) OVER {window}" for k in weight}
         return "(" + " + ".join(f"{d(w)} * COALESCE({at[k]}, 0D)" for k, w in weight.items()) + ") / (" + " + ".join(f"CASE WHEN {at[k]} IS NULL THEN 0D ELSE {d(w)} END" for k, w in weight.items()) + f") AS {n}"
 
-    return Operator(f"""
-SELECT image_id, y, x, a, b, {', '.join(mean(n, 'r') for n in planes)} FROM (
-  SELECT image_id, y, x, a, b, {', '.join(mean(n, 'k') for n in planes)} FROM (SELECT image_id, y, x, a, b, {', '.join(f'{e} AS {n}' for n, e in planes.items())} FROM {{src}}) WINDOW {_IMAGE_COLUMNS}) WINDOW {_IMAGE_ROWS}""")
+    source = f"(SELECT image_id, y, x, a, b, {', '.join(f'{e} AS {n}' for n, e in planes.items())} FROM {{src}})"
+    for window, order in (("k", _IMAGE_COLUMNS), ("r", _IMAGE_ROWS)):
+        source = f"({one_pass('image_id, y, x, a, b, ' + ', '.join(mean(n, window) for n in planes), source, order)})"
+    return Operator(f"SELECT * FROM {source}")
 
 
 CHROMA_UPSAMPLE_V = Operator(f"""
