@@ -4,6 +4,11 @@ Groups are dealt to buckets of bounded size by hash; each bucket is differenced
 own and leaves one partial partition (a sum for each shard). Those are differenced again, a bounded
 number at a time, level by level, until one is left. What a level hands on is one row for each
 bucket, so no task and no driver ever holds all groups.
+
+A bucket's parts are equal, so they make no room for a group that is large beside a shard. With more
+than one bucket the large groups, whose number is bounded, join at the last level, and so do as many
+of the other groups as fill up the shards without them: by hash in a bounded number of lumps, most
+of them small and some of a single group, that are differenced one by one.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from rastrel.llm.karmarkar import difference
 
 #: Groups in a bucket, partial partitions that one task combines, and rows that one task numbers, about.
 BUCKET_GROUPS, FAN_IN, CHUNK_ROWS = 20_000, 256, 100_000
+#: A group over 1 / LARGE of a fair share is large, so there are fewer than LARGE for each shard. Lumps of other groups at most.
+LARGE, LUMPS = 64, 8_000
 OVERHEAD = 16
 
 
@@ -43,10 +50,38 @@ def _combine(shards: int):
     return run
 
 
+def _loose(sizes: list[int], rest: int, shards: int) -> float:
+    """The fraction of the rest's bytes that has to be dealt out singly to level the shards beside large groups of these sizes."""
+    sums = np.zeros((len(sizes), shards), dtype=np.int64)
+    sums[:, 0] = sizes
+    totals = difference(sums)[0]
+    # a fifth more than the room is, as large lumps are left over, and 0.3 for small ones to end with
+    room = int((totals.max() - totals).sum())
+    return min(1.0, 1.2 * room / rest + 0.3) if sizes and rest else 0.0
+
+
+def _apart(groups: DataFrame, total: int, shards: int) -> tuple[DataFrame, DataFrame]:
+    """(groups for the buckets, (gkey, size, bucket) of the large groups and lumps), these with numbers below 0 for buckets."""
+    large = F.col("size") * (LARGE * shards) > F.lit(total)
+    found = groups.where(large).orderBy(F.desc("size"), "gkey").collect()  # fewer than LARGE * shards
+    others = groups.where(~large)
+    loose = _loose([g["size"] for g in found], total - sum(g["size"] for g in found), shards)
+    # u: the group's place in [0, 1); lumps grow by the same factor from less than one group on
+    u = F.pmod(F.xxhash64(F.lit("lump"), "gkey"), F.lit(2**40)) / F.lit(float(2**40))
+    grow = math.log1p(16 * groups.count() * loose / LUMPS)
+    lump = F.least(F.floor(F.log1p(u / loose * math.expm1(grow)) * (LUMPS / grow)), F.lit(LUMPS - 1)).cast("int") if loose else F.lit(0)
+    singles = groups.sparkSession.createDataFrame([(g["gkey"], g["size"], -1 - LUMPS - k) for k, g in enumerate(found)], "gkey string, size long, bucket int")
+    return others.where(u >= loose), singles.union(others.where(u < loose).select("gkey", "size", (-1 - lump).alias("bucket")))
+
+
 def balance_groups(groups: DataFrame, shards: int) -> DataFrame:
     """groups: (gkey, size), a row for each indivisible group. Returns (gkey, shard)."""
-    n = groups.count()
+    groups = checkpoint(groups)
+    n, total = groups.agg(F.count(F.lit(1)), F.sum("size")).first()
     buckets = max(1, math.ceil(n / BUCKET_GROUPS))
+    apart = None
+    if buckets > 1:
+        groups, apart = _apart(groups, total, shards)
     dealt = checkpoint(
         groups.withColumn("bucket", F.pmod(F.xxhash64("gkey"), F.lit(buckets)).cast("int"))
         .groupBy("bucket").applyInPandas(_deal(shards), "bucket int, gkey string, part int, totals array<long>")
@@ -55,6 +90,10 @@ def balance_groups(groups: DataFrame, shards: int) -> DataFrame:
     place = dealt.select("gkey", "bucket", "part")
     while buckets > 1:
         fewer = math.ceil(buckets / FAN_IN)
+        if fewer == 1:
+            none = F.array_repeat(F.lit(0).cast("long"), shards - 1)
+            level = level.union(apart.groupBy("bucket").agg(F.concat(F.array(F.sum("size")), none).alias("totals")))
+            place = place.union(apart.select("gkey", "bucket", F.lit(0).alias("part")))
         merged = checkpoint(
             level.withColumn("above", F.pmod("bucket", F.lit(fewer)).cast("int"))
             .groupBy("above").applyInPandas(_combine(shards), "bucket int, above int, to array<int>, totals array<long>")
@@ -72,7 +111,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 16. Rows of equal text go to one
     shard; null and empty text are one group. A group larger than a fair share fills its shard by
-    itself, and the others are balanced. slot numbers a shard's rows from 0 without gaps, in the
+    itself, and the others are balanced; smaller large groups get shards of the common size. slot numbers a shard's rows from 0 without gaps, in the
     order of a hash of the text and then of the id; repeated rows get slots of their own. An empty
     table gives no rows, and further columns of docs are not read.
     """

@@ -140,6 +140,20 @@ def test_shards(docs, none, monkeypatch):
     assert sharding.shard_documents(none, 4).count() == 0
 
 
+def test_large_groups_leave_shards_equal(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_GROUPS", 400)
+    r = random.Random(3)
+    sizes = [int(r.lognormvariate(6, 1)) + 1 for _ in range(2000)]
+    sizes += [sum(sizes) // 8, sum(sizes) // 30]  # half a fair share of four, and less
+    groups = spark.createDataFrame([(hashlib.md5(str(i).encode()).hexdigest(), s) for i, s in enumerate(sizes)], "gkey string, size long")
+    got = {x.gkey: x.shard for x in sharding.balance_groups(groups, 4).collect()}
+    totals = Counter()
+    for x in groups.collect():
+        totals[got[x.gkey]] += x.size
+    assert len(got) == len(sizes) and len(totals) == 4
+    assert max(totals.values()) / (sum(sizes) / 4) < 1.001
+
+
 def test_mix(docs, none):
     weights = {"s1": 30.0, "s2": 0.0, "absent": 5.0}
     out = mixing.mix(docs, weights, rest=1.0)
