@@ -11,19 +11,21 @@ class BoostedTrees:
     def __init__(self, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, l2: float = 1.0, least: int = 8):
         self.trees, self.depth, self.rate, self.bins, self.l2, self.least = trees, depth, rate, bins, l2, least
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedTrees:
+        """weight: how many rows each row stands for, 1 on average so that l2 keeps its meaning; cuts and least go by rows."""
         n, f = x.shape
+        weight = np.ones(n) if weight is None else weight
         q = np.linspace(0, 1, self.bins + 1)[1:-1]
         self.edges = [np.unique(np.concatenate([np.quantile(x[:, j], q), np.quantile(x[x[:, j] > 0, j], q) if (x[:, j] > 0).any() else []])) for j in range(f)]
         binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], axis=1)
         width = max(len(e) for e in self.edges) + 1
-        rate = min(max(y.mean(), 1e-6), 1 - 1e-6)
+        rate = min(max(np.average(y, weights=weight), 1e-6), 1 - 1e-6)
         self.base = float(np.log(rate / (1 - rate)))
         self.forest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         score = np.full(n, self.base)
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-score))
-            g, h = y - p, np.maximum(p * (1 - p), 1e-9)
+            g, h = weight * (y - p), weight * np.maximum(p * (1 - p), 1e-9)
             node = np.zeros(n, dtype=np.int64)
             feature = np.full(2**self.depth - 1, -1)
             cut = np.zeros(2**self.depth - 1)
@@ -72,10 +74,11 @@ class BoostedTrees:
 class Isotonic:
     """Pool-adjacent-violators fit of probabilities that rise with the score; linear between, flat beyond."""
 
-    def fit(self, score: np.ndarray, y: np.ndarray) -> Isotonic:
+    def fit(self, score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
+        weight = np.ones(len(y)) if weight is None else weight
         s, inverse = np.unique(score, return_inverse=True)
-        w = np.bincount(inverse).astype(float)
-        v = np.bincount(inverse, y) / w
+        w = np.bincount(inverse, weight)
+        v = np.bincount(inverse, weight * y) / w
         blocks: list[list[float]] = []  # value, weight, first, last
         for i in range(len(s)):
             blocks.append([v[i], w[i], s[i], s[i]])

@@ -2,8 +2,8 @@
 
 A lexicon of words and word stems is learned from labelled texts; the features are its densities,
 the nearness of second-person words to its hits, and rates of capitals, punctuation and obfuscation.
-Lexicon and trees are fitted on a bounded sample of labelled rows (SAMPLE_ROWS); scoring reads every
-whole text, in one pass without a shuffle.
+Lexicon and trees are fitted on a bounded sample of labelled rows (SAMPLE_ROWS), each weighted by the
+rows of its label that it stands for; scoring reads every whole text, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -140,13 +140,15 @@ def training_rows(labels: DataFrame, id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1, F.lit(True))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, y) of up to `rows` labelled rows of each label, the first in the order of a hash of the id."""
+def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, list[float]]:
+    """(doc_id, text, y) of up to `rows` labelled rows of each label, the first in the order of a hash of the id; the rows that one of each label stands for."""
     ids = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & training_rows(labels)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     order = F.xxhash64("doc_id")
     picked = [thin(ids.where(F.col("y") == y), order, rows).orderBy(order, "doc_id").limit(rows) for y in (0, 1)]
     few = picked[0].union(picked[1])
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "y")  # at most 2 * rows ids
+    many = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    stands = [max(1.0, many.get(y, 0) / rows) for y in (0, 1)]
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "y"), stands  # at most 2 * rows ids
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     From 500 toxic rows on, the lexicon comes from half of the sample and the trees from the other,
     where its odds are not flattered; with fewer, both use all. The calibration uses scores of folds
-    that a tree set was not fitted on.
+    that a tree set was not fitted on. Rows of a label that has more than `rows` weigh more by as much,
+    so scores are probabilities at the labels' own ratio however many rows there are.
     """
     prepare(docs.sparkSession)
-    sample = checkpoint(_sample(docs, labels, rows))
+    sample, stands = _sample(docs, labels, rows)
+    sample = checkpoint(sample)
     toxic = sample.where("y = 1").count()
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) if toxic >= 500 else F.lit(0)
     lexicon = learn_lexicon(sample.where(half == 0))
@@ -223,14 +227,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     data = sample.where(half == int(toxic >= 500)).select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(run, "doc_id long, y int, x array<double>").orderBy("doc_id").collect()  # at most 2 * rows short vectors
     y = np.array([r["y"] for r in data], dtype=float)
+    weight = np.where(y == 1, stands[1], stands[0])
+    rate = float(np.average(y, weights=weight)) if len(y) else 0.0
     if not len(y) or min(y.sum(), (1 - y).sum()) < 5:
-        return Model(lexicon, None, None, float(y.mean()) if len(y) else 0.0)
+        return Model(lexicon, None, None, rate)
     x = np.array([r["x"] for r in data])
+    weight /= weight.mean()
     held = np.zeros(len(y))
     fold = np.arange(len(y)) % 4
     for k in range(4):
-        held[fold == k] = BoostedTrees().fit(x[fold != k], y[fold != k]).decision(x[fold == k])
-    return Model(lexicon, BoostedTrees().fit(x, y), Isotonic().fit(held, y), float(y.mean()))
+        held[fold == k] = BoostedTrees().fit(x[fold != k], y[fold != k], weight[fold != k]).decision(x[fold == k])
+    return Model(lexicon, BoostedTrees().fit(x, y, weight), Isotonic().fit(held, y, weight), rate)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

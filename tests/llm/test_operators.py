@@ -204,6 +204,15 @@ def test_toxicity_held_out(spark, docs, none):
     assert {x.score for x in toxicity.score_documents(docs, few).collect()} == {0.0}
 
 
+def test_toxicity_scores_keep_the_ratio_of_a_capped_sample(spark):
+    r = random.Random(4)
+    rows = [(i, _text(30), int(r.random() < 0.1)) for i in range(1500)]  # a tenth is toxic, and no text says which
+    texts = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(texts, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int"), rows=90)
+    score = [x.score for x in toxicity.score_documents(texts, model).collect()]
+    assert 0.05 < sum(score) / len(score) < 0.2
+
+
 def test_trees_and_calibration():
     r = np.random.default_rng(2)
     x = r.normal(size=(800, 5))
