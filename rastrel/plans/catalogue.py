@@ -35,7 +35,7 @@ TREE = """if |N| > 100 if W-NW > 20 - Gradient + 1 if NW-N > -10 - AvgAll - 2 -
 if W-WW-NW+NWW > 50 - Select 3 if x > 3 - AvgW+N - 1 - Set + 7"""
 _grid, _range = P.xyb_range(17)
 _colours = S.Source(lambda spark, _: spark.range(17**3), f"SELECT range AS id FROM range({17**3})")
-_points = Operator("SELECT stream, pos, pos * 8D AS px, v / 100D AS py FROM {src} WHERE pos < 12")(S.SIGNALS)
+_points = Operator("SELECT stream, pos, pos * 8D AS px, v / 100D AS py FROM {src}")(S.SIGNALS)
 _moved = L.move_to_front(16)(_symbols)
 _ranks = Operator("SELECT stream, pos, ROW_NUMBER() OVER (PARTITION BY stream ORDER BY v, pos) - 1 AS v FROM {src}")(S.SIGNALS)
 _channels = Operator("SELECT image_id, 0 AS label, c, y, x, v FROM {src}")(S.CHANNELS)

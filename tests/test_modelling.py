@@ -1,5 +1,7 @@
 """Trees as text, and recurrences against their inverses."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -7,7 +9,7 @@ from rastrel.operators import modelling as L
 from rastrel.operators import neighbourhood as N
 from rastrel.operators import recurrences as R
 from rastrel.operators import trees as T
-from rastrel.plans.catalogue import TREE
+from rastrel.plans.catalogue import QUERIES, TREE
 
 
 def _frame(spark, planes):
@@ -101,3 +103,9 @@ def test_spline_goes_through_its_points(spark):
     assert len(rows) == 48 and [(r.x, r.y) for r in rows if r.step == 0] == points[:3]
     straight = L.catmull_rom()(spark.createDataFrame([(0, i, 2.0 * i, 3.0 * i) for i in range(4)], "stream long, pos long, px double, py double")).collect()
     assert all(r.y == pytest.approx(1.5 * r.x, abs=2e-6) for r in straight)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_splines_sample_every_event(spark):
+    users = spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy("user_id").count().collect()
+    assert QUERIES["spline_samples"](spark, "/root/testdata/sf0.001").count() == sum(16 * (u["count"] - 1) for u in users)
