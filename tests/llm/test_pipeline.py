@@ -1,11 +1,14 @@
 """The pipeline's stages, each on its predecessor's rows."""
 
+from collections import Counter
 from pathlib import Path
 
+import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from rastrel.llm import simhash
+from rastrel.llm import bpe, queries, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -29,5 +32,35 @@ def test_stages(spark, tmp_path):
     assert last.count() == mixed.count() and {x.doc_id for x in mixed.collect()} <= {x.doc_id for x in near.collect()}
 
 
+def test_stages_keep_exactly_the_rows_they_should(spark, tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    first = docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [docs.toPandas()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        rows.append(docs.toPandas())
+        if k == 2:
+            fps = {x.doc_id: x.fp & (2**64 - 1) for x in simhash.fingerprints(before).collect()}
+    ids = [Counter(r["doc_id"]) for r in rows]
+    model = toxicity.fit(first, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert ids[1] == Counter(x.doc_id for x in toxicity.score_documents(first, model).collect() if x.score < queries.TOXIC_FROM)
+    assert ids[2] == Counter(rows[1].groupby("text")["doc_id"].max())
+    low = {i: i for i in fps}
+    near = [(i, j) for i in fps for j in fps if i < j and (fps[i] ^ fps[j]).bit_count() <= 3]
+    while any(low[i] != low[j] for i, j in near):
+        for i, j in near:
+            low[i] = low[j] = min(low[i], low[j])
+    assert ids[3] == Counter(set(low.values()))
+    con = duckdb.connect()
+    con.register("kept", rows[3])
+    assert ids[4] == Counter(con.execute(f"SELECT doc_id FROM ({queries.mix_sql('kept')})").df()["doc_id"])
+    path, pattern = queries.vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    want = Counter((i, np.array(enc.encode_ordinary(t or ""), dtype="<u4").tobytes()) for i, t in zip(rows[4]["doc_id"], rows[4]["text"], strict=True))
+    assert Counter((i, bytes(t)) for i, t in zip(rows[5]["doc_id"], rows[5]["token_ids"], strict=True)) == want
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
