@@ -11,14 +11,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastrel.llm.common import prepare, thin
-from rastrel.llm.semicrf import Segment, SemiCrf
+from rastrel.llm.semicrf import SemiCrf
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of an entity at most; regions of the table that the CRF learns from at most, and written ones.
@@ -29,23 +31,22 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_TWICE = str.maketrans("0123456789", "0246813579")
+_OTHER = re.compile(r"[^0-9]+")
 _MARK = re.compile(r"[0-9@]")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
+_SHAPE = str.maketrans("123456789", "000000000")
 _TAIL = re.compile(r"[A-Za-z]{2,10}\Z")
 Span = tuple[int, int, str]  # start, end, kind
 
 
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, d in enumerate(reversed(digits)):
-        v = int(d) * (1 + i % 2)
-        total += v - 9 * (v > 9)
-    return total % 10 == 0
+    return (sum(map(int, digits[::-2])) + sum(map(int, digits[-2::-2].translate(_TWICE)))) % 10 == 0
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return _OTHER.sub("", s)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -123,62 +124,65 @@ def _features(text: str, a: int, b: int, kind: str) -> list[str]:
     return [f"{kind}:{f}" for f in own]
 
 
-def candidates(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[tuple[Segment, list[str]]]]:
-    """Token places of a region, and its candidate segments with features."""
-    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)]
-    kinds = ["d" if "0" <= text[s] <= "9" else "w" if text[s].isascii() and text[s].isalpha() else text[s] for s, _ in tokens]
-    out = []
-    for i, first in enumerate(kinds):
-        if first not in ("d", "w", "+", "("):
+def tokens_of(text: str, a: int, b: int) -> tuple[array, str]:
+    """Bounds of a region's tokens, one more than there are tokens, and one sign for each: d digits, w letters, else the character itself."""
+    bounds, kinds = array("q", [a]), []
+    for m in _TOKEN.finditer(text, a, b):
+        c = text[m.start()]
+        bounds.append(m.end())
+        kinds.append("d" if "0" <= c <= "9" else "w" if c.isascii() and c.isalpha() else c)
+    return bounds, "".join(kinds)
+
+
+def candidates(bounds: array, kinds: str, i: int) -> Iterator[tuple[int, str]]:
+    """(end, type) of every candidate segment that starts at token i."""
+    first = kinds[i]
+    if first not in "dw+(":
+        return
+    # what the run up to here can still be
+    email, number, ip = first in "dw", first in "d+(", first == "d"
+    at = digits = dots = 0
+    for j in range(i, min(len(kinds), i + LONGEST)):
+        k = kinds[j]
+        if k == "d":
+            digits += bounds[j + 1] - bounds[j]
+        elif k == "@":
+            at += 1
+            number = ip = False
+            email = email and at == 1
+        elif k in "w_%":
+            number = ip = False
+        elif k == ".":
+            dots += 1
+        elif k in "+-":
+            ip = False
+            number = number and (k == "-" or j == i)
+        elif k in " ()":
+            email = ip = False
+        else:
+            return
+        if not (email or number or ip):
+            return
+        if k not in "dw":
             continue
-        # what the run up to here can still be
-        email = first in ("d", "w")
-        number = first in ("d", "+", "(")
-        ip = first == "d"
-        at = digits = dots = 0
-        for j in range(i, min(len(kinds), i + LONGEST)):
-            k = kinds[j]
-            if k == "d":
-                digits += tokens[j][1] - tokens[j][0]
-            elif k == "@":
-                at += 1
-                number = ip = False
-                email = email and at == 1
-            elif k == "w" or k in "_%":
-                number = ip = False
-            elif k == ".":
-                dots += 1
-            elif k in "+-":
-                ip = False
-                number = number and (k == "-" or j == i)
-            elif k in " ()":
-                email = ip = False
-            else:
-                break
-            if not (email or number or ip):
-                break
-            if k not in ("d", "w"):
-                continue
-            s, e = tokens[i][0], tokens[j][1]
-            if email and at and kinds[j - 1] != "@" and dots:
-                out.append(((i, j + 1, "email"), _features(text, s, e, "email")))
-            if ip and k == "d" and dots == 3:
-                out.append(((i, j + 1, "ip"), _features(text, s, e, "ip")))
-            if number and k == "d":
-                if 7 <= digits <= 15:
-                    out.append(((i, j + 1, "phone"), _features(text, s, e, "phone")))
-                if 12 <= digits <= 19 and first == "d":
-                    out.append(((i, j + 1, "card"), _features(text, s, e, "card")))
-    return tokens, out
+        if email and at and kinds[j - 1] != "@" and dots:
+            yield j + 1, "email"
+        if ip and k == "d" and dots == 3:
+            yield j + 1, "ip"
+        if number and k == "d":
+            if 7 <= digits <= 15:
+                yield j + 1, "phone"
+            if 12 <= digits <= 19 and first == "d":
+                yield j + 1, "card"
 
 
 def _lesson(text: str, gold: list[Span], a: int, b: int):
-    tokens, options = candidates(text, a, b)
-    index = {s: i for i, (s, _) in enumerate(tokens)}
-    ends = {e: i + 1 for i, (_, e) in enumerate(tokens)}
-    known = {o[0] for o in options}
-    own = {(index[s], ends[e], k) for s, e, k in gold if s in index and e in ends}
-    return len(tokens), options, own & known
+    """A short region to learn from: how many tokens, its candidates with features, and those of them that are right."""
+    bounds, kinds = tokens_of(text, a, b)
+    index = {at: i for i, at in enumerate(bounds)}
+    options = [((i, j, kind), _features(text, bounds[i], bounds[j], kind)) for i in range(len(kinds)) for j, kind in candidates(bounds, kinds, i)]
+    own = {(index[s], index[e], k) for s, e, k in gold if s in index and e in index}
+    return len(kinds), options, own & {o[0] for o in options}
 
 
 def practice(n: int, seed: int = 23) -> list[tuple[str, list[Span]]]:
@@ -223,40 +227,85 @@ def practice(n: int, seed: int = 23) -> list[tuple[str, list[Span]]]:
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> SemiCrf:
-    """Fit on practice texts and on regions of the first SAMPLE_REGIONS documents, in the order of a hash, that have marks."""
-    text = F.col(text_col)
-    around = F.regexp_extract_all(F.col("text"), F.lit(r"((?:^|\s)(?:\S{0,80}[0-9@]\S{0,80}\s?){1,8})"), 1)[0]
-    marked = docs.where(text.rlike("[0-9@]")).select(text.alias("text"))
-    own = thin(marked, F.xxhash64("text"), SAMPLE_REGIONS).select(around.alias("text"), F.xxhash64("text").alias("code")).orderBy("code", "text").limit(SAMPLE_REGIONS).collect()
+    """Fit on practice texts and on the surroundings of a mark in SAMPLE_REGIONS documents at most, the first in the order of a hash.
+
+    Documents where every mark is deeper than 80 characters inside a word have no such surroundings and are not learned from.
+    """
+    around = F.regexp_extract(text_col, r"((?:^|\s)(?:\S{0,80}[0-9@]\S{0,80}\s?){1,8})", 1)
+    own = (
+        thin(docs.select(F.col(text_col).alias("text")), F.xxhash64("text"), SAMPLE_REGIONS).where(F.col("text").rlike("[0-9@]"))
+        .select(around.alias("text"), F.xxhash64("text").alias("code")).where("text <> ''").orderBy("code", "text").limit(SAMPLE_REGIONS).collect()
+    )
     lessons = [_lesson(t, g, a, b) for t, g in practice(PRACTICE) for a, b in regions(t)]
     for r in own:
-        t = " " + (r["text"] or "") + " "
+        t = " " + r["text"] + " "
         lessons += [_lesson(t, base_spans(t), a, b) for a, b in regions(t)]
     return SemiCrf().fit([x for x in lessons if x[1]])
 
 
 def find_spans(text: str, model: SemiCrf) -> list[Span]:
-    """All spans of a text, by start and then kind: the base ones, and those that the CRF adds. Offsets are in code points."""
+    """All spans of a text, by start and then kind: the base ones, and those that the CRF adds. Offsets are in code points.
+
+    Candidates live only while the dynamic programme looks at their first token, so a region costs a few numbers for each token.
+    """
     if _MARK.search(text) is None:
         return []
     base = base_spans(text)
-    out = list(base)
+    out, near, following = list(base), [], 0
+    known: dict[tuple, float] = {}
     for a, b in regions(text):
-        near = [s for s in base if s[0] < b and s[1] > a]
-        tokens, options = candidates(text, a, b)
-        for i, j, kind in model.decode(len(tokens), options) if options else ():
-            s, e = tokens[i][0], tokens[j - 1][1]
-            if not any(x < e and y > s for x, y, _ in near):
+        near = [s for s in near if s[1] > a]
+        while following < len(base) and base[following][0] < b:
+            if base[following][1] > a:
+                near.append(base[following])
+            following += 1
+        bounds, kinds = tokens_of(text, a, b)
+
+        def options(i: int, bounds=bounds, kinds=kinds) -> Iterator[tuple[int, str, float]]:
+            for j, kind in candidates(bounds, kinds, i):
+                yield j, kind, _score(text, bounds[i], bounds[j], kind, model, known)
+
+        at = 0  # no base span before this one reaches what is still to come
+        for i, j, kind in model.decode(len(kinds), options):
+            s, e = bounds[i], bounds[j]
+            while at < len(near) and near[at][1] <= s:
+                at += 1
+            if not _meets(near, at, s, e):
                 out.append((s, e, kind))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def _score(text: str, a: int, b: int, kind: str, model: SemiCrf, known: dict[tuple, float]) -> float:
+    """What the features of a span weigh. Those of numbers depend on their shape, the signs around, and for cards the check digit and the first."""
+    if kind not in ("card", "phone"):
+        return model.score(_features(text, a, b, kind))
+    s = text[a:b]
+    key = (s.translate(_SHAPE), text[a - 1 : a], text[b : b + 2], kind == "card" and (luhn(_digits(s)), s[0]))
+    got = known.get(key)
+    if got is None:
+        if len(known) > 20_000:
+            known.clear()
+        got = known[key] = model.score(_features(text, a, b, kind))
+    return got
+
+
+def _meets(spans: list[Span], at: int, start: int, end: int) -> bool:
+    """Whether any of the spans from at on, sorted by start, overlaps start..end."""
+    for s, e, _ in islice(spans, at, None):
+        if s >= end:
+            return False
+        if e > start:
+            return True
+    return False
+
+
 def find_personal_data(docs: DataFrame, model: SemiCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans for every row of docs.
 
     The counts and base_sha256 are of the base spans, spans of all, as kind:start:end joined by commas
     in order of start and then kind. Null text counts as empty. Repeated rows stay repeated, null ids
-    stay null, an empty table gives no rows, and other columns are not read.
+    stay null, an empty table gives no rows, and other columns are not read. Texts may have any length: a
+    region of them, long tables of figures too, takes a few numbers for each token.
     """
     prepare(docs.sparkSession)
 

@@ -9,6 +9,8 @@ maximises over all segmentations.
 from __future__ import annotations
 
 import math
+from array import array
+from collections.abc import Callable, Iterable
 
 Segment = tuple[int, int, str]  # first token, end, type
 
@@ -17,34 +19,39 @@ class SemiCrf:
     def __init__(self, weights: dict[str, float] | None = None):
         self.weights = weights or {}
 
-    def _score(self, features: list[str]) -> float:
+    def score(self, features: list[str]) -> float:
         get = self.weights.get
         return sum(get(f, 0.0) for f in features)
 
-    def decode(self, n: int, candidates: list[tuple[Segment, list[str]]]) -> list[Segment]:
-        """The segmentation of largest score; ties go to fewer segments."""
-        ending: dict[int, list[tuple[Segment, float]]] = {}
-        for s, f in candidates:
-            ending.setdefault(s[1], []).append((s, self._score(f)))
-        best = [0.0] * (n + 1)
-        back: list[Segment | None] = [None] * (n + 1)
-        for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for s, v in ending.get(j, ()):
-                if best[s[0]] + v > best[j] + 1e-12:
-                    best[j], back[j] = best[s[0]] + v, s
-        out, j = [], n
-        while j > 0:
-            if back[j] is None:
-                j -= 1
+    def decode(self, n: int, starting: Callable[[int], Iterable[tuple[int, str, float]]]) -> list[Segment]:
+        """The segmentation of largest score; ties go to fewer segments. starting(i): end, type and score of the candidates from token i on.
+
+        From the last token to the first, so that each candidate is looked at once and then forgotten; a token costs three numbers.
+        """
+        best = array("d", bytes(8 * (n + 1)))
+        reach, kind = array("q", bytes(8 * n)), array("b", bytes(n))
+        names: list[str] = []
+        for i in range(n - 1, -1, -1):
+            top, to, what = best[i + 1], 0, 0
+            for j, name, score in starting(i):
+                v = score + best[j]
+                if v > top + 1e-12:
+                    if name not in names:
+                        names.append(name)
+                    top, to, what = v, j, names.index(name)
+            best[i], reach[i], kind[i] = top, to, what
+        out, i = [], 0
+        while i < n:
+            if reach[i]:
+                out.append((i, reach[i], names[kind[i]]))
+                i = reach[i]
             else:
-                out.append(back[j])
-                j = back[j][0]
-        return out[::-1]
+                i += 1
+        return out
 
     def _gradient(self, n: int, candidates: list[tuple[Segment, list[str]]], gold: set[Segment]) -> dict[str, float]:
         """Features of the gold segmentation less their expectation."""
-        scored = [(s, f, self._score(f)) for s, f in candidates]
+        scored = [(s, f, self.score(f)) for s, f in candidates]
         ending: dict[int, list] = {}
         starting: dict[int, list] = {}
         for x in scored:
