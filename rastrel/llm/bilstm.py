@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -25,9 +27,9 @@ class BiLstm:
         self.p["o"] = (r.normal(size=2 * hidden) * 0.3).astype(np.float32)
         self.p["ob"] = np.zeros(1, dtype=np.float32)
 
-    def _scan(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool):
+    def _scan(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None):
         n, steps, _ = x.shape
-        h = c = np.zeros((n, self.hidden), dtype=np.float32)
+        h, c = state or (np.zeros((n, self.hidden), dtype=np.float32),) * 2
         z = x @ self.p[way + "x"] + self.p[way + "c"]
         out = np.zeros((n, steps, self.hidden), dtype=np.float32)
         trace = []
@@ -44,14 +46,26 @@ class BiLstm:
             c = np.where(m, nc, c)
             h = np.where(m, o * tc, h)
             out[:, t] = h
-        return out, trace
+        return out, trace, (h, c)
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        f, _ = self._scan(x, mask, "f", False)
-        b, _ = self._scan(x, mask, "b", False)
+        f, b = (self._scan(x, mask, way, False)[0] for way in "fb")
         k = self.hidden
         return _sigmoid(f @ self.p["o"][:k] + b @ self.p["o"][k:] + self.p["ob"])
 
+    def long_scores(self, part: Callable[[int, int], np.ndarray], steps: int, chunk: int) -> np.ndarray:
+        """scores of one sequence, read in chunks by part(from, to); only a number for each step is kept of the whole."""
+        k = self.hidden
+        total = np.full(steps, self.p["ob"][0], dtype=np.float32)
+        for way, head in (("f", self.p["o"][:k]), ("b", self.p["o"][k:])):
+            state = None
+            starts = range(0, steps, chunk)
+            for a in starts if way == "f" else reversed(starts):
+                x = part(a, min(steps, a + chunk))[None]
+                out, _, state = self._scan(x, np.ones(x.shape[:2], dtype=bool), way, False, state)
+                total[a : a + chunk] += out[0] @ head
+        return _sigmoid(total)
+
     def _step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         k = self.hidden
         outs = {w: self._scan(x, mask, w, True) for w in "fb"}

@@ -13,6 +13,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,14 @@ SAMPLE_PAGES, SAMPLE_CHARS, PRACTICE = 96, 60_000, 256
 PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 64, 24, 9
 #: Steps of all pages, padding included, that are labelled at once.
 BATCH_STEPS = 60_000
-_SILENT = "script|style|noscript|template|title|iframe|object|svg|math|canvas"
+#: Steps that the LSTM reads at a time of a page that is longer; its state goes on.
+CHUNK_STEPS = 20_000
+_REST = r"\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+"
+# What the page does not show: comments, scripts, styles, the title of the head, and templates. Only the first three may
+# run to the page's end without a closing tag; a start tag that closes itself hides nothing.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + _SILENT + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?:script|style|title|noscript|template)" + _REST + r"(?<=/)>|<(script|style|title)" + _REST + r">.*?(?:</\1\s*>|\Z)|<(noscript|template)" + _REST + r">.*?</\2\s*>"
+    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:\bclass|\bid|\brole)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -52,10 +57,37 @@ OTHER_NAMES = frozenset(
 )
 
 
+class Node:
+    """An open element: its tag and the words of its names, and what it and those around it say together.
+
+    Paths share their beginnings, so a page costs a node for each element that it opens, however deep.
+    """
+
+    __slots__ = ("tag", "bits", "vector", "main", "other", "below")
+
+    def __init__(self, tag: str, words: tuple, above: Node | None):
+        self.tag, self.below = tag, {}
+        self.main = bool(above and above.main) or tag in ("article", "main")
+        self.other = bool(above and above.other) or tag in OTHER_TAGS or not OTHER_NAMES.isdisjoint(words)
+        signs = [zlib.crc32(("<" + tag).encode()), *[zlib.crc32(("." + w).encode()) for w in words]] if tag else []
+        self.bits = above.bits if above else 0
+        for sign in signs:
+            self.bits |= 1 << sign % PATH_DIMS
+        self.vector = np.unpackbits(np.frombuffer(self.bits.to_bytes(PATH_DIMS // 8, "little"), dtype=np.uint8), bitorder="little").astype(np.float32)
+        for sign in signs:
+            self.vector[(sign >> 8) % PATH_DIMS] += 0.5  # the last step counts more
+
+    def step(self, tag: str, words: tuple) -> Node:
+        got = self.below.get((tag, words))
+        if got is None:
+            got = self.below[tag, words] = Node(tag, words, self)
+        return got
+
+
 class Leaf:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple, text: str, linked: int):
+    def __init__(self, path: Node, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
@@ -63,7 +95,8 @@ def leaves(page: str | None) -> list[Leaf]:
     """The blocks of text of a page in order, their references decoded and white space made single."""
     page = page or ""
     out: list[Leaf] = []
-    stack: list[tuple] = []
+    stack: list[Node] = [Node("", (), None)]
+    opened: Counter = Counter()
     parts: list[str] = []
     linked = anchors = last = 0
 
@@ -71,62 +104,51 @@ def leaves(page: str | None) -> list[Leaf]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            out.append(Leaf(tuple(s for s in stack), text, linked))
+            out.append(Leaf(stack[-1], text, linked))
         parts.clear()
         linked = 0
 
+    def close() -> None:
+        opened[stack.pop().tag] -= 1
+
     for m in _TAG.finditer(page):
         if m.start() > last:
             parts.append(page[last : m.start()])
             if anchors:
                 linked += m.start() - last
         last = m.end()
-        name = m.group(3) or m.group(6)
+        name = m.group(4) or m.group(7)
         if name is None:
             continue
         name = name.lower()
+        ends = m.group(3) or m.group(6)
         if name == "a":
-            anchors = 0 if (m.group(2) or m.group(5)) else 1
+            anchors = 0 if ends else 1
         elif name == "br":
             parts.append(" ")
         elif name in BLOCKS:
             flush()
-            if m.group(2) or m.group(5):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+            if ends:
+                if opened[name]:
+                    while stack[-1].tag != name:
+                        close()
+                    close()
             elif name not in VOID:
-                if stack and stack[-1][0] in CLOSES.get(name, ()):
-                    stack.pop()
-                names = " ".join(_NAMES.findall(m.group(4) or m.group(7) or "")).lower() if (m.group(4) or m.group(7)) else ""
-                stack.append((name, *_WORD.findall(names)))
+                if stack[-1].tag in CLOSES.get(name, ()):
+                    close()
+                names = m.group(5) or m.group(8)
+                stack.append(stack[-1].step(name, tuple(_WORD.findall(" ".join(_NAMES.findall(names)).lower())) if names else ()))
+                opened[name] += 1
     if last < len(page):
         parts.append(page[last:])
     flush()
     return out
 
 
-_PATHS: dict[tuple, np.ndarray] = {}
-
-
-def _path_vector(path: tuple) -> np.ndarray:
-    got = _PATHS.get(path)
-    if got is None:
-        if len(_PATHS) > 50_000:
-            _PATHS.clear()
-        got = np.zeros(PATH_DIMS, dtype=np.float32)
-        for depth, step in enumerate(path):
-            for k, word in enumerate(step):
-                sign = zlib.crc32((("<" if k == 0 else ".") + word).encode())
-                got[sign % PATH_DIMS] = 1
-                if depth == len(path) - 1:
-                    got[(sign >> 8) % PATH_DIMS] += 0.5
-        _PATHS[path] = got
-    return got
-
-
-def vectors(blocks: list[Leaf]) -> np.ndarray:
+def vectors(blocks: list[Leaf], start: int = 0, end: int | None = None) -> np.ndarray:
+    """A row for each of the page's blocks from start to end."""
+    out_of, longest = len(blocks), max((len(b.text) for b in blocks), default=1)
+    blocks = blocks[start:end]
     n = len(blocks)
     out = np.zeros((n, PATH_DIMS + WORD_DIMS + SHAPE_DIMS), dtype=np.float32)
     if not n:
@@ -135,7 +157,7 @@ def vectors(blocks: list[Leaf]) -> np.ndarray:
     counts = np.fromiter(map(len, words), dtype=np.int64, count=n)
     signs = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for own in words for w in own), dtype=np.int64, count=int(counts.sum()))
     which = np.repeat(np.arange(n), counts)
-    out[:, :PATH_DIMS] = [_path_vector(b.path) for b in blocks]
+    out[:, :PATH_DIMS] = [b.path.vector for b in blocks]
     hashed = np.bincount(which * WORD_DIMS + signs % WORD_DIMS, minlength=n * WORD_DIMS).reshape(n, WORD_DIMS)
     out[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = hashed / np.sqrt(counts)[:, None]
     lengths = np.fromiter((len(b.text) for b in blocks), dtype=np.float64, count=n)
@@ -143,22 +165,37 @@ def vectors(blocks: list[Leaf]) -> np.ndarray:
     out[:, at] = np.log1p(lengths) / 6
     out[:, at + 1] = np.minimum(1, np.fromiter((b.linked for b in blocks), dtype=np.float64, count=n) / np.maximum(1, lengths))
     out[:, at + 2] = np.fromiter((b.text[-1] in ".!?…:;\"”»" for b in blocks), dtype=np.float64, count=n)
-    out[:, at + 3] = np.arange(n) / n
+    out[:, at + 3] = np.arange(start, start + n) / out_of
     out[:, at + 4] = np.log1p(counts) / 5
     out[:, at + 5] = np.fromiter((b.text.count(",") for b in blocks), dtype=np.float64, count=n) / counts
-    out[:, at + 6] = lengths / lengths.max()
+    out[:, at + 6] = lengths / longest
     out[:, at + 7] = np.fromiter(("©" in b.text or "|" in b.text for b in blocks), dtype=np.float64, count=n)
-    out[:, at + 8] = np.fromiter((bool(b.path) and b.path[-1][0][0] == "h" and b.path[-1][0][1:].isdigit() for b in blocks), dtype=np.float64, count=n)
+    out[:, at + 8] = np.fromiter((b.path.tag[:1] == "h" and b.path.tag[1:].isdigit() for b in blocks), dtype=np.float64, count=n)
     return out
 
 
 def meaning(blocks: list[Leaf]) -> np.ndarray:
     """Labels by the meaning of tags and names on the path: 1 for main text."""
-    inside = any(s[0] in ("article", "main") for b in blocks for s in b.path)
-    out = np.zeros(len(blocks), dtype=np.float32)
-    for i, b in enumerate(blocks):
-        names = {w for s in b.path for w in s[1:]}
-        out[i] = (not inside or any(s[0] in ("article", "main") for s in b.path)) and not any(s[0] in OTHER_TAGS for s in b.path) and not names & OTHER_NAMES
+    inside = any(b.path.main for b in blocks)
+    return np.array([(b.path.main or not inside) and not b.path.other for b in blocks], dtype=np.float32)
+
+
+def label(pages: list[list[Leaf]], model: BiLstm) -> list[np.ndarray]:
+    """The score of every block of every page; pages of like length are read together, a long one in chunks."""
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.float32)] * len(pages)
+    order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+    while order:
+        k = 1
+        while k < len(order) and (k + 1) * len(pages[order[k]]) <= BATCH_STEPS:
+            k += 1
+        own, order = order[:k], order[k:]
+        if len(pages[own[0]]) > CHUNK_STEPS:
+            page = pages[own[0]]
+            out[own[0]] = model.long_scores(lambda a, b, page=page: vectors(page, a, b), len(page), CHUNK_STEPS)
+            order = own[1:] + order
+            continue
+        for i, s in zip(own, model.scores(*pad([vectors(pages[i]) for i in own])), strict=True):
+            out[i] = s[: len(pages[i])]
     return out
 
 
@@ -220,8 +257,7 @@ def practice_pages(n: int, seed: int = 11) -> list[tuple[str, list[bool]]]:
 def learn(pages: DataFrame, html_col: str = "html", seed: int = 7) -> BiLstm:
     """Fit the labeller. Of the table, the SAMPLE_PAGES first pages in the order of a hash, none over SAMPLE_CHARS, take part."""
     page = F.col(html_col)
-    fit = pages.where(F.octet_length(page) <= SAMPLE_CHARS).select(page.alias("html"))
-    own = thin(fit, F.xxhash64("html"), SAMPLE_PAGES).orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
+    own = thin(pages.select(page.alias("html")), F.xxhash64("html"), SAMPLE_PAGES).where(F.octet_length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
     data = []
     for text, label in [*practice_pages(PRACTICE), *[(r["html"], None) for r in own]]:
         blocks = leaves(text)
@@ -234,7 +270,9 @@ def learn(pages: DataFrame, html_col: str = "html", seed: int = 7) -> BiLstm:
 def extract(pages: DataFrame, model: BiLstm, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for every row of pages; whole pages, one pass without a shuffle.
 
-    Null html is an empty page. A page without main blocks has an empty text. Repeated rows stay
+    What counts as shown is all text but that of scripts, styles, templates, comments and the head's title; a
+    block scored 0.5 or more is main text. Null html is an empty page. Time and memory are linear in a page,
+    however deep or long. A page without main blocks has an empty text. Repeated rows stay
     repeated, null ids and urls stay null, an empty table gives no rows, other columns are not read.
     """
     prepare(pages.sparkSession)
@@ -244,16 +282,7 @@ def extract(pages: DataFrame, model: BiLstm, id_col: str = "page_id", url_col: s
             for start in range(0, len(batch), 512):
                 part = batch.slice(start, 512)
                 blocks = [leaves(p.as_py()) for p in part.column(2)]
-                text = [""] * len(blocks)
-                order = sorted((i for i in range(len(blocks)) if blocks[i]), key=lambda i: len(blocks[i]))
-                while order:
-                    k = 1
-                    while k < len(order) and (k + 1) * len(blocks[order[k]]) <= BATCH_STEPS:
-                        k += 1
-                    own, order = order[:k], order[k:]
-                    scores = model.scores(*pad([vectors(blocks[i]) for i in own]))
-                    for i, s in zip(own, scores, strict=True):
-                        text[i] = "\n".join(b.text for b, v in zip(blocks[i], s, strict=False) if v >= 0.5)
+                text = ["\n".join(b.text for b, v in zip(own, s, strict=True) if v >= 0.5) for own, s in zip(blocks, label(blocks, model), strict=True)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -1,11 +1,13 @@
 """Input that once broke an operator, or that is large or lopsided."""
 
 import random
+import time
 import tracemalloc
 
+import numpy as np
 import pytest
 
-from rastrel.llm import pii
+from rastrel.llm import html_extract, pii
 from rastrel.llm.semicrf import SemiCrf
 
 R = random.Random(12)
@@ -34,3 +36,38 @@ def test_luhn_and_spans_in_segments_of_one_region():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.luhn("79927398713")
     found = pii.find_spans("call +1 (212) 555-0199 or +12125550188 or 10.0.0.1, 10.0.0.999", _crf())
     assert [k for _, _, k in found].count("phone") == 2 and (42, 50, "ip") in found
+
+
+@pytest.fixture(scope="module")
+def labeller():
+    pages = [(html_extract.leaves(p), y) for p, y in html_extract.practice_pages(200)]
+    return html_extract.BiLstm(html_extract.PATH_DIMS + html_extract.WORD_DIMS + html_extract.SHAPE_DIMS).fit([(html_extract.vectors(b), np.array(y, dtype=np.float32)) for b, y in pages])
+
+
+def test_formulas_and_drawings_keep_their_text():
+    pages = {
+        "<p>Formula <math><mi>x</mi></math> holds.</p>": ["Formula x holds."],
+        "<p>a <svg viewBox='0 0 1 1'/> b <canvas/>c</p><p>d<object data=q>fallback</object></p>": ["a b c", "dfallback"],
+        "<p>one<script src='a>b'/>two<noscript>n</noscript><style>s</style></p><template>t</template>x": ["onetwo", "x"],
+        "<head><title>not <b>here</title></head><p>text<noscript>never closed": ["textnever closed"],
+        "<p>kept<script>var a='</p>'": ["kept"],
+    }
+    for page, want in pages.items():
+        assert [b.text for b in html_extract.leaves(page)] == want
+
+
+def test_deep_and_long_pages_take_linear_time(labeller, monkeypatch):
+    start = time.time()
+    deep = html_extract.leaves("<div>" * 60_000 + "".join(f"<p>{i}</section></p>" for i in range(30_000)))
+    assert len(deep) == 30_000 and time.time() - start < 20
+    page = html_extract.leaves("".join(p for p, _ in html_extract.practice_pages(12, seed=3)))
+    whole = labeller.scores(*html_extract.pad([html_extract.vectors(page)]))[0]
+    monkeypatch.setattr(html_extract, "CHUNK_STEPS", 17)
+    got = html_extract.label([page, [], page[:5]], labeller)
+    assert np.allclose(got[0], whole, atol=1e-5) and len(got[1]) == 0 and len(got[2]) == 5
+
+
+def test_html_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(None, "u", "<p>word</p>", "t", 4), (None, "u", "<p>word</p>", "t", 4), (2, None, None, "t", 4)], "page_id long, url string, html string, text string, n_chars int")
+    got = html_extract.extract(pages, html_extract.learn(pages)).collect()
+    assert sorted((x.page_id or 0, x.n_chars) for x in got) == sorted([(0, got[0].n_chars)] * 2 + [(2, 0)])
