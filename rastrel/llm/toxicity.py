@@ -25,6 +25,9 @@ from rastrel.llm.common import checkpoint, prepare, release, thin
 #: Labelled rows that the model is fitted on at most, of each label; lexicon entries at most.
 SAMPLE_ROWS, LEXICON = 6_000, 4_000
 STEMS = (4, 5, 6)
+#: Folds that lexicon, trees and calibration are cross-fitted by; columns of counts by fold and label.
+FOLDS = 4
+_COUNTS = [f"c{k}{y}" for k in range(FOLDS) for y in (0, 1)]
 #: Second-person words of English, German, French and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 #: Characters that stand for letters in disguised words.
@@ -152,37 +155,44 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, l
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and other texts hold each lexicon entry."""
-    counts: list[Counter] = [Counter(), Counter()]
+    """How many toxic and other texts of each fold hold each lexicon entry."""
+    counts = [Counter() for _ in range(2 * FOLDS)]
     for batch in batches:
-        for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, y, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             own = set()
             for w in set((text or "").split()):
                 word = bare(w)
                 if len(word) > 1:
                     own.update(entries(word))
-            counts[y].update(own)
-    keys = list(counts[1] | counts[0])
+            counts[2 * fold + y].update(own)
+    keys = list(set().union(*counts))
     for a in range(0, len(keys), 50_000):
         part = keys[a : a + 50_000]
-        yield pa.record_batch([pa.array(part, pa.string()), pa.array([counts[1][k] for k in part], pa.int64()), pa.array([counts[0][k] for k in part], pa.int64())], names=["entry", "pos", "neg"])
-
-
-def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Entries far more frequent in toxic texts, with their log odds; a bounded number of them."""
-    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
-    if not pos or not neg:
-        return {}
-    least = max(2, round(0.001 * pos))
-    odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
-    top = (
-        sample.select("doc_id", "text", F.col("y").cast("int")).mapInArrow(_terms, "entry string, pos long, neg long")
-        .groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where(F.col("pos") >= least).withColumn("odds", odds).where("odds > 1.5")
-        .orderBy(F.desc("odds"), F.desc("pos"), "entry").limit(size).collect()
+        yield pa.record_batch([pa.array(part, pa.string()), *[pa.array([c[k] for k in part], pa.int64()) for c in counts]], names=["entry", *_COUNTS])
+
+
+def learn_lexicons(sample: DataFrame, size: int = LEXICON) -> list[dict[str, float]]:
+    """Entries far more frequent in toxic texts, with their log odds, a bounded number: from all folds but each in turn, and from all."""
+    n = {(r["fold"], r["y"]): r["n"] for r in sample.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    terms = checkpoint(
+        sample.select("text", "y", "fold").mapInArrow(_terms, "entry string, " + ", ".join(f"{c} long" for c in _COUNTS))
+        .groupBy("entry").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     )
-    return {r["entry"]: float(r["odds"]) for r in top}
+    out = []
+    for left in (*range(FOLDS), None):
+        own = [k for k in range(FOLDS) if k != left]
+        neg, pos = (sum(n.get((k, y), 0) for k in own) for y in (0, 1))
+        if not pos or not neg:
+            out.append({})
+            continue
+        held = [sum((F.col(f"c{k}{y}") for k in own[1:]), F.col(f"c{own[0]}{y}")) for y in (0, 1)]
+        odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
+        top = (
+            terms.select("entry", held[1].alias("pos"), held[0].alias("neg")).where(F.col("pos") >= max(2, round(0.001 * pos)))
+            .withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc("odds"), F.desc("pos"), "entry").limit(size).collect()
+        )
+        out.append({r["entry"]: float(r["odds"]) for r in top})
+    return out
 
 
 class Model:
@@ -204,39 +214,39 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from labelled rows of docs; with fewer than 5 rows of a label the score is constant.
+    """Learn from labelled rows of docs; with fewer than 2 rows of a label the score is constant.
 
-    From 500 toxic rows on, the lexicon comes from half of the sample and the trees from the other,
-    where its odds are not flattered; with fewer, both use all. The calibration uses scores of folds
-    that a tree set was not fitted on. Rows of a label that has more than `rows` weigh more by as much,
-    so scores are probabilities at the labels' own ratio however many rows there are.
+    Cross-fitted at every size: a row's features come from a lexicon of the other folds' rows, so that its odds
+    are not flattered, and the calibration uses scores of trees that were not fitted on the row. Rows of a label
+    that has more than `rows` weigh more by as much, so scores are probabilities at the labels' own ratio
+    however many rows there are.
     """
     prepare(docs.sparkSession)
     sample, stands = _sample(docs, labels, rows)
-    sample = checkpoint(sample)
-    toxic = sample.where("y = 1").count()
-    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) if toxic >= 500 else F.lit(0)
-    lexicon = learn_lexicon(sample.where(half == 0))
-    names = ["doc_id", "y", "x"]
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
+    sample = checkpoint(sample.select("doc_id", "text", F.col("y").cast("int").alias("y"), fold.alias("fold")))
+    *without, lexicon = learn_lexicons(sample)
+    names = ["doc_id", "y", "fold", "x"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Features(lexicon)
+        own = [Features(x) for x in without]
         for batch in batches:
-            x = [f.of(t).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=names)
+            x = [own[k].of(t).tolist() for t, k in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), pa.array(x, pa.list_(pa.float64()))], names=names)
 
-    data = sample.where(half == int(toxic >= 500)).select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(run, "doc_id long, y int, x array<double>").orderBy("doc_id").collect()  # at most 2 * rows short vectors
+    data = sample.mapInArrow(run, "doc_id long, y int, fold int, x array<double>").orderBy("doc_id").collect()  # at most 2 * rows short vectors
     y = np.array([r["y"] for r in data], dtype=float)
     weight = np.where(y == 1, stands[1], stands[0])
     rate = float(np.average(y, weights=weight)) if len(y) else 0.0
-    if not len(y) or min(y.sum(), (1 - y).sum()) < 5:
+    if not len(y) or min(y.sum(), (1 - y).sum()) < 2:
         return Model(lexicon, None, None, rate)
     x = np.array([r["x"] for r in data])
     weight /= weight.mean()
     held = np.zeros(len(y))
-    fold = np.arange(len(y)) % 4
-    for k in range(4):
-        held[fold == k] = BoostedTrees().fit(x[fold != k], y[fold != k], weight[fold != k]).decision(x[fold == k])
+    fold = np.array([r["fold"] for r in data])
+    for k in np.unique(fold):
+        rest = fold != k
+        held[~rest] = BoostedTrees().fit(x[rest], y[rest], weight[rest]).decision(x[~rest]) if rest.any() else 0.0
     return Model(lexicon, BoostedTrees().fit(x, y, weight), Isotonic().fit(held, y, weight), rate)
 
 

@@ -3,11 +3,12 @@
 import random
 import time
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from rastrel.llm import html_extract, pii
+from rastrel.llm import html_extract, pii, toxicity
 from rastrel.llm.semicrf import SemiCrf
 
 R = random.Random(12)
@@ -71,3 +72,27 @@ def test_html_columns_of_any_name(spark):
     pages = spark.createDataFrame([(None, "u", "<p>word</p>", "t", 4), (None, "u", "<p>word</p>", "t", 4), (2, None, None, "t", 4)], "page_id long, url string, html string, text string, n_chars int")
     got = html_extract.extract(pages, html_extract.learn(pages)).collect()
     assert sorted((x.page_id or 0, x.n_chars) for x in got) == sorted([(0, got[0].n_chars)] * 2 + [(2, 0)])
+
+
+def test_toxicity_on_few_labels_and_odd_texts(spark):
+    texts = [(i, ("grolk " if i % 3 == 0 else "") + " ".join(R.choices("alpha beta gamma delta omega".split(), k=20))) for i in range(90)]
+    rows = [(i, t, 1, 2, 3) for i, t in [*texts, (None, None), (140, None), (141, ""), (142, " \n"), (143, "grolk " * 200_000), (143, "grolk " * 200_000)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int, fold int, score int")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)] + [(140, 1, 0), (141, 1, 1), (150, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    score = [(x.doc_id, x.score) for x in toxicity.score_documents(docs, model).collect()]
+    assert len(score) == len(rows) and all(0 <= s <= 1 for _, s in score)
+    assert min(s for i, s in score if i is not None and i < 90 and i % 3 == 0) > max(s for i, s in score if i is not None and i < 90 and i % 3)
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(s < 0.7 for _, s in score)
+    none = toxicity.fit(docs.limit(0), labels)
+    assert {x.score for x in toxicity.score_documents(docs, none).collect()} == {0.0}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_toxicity_held_out_recall_on_the_small_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score_documents(docs, model).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 3 = 1").collect()
+    toxic = [x.score >= 0.7 for x in rows if x.toxic == 1]
+    assert sum(toxic) >= 0.7 * len(toxic) and sum(x.score >= 0.7 for x in rows if x.toxic == 0) <= 2
