@@ -20,6 +20,8 @@ from rastrel.llm.common import partitions
 BITS = 13
 #: Rates above this are cut into equal parts whose counts add up, so that exp(-rate) stays a normal number.
 MAX_RATE = 30.0
+#: Rows of sources that are repeated more often than this on average are written in runs of so many copies.
+HEAVY_RATE, RUN = 1000.0, 1024
 ADDED = ("mix_rate", "mix_copies", "mix_copy", "mix_key")
 
 
@@ -68,12 +70,14 @@ def mix(
 
     weights names the sources; all others together, null sources with them, have the weight rest.
     Weights are relative. A source without rows leaves its share to the others. mix_copy counts a
-    row's copies from 0. mix_key is the hash that orders the shuffle. Null ids draw as the empty
+    row's copies from 0; a row has fewer than 2^31. mix_key is the hash that orders the shuffle. Null ids draw as the empty
     string; repeated rows draw equal counts; an empty table gives no rows; further
-    columns of docs come along, but for those with the names that are added, which are replaced.
+    columns of docs come along, but for those with the names that are added, which are replaced. Counting the
+    rows of the sources is a job of its own, as it decides whether some rows have to be spread.
     """
     if any(not math.isfinite(w) or w < 0 for w in [*weights.values(), rest, epochs]):
         raise ValueError("weights and epochs must be finite and not negative")
+    spark = docs.sparkSession
     rates = source_rates(docs, weights, rest, epochs, source_col)
     known = list(weights)
     key = F.when(F.col(source_col).isin(known), F.col(source_col)).otherwise(F.lit("")) if known else F.lit("")
@@ -87,15 +91,23 @@ def mix(
     ident = F.coalesce(F.col("mix_id").cast("string"), F.lit(""))
 
     def draw(part: Column) -> Column:
-        u = uniform(F.lit(str(seed)), ident, part.cast("string"))
-        return F.size(F.filter(F.col("mix_cdf"), lambda c: c <= u))
+        # the number is bound as a lambda's variable, so it is made once and not for every term
+        once = F.transform(F.array(uniform(F.lit(str(seed)), ident, part.cast("string"))), lambda u: F.size(F.filter(F.col("mix_cdf"), lambda c: c <= u)))
+        return F.element_at(once, 1)
 
-    count = F.aggregate(F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0), lambda s, p: s + draw(p))
+    count = F.aggregate(F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0).cast("long"), lambda s, p: s + draw(p))
     counted = joined.withColumn("mix_copies", count).where("mix_copies > 0")
-    out = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col("mix_copy").cast("string")).cast("binary")))
-    out = out.select("mix_row.*", F.col("rate").alias("mix_rate"), "mix_copies", "mix_copy", "mix_key")
+    top = rates.agg(F.max("rate")).first()[0]
+    light = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)))
+    if top is not None and top > HEAVY_RATE:
+        # the few rows of a source that is repeated so often go out in runs of copies, each of which any task can write
+        runs = counted.where(F.col("rate") > HEAVY_RATE).withColumn("mix_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1, F.lit(RUN).cast("long"))))
+        runs = runs.repartition(partitions(spark), "mix_id", "mix_run")
+        heavy = runs.withColumn("mix_copy", F.explode(F.sequence(F.col("mix_run"), F.least(F.col("mix_run") + RUN, F.col("mix_copies")) - 1))).drop("mix_run")
+        light = light.where(F.col("rate") <= HEAVY_RATE).unionByName(heavy)
+    out = light.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col("mix_copy").cast("string")).cast("binary")))
+    out = out.select("mix_row.*", F.col("rate").alias("mix_rate"), F.col("mix_copies").cast("int").alias("mix_copies"), F.col("mix_copy").cast("int").alias("mix_copy"), "mix_key")
     if shuffle:
         # a hash decides the partition and orders it: together a uniform permutation, without a sampling pass
-        out = out.repartition(partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")
+        out = out.repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key")
     return out

@@ -1,5 +1,7 @@
 """Input that once broke an operator, or that is large or lopsided."""
 
+import hashlib
+import math
 import random
 import time
 import tracemalloc
@@ -8,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from rastrel.llm import html_extract, pii, toxicity
+from rastrel.llm import html_extract, mixing, pii, toxicity
 from rastrel.llm.semicrf import SemiCrf
 
 R = random.Random(12)
@@ -96,3 +98,29 @@ def test_toxicity_held_out_recall_on_the_small_table(spark):
     rows = toxicity.score_documents(docs, model).join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 3 = 1").collect()
     toxic = [x.score >= 0.7 for x in rows if x.toxic == 1]
     assert sum(toxic) >= 0.7 * len(toxic) and sum(x.score >= 0.7 for x in rows if x.toxic == 0) <= 2
+
+
+def test_one_row_of_a_source_that_is_repeated_very_often(spark):
+    rows = [(i, "t", "b") for i in range(3000)] + [(3000, "hot", "a"), (3001, "hot too", "a"), (None, "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, {"a": 9.0}, rest=1.0)
+    got = out.where("source = 'a'").groupBy("doc_id", "mix_copies").agg({"mix_copy": "max", "mix_key": "count"}).collect()
+    assert len(got) == 2 and all(x["max(mix_copy)"] + 1 == x["count(mix_key)"] == x.mix_copies for x in got)
+    assert abs(sum(x.mix_copies for x in got) - 2702.7) < 300 and out.select("doc_id", "mix_copy", "mix_key").distinct().count() == out.count()
+
+
+def test_counts_are_those_of_the_definition(spark):
+    """The plan draws one number for each row: the count is how much of the distribution lies below it."""
+    rate = 2.5
+    docs = spark.range(400).selectExpr("id AS doc_id", "'x' AS text", "IF(id % 5 < 2, 'a', 'b') AS source")
+    out = mixing.mix(docs, {"a": 1.0}, rest=0.0, shuffle=False, seed=9)
+    cdf, p = [], math.exp(-rate)
+    for k in range(40):
+        cdf.append(p + (cdf[-1] if cdf else 0.0))
+        p *= rate / (k + 1)
+    want = {}
+    for i in range(400):
+        if i % 5 < 2 and (n := sum(c <= int(hashlib.md5(f"9:{i}:1".encode()).hexdigest()[:13], 16) / 16**13 for c in cdf)):
+            want[i] = n
+    assert {x.doc_id: x["count"] for x in out.groupBy("doc_id").count().collect()} == want
+    assert {x.mix_rate for x in out.collect()} == {rate}
