@@ -67,6 +67,22 @@ def thin(rows: DataFrame, code: Column, keep: int) -> DataFrame:
     return rows.where(F.pmod(code, F.lit(step)) == 0) if step > 1 else rows
 
 
+#: A key of more than 1 / HOT of all rows is hot; there are fewer than HOT of them.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, named: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows joined with named, which has one row for each key and in weight how many of the total rows have it.
+
+    Hot keys, fewer than HOT whatever the data, are broadcast, so that their rows stay where they are; the others
+    are joined by shuffle, where none fills a task. named should be checkpointed, as it is read three times.
+    """
+    hot = F.col(weight) * HOT > F.lit(total)
+    light, few = named.where(~hot).drop(weight), named.where(hot).drop(weight)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(light, key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
+
+
 def release() -> None:
     """Give memory that this Python worker no longer uses back to the machine."""
     gc.collect()

@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
 All state stays in DataFrames; each round is cut with a reliable checkpoint. Minima are
-pre-aggregated before the shuffle, and the join back to a hub's edges is a plain sort-merge join,
-which adaptive execution splits when the hub is hot.
+pre-aggregated before the shuffle. The join back to a node's edges broadcasts the few nodes that hold
+more than a thousandth of all edges, so a hub's edges stay spread over the tasks that read them.
 """
 
 from __future__ import annotations
@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import checkpoint
+from rastrel.llm.common import checkpoint, spread_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return spread_join(both.where("v > u"), low, "u", "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """edges: u > v."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     return (
-        edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        spread_join(edges, low, "u", "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         .union(low.select("u", F.col("m").alias("v")))
     )
 
@@ -46,7 +46,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
     now = checkpoint(_down(edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).dropna()))
     was, state = None, _state(now)
     while state != was and state[0]:
-        now = checkpoint(_down(_small_star(_down(_large_star(now)))))
+        large = checkpoint(_down(_large_star(now, state[0])))
+        now = checkpoint(_down(_small_star(large, large.count())))
         was, state = state, _state(now)
     # a star now: every node but the root points at its root
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

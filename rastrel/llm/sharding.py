@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import checkpoint, partitions, prepare, text_or_empty
+from rastrel.llm.common import checkpoint, prepare, spread_join, text_or_empty
 from rastrel.llm.karmarkar import difference
 
 #: Groups in a bucket, partial partitions that one task combines, and rows that one task numbers, about.
 BUCKET_GROUPS, FAN_IN, CHUNK_ROWS = 20_000, 256, 100_000
 #: A group over 1 / LARGE of a fair share is large, so there are fewer than LARGE for each shard. Lumps of other groups at most.
 LARGE, LUMPS = 64, 8_000
-OVERHEAD = 16
+OVERHEAD, LEAST_CHUNKS = 16, 8
 
 
 def _deal(shards: int):
@@ -36,16 +36,21 @@ def _deal(shards: int):
         sums = np.zeros((len(rows), shards), dtype=np.int64)
         sums[:, 0] = rows["size"]
         totals, to = difference(sums)
-        return pd.DataFrame({"bucket": int(key[0]), "gkey": rows["gkey"], "part": to[:, 0], "totals": [totals.tolist()] * len(rows)})
+        return pd.DataFrame({"bucket": int(key[0]), "gkey": rows["gkey"], "part": to[:, 0], "totals": _once(totals, len(rows))})
 
     return run
 
 
+def _once(totals: np.ndarray, rows: int) -> list:
+    """The parts' totals on the first of a task's rows; the others have none."""
+    return [totals.tolist(), *[None] * (rows - 1)][:rows]
+
+
 def _combine(shards: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bucket", kind="stable")
         totals, to = difference(np.array(rows["totals"].tolist(), dtype=np.int64).reshape(len(rows), shards))
-        return pd.DataFrame({"bucket": rows["bucket"], "above": int(key[0]), "to": to.tolist(), "totals": [totals.tolist()] * len(rows)})
+        return pd.DataFrame({"bucket": rows["bucket"], "above": int(key[0]), "to": to.tolist(), "totals": _once(totals, len(rows))})
 
     return run
 
@@ -86,7 +91,7 @@ def balance_groups(groups: DataFrame, shards: int) -> DataFrame:
         groups.withColumn("bucket", F.pmod(F.xxhash64("gkey"), F.lit(buckets)).cast("int"))
         .groupBy("bucket").applyInPandas(_deal(shards), "bucket int, gkey string, part int, totals array<long>")
     )
-    level = dealt.groupBy("bucket").agg(F.first("totals").alias("totals"))
+    level = dealt.where("totals IS NOT NULL").select("bucket", "totals")
     place = dealt.select("gkey", "bucket", "part")
     while buckets > 1:
         fewer = math.ceil(buckets / FAN_IN)
@@ -101,7 +106,7 @@ def balance_groups(groups: DataFrame, shards: int) -> DataFrame:
         place = place.join(merged.select("bucket", "above", "to"), "bucket").select(
             "gkey", F.col("above").alias("bucket"), F.expr("to[part]").alias("part")
         )
-        level = merged.groupBy(F.col("above").alias("bucket")).agg(F.first("totals").alias("totals"))
+        level = merged.where("totals IS NOT NULL").select(F.col("above").alias("bucket"), "totals")
         buckets = fewer
     return place.select("gkey", F.col("part").alias("shard"))
 
@@ -111,9 +116,10 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 16. Rows of equal text go to one
     shard; null and empty text are one group. A group larger than a fair share fills its shard by
-    itself, and the others are balanced; smaller large groups get shards of the common size. slot numbers a shard's rows from 0 without gaps, in the
-    order of a hash of the text and then of the id; repeated rows get slots of their own. An empty
-    table gives no rows, and further columns of docs are not read.
+    itself, and the others are balanced; smaller large groups get shards of the common size. slot numbers a shard's
+    rows from 0 without gaps, by a hash of id and text that deals them to chunks, as many as the table's rows ask
+    for, then by text and id within a chunk; no setting of Spark changes it. Repeated rows get slots of their own. An
+    empty table gives no rows, and further columns of docs are not read.
     """
     prepare(docs.sparkSession)
     text = text_or_empty(text_col)
@@ -122,11 +128,12 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("gkey"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     rows = checkpoint(rows)
-    groups = rows.groupBy("gkey").agg(F.sum("size").alias("size"))
-    placed = rows.join(balance_groups(groups, shards), "gkey")
+    groups = checkpoint(rows.groupBy("gkey").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    total = rows.count()
+    named = checkpoint(balance_groups(groups.select("gkey", "size"), shards).join(groups.select("gkey", "n"), "gkey"))
+    placed = spread_join(rows, named, "gkey", "n", total)
     # number the rows of a shard chunk by chunk, so that one large shard is not one task
-    chunks = max(1, math.ceil(rows.count() / CHUNK_ROWS))
-    spread = max(chunks, min(partitions(docs.sparkSession), 8))
+    spread = max(LEAST_CHUNKS, math.ceil(total / CHUNK_ROWS))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "gkey"), F.lit(spread)).cast("int"))
     numbered = placed.selectExpr("*", "row_number() OVER (PARTITION BY shard, chunk ORDER BY gkey, doc_id) - 1 AS at")
     counts = placed.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))

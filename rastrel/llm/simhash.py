@@ -1,12 +1,14 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Fingerprints within distance 3 meet in the middle: of three differing bits at least one lies in one
-of three bands of the 64, and with that band masked out at most two differ, so that the balls of
-half the radius (one bit) around both fingerprints share a variant. Every distinct fingerprint emits,
-for each masked band, itself and every one-bit change of what is left, 132 variants in all. They are
-shuffled and sorted by variant; fingerprints that collide are verified by their true distance, and
-each task hands on a spanning forest of the links it has found, not the pairs. At most
-43 * 2^21 distinct fingerprints can share a variant; copies of one fingerprint never enter the search.
+The dealt ball of half the radius, one bit around all 64, meets only at distance 2; balls of two bits would
+take 2,081 variants. So that distance 3 is found as surely with balls of one bit, one of three bands of the
+64 is masked out first: of three differing bits at least one lies in one of the bands, and with that band
+masked at most two differ, so that the one-bit balls around what is left of both fingerprints share a
+variant. Every distinct fingerprint emits, for each masked band, itself and every one-bit change of the rest,
+132 variants in all. They are shuffled and sorted by variant; fingerprints that collide are verified by their
+true distance, and each task hands on a spanning forest of the links it has found, not the pairs. Copies of
+one fingerprint never enter the search. At most 43 * 2^21 distinct fingerprints can share a variant; those of
+one variant are held, 8 bytes each, and compared pair by pair in blocks.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import checkpoint, partitions, prepare, text_or_empty
+from rastrel.llm.common import checkpoint, partitions, prepare, spread_join, text_or_empty
 from rastrel.llm.components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -63,14 +65,15 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = np.array([fingerprint(shingle_hashes(t.as_py())) for t in batch.column(1)], dtype=np.uint64)
-        yield pa.record_batch([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        out = np.array([fingerprint(shingle_hashes(t.as_py())) for t in batch.column(2)], dtype=np.uint64)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["row_key", "doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp), fp the fingerprint as a signed 64-bit integer. Null text counts as empty: fingerprint 0."""
     prepare(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.lit("").alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprints, "row_key string, doc_id long, fp long").select("doc_id", "fp")
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,21 +146,40 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches come sorted by variant; the last run of a batch waits for the next."""
+    """Batches come sorted by variant; the last run of a batch waits for the next. Its fingerprints are kept, 8 bytes each."""
     empty = np.zeros(0, dtype=np.uint64)
-    variants, fps, links = np.zeros(0, dtype=np.int64), empty, (empty, empty)
-    for batch in batches:
-        variants = np.concatenate([variants, batch.column(0).to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([fps, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        done = int(np.searchsorted(variants, variants[-1], "left")) if len(variants) else 0
-        more = _links(variants[:done], fps[:done])
-        variants, fps = variants[done:], fps[done:]
+    run: list[np.ndarray] = []
+    variant, links = None, (empty, empty)
+
+    def found(more: tuple[np.ndarray, np.ndarray]) -> None:
+        nonlocal links
         links = _forest(np.concatenate([links[0], more[0]]), np.concatenate([links[1], more[1]]))
+
+    def finish() -> None:
+        if sum(map(len, run)) > 1:
+            fps = np.concatenate(run)
+            found(_links(np.zeros(len(fps), dtype=np.int64), fps))
+        run.clear()
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        variants, fps = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        first, last = np.searchsorted(variants, variants[0], "right"), np.searchsorted(variants, variants[-1], "left")
+        if variant is not None and variants[0] != variant:
+            finish()
+        if variants[0] == variants[-1]:
+            run.append(fps.copy())
+        else:
+            run.append(fps[:first])
+            finish()
+            found(_links(variants[first:last], fps[first:last]))
+            run.append(fps[last:].copy())
+        variant = variants[-1]
         if len(links[0]) > 500_000:  # hand on what there is; memory stays bounded
             yield pa.record_batch([pa.array(x.view(np.int64)) for x in links], names=["u", "v"])
             links = (empty, empty)
-    more = _links(variants, fps)
-    links = _forest(np.concatenate([links[0], more[0]]), np.concatenate([links[1], more[1]]))
+    finish()
     yield pa.record_batch([pa.array(x.view(np.int64)) for x in links], names=["u", "v"])
 
 
@@ -165,11 +187,35 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     """fps: distinct fingerprints (fp). Links (u, v) with the components of all pairs within RADIUS bits."""
     n = partitions(fps.sparkSession)
     return (
-        fps.mapInArrow(_variants, "variant long, fp long")
+        fps.repartition(n, "fp").mapInArrow(_variants, "variant long, fp long")  # each makes 132 rows, so they are spread first
         .repartition(n, "variant").sortWithinPartitions("variant").mapInArrow(_collisions, "u long, v long")
     )
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(row_key, doc_id, fp) of every row; (fp, n, component, first) of every fingerprint; how many rows.
+
+    row_key is of id and text; first is the least (null id, id, key) of the component.
+    """
+    text = text_or_empty(text_col)
+    keyed = docs.select(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary"))).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    prepare(docs.sparkSession)
+    rows = checkpoint(keyed.mapInArrow(_fingerprints, "row_key string, doc_id long, fp long"))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key")
+    groups = checkpoint(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")))
+    parts = connected_components(fingerprint_links(groups.select("fp"))).withColumnRenamed("node", "fp")
+    named = groups.join(parts, "fp", "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("component"))
+    # a component's fingerprints are as many as its links; their least is pre-aggregated, and only those with links look it up
+    named = checkpoint(named)
+    linked = named.where("fp <> component").select("component").distinct()
+    several = named.join(linked, "component", "left_semi")
+    low = checkpoint(several.groupBy("component").agg(F.min("first").alias("low"), F.count(F.lit(1)).alias("m")))
+    total = low.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    joined = spread_join(several.drop("first"), low, "component", "m", total).select("fp", "n", "component", F.col("low").alias("first"))
+    alone = named.join(linked, "component", "left_anti").select("fp", "n", "component", "first")
+    return rows, checkpoint(joined.union(alone)), rows.count()
+
+
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest id reachable over links.
 
@@ -177,26 +223,19 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     component unless it has no other. Repeated rows stay repeated; an empty table gives no rows;
     other columns are not read.
     """
-    rows = checkpoint(fingerprints(docs, id_col, text_col))
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    parts = connected_components(fingerprint_links(groups.select("fp"))).withColumnRenamed("node", "fp")
-    named = checkpoint(groups.join(parts, "fp", "left"))
-    linked = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first_id").alias("linked_id"))
-    # only groups with links look up their component
-    single = named.where("component IS NULL").select("fp", F.col("first_id").alias("component_id"))
-    several = named.where("component IS NOT NULL").join(linked, "component").select("fp", F.col("linked_id").alias("component_id"))
-    return rows.join(single.union(several), "fp").select("doc_id", "fp", "component_id")
+    rows, groups, total = _grouped(docs, id_col, text_col)
+    named = groups.select("fp", "n", F.col("first.doc_id").alias("component_id"))
+    return spread_join(rows.select("doc_id", "fp"), named, "fp", "n", total).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row left of each component: the one with its smallest id.
+    """docs with one row left of each component: that of its smallest id, null ids coming last.
 
-    Of rows that repeat an id one stays. Rows with null ids can't be chosen by id and stay, but for
-    repeats of the same text among them.
+    Rows are told apart by id and text, so rows that only share an id are documents of their own; of rows
+    that repeat both, one stays. An empty table gives no rows; all columns stay as they were, whatever their names.
     """
-    parts = near_duplicate_components(docs, id_col, text_col)
+    _, groups, _ = _grouped(docs, id_col, text_col)
     own = max(docs.columns, key=len) + "_near"  # a name that docs does not have
-    gone = parts.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col(own), "left_anti")
-    key = F.when(F.col(id_col).isNull(), F.md5(text_or_empty(text_col).cast("binary")))
-    return left.withColumn(own, key).dropDuplicates([id_col, own]).drop(own)
+    stay = groups.where("fp = component").select(F.col("first.row_key").alias(own))
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text_or_empty(text_col).cast("binary")))
+    return docs.withColumn(own, key).join(stay, own, "left_semi").dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,12 +8,13 @@ import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from rastrel.llm import html_extract, mixing, pii, toxicity
+from rastrel.llm import common, components, html_extract, mixing, pii, sharding, simhash, toxicity
 from rastrel.llm.semicrf import SemiCrf
 
-R = random.Random(12)
+R, R_NP = random.Random(12), np.random.default_rng(12)
 
 
 def _crf():
@@ -124,3 +125,66 @@ def test_counts_are_those_of_the_definition(spark):
             want[i] = n
     assert {x.doc_id: x["count"] for x in out.groupBy("doc_id").count().collect()} == want
     assert {x.mix_rate for x in out.collect()} == {rate}
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, "first text about rivers and bridges", 0), (1, "quite another text on knives and stones", 1), (1, "quite another text on knives and stones", 2), (2, long, 3), (3, long, 4), (None, long, 5),
+            (None, "no id but a text", 6), (None, "no id but a text", 7), (5, None, 8), (6, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
+    kept = simhash.drop_near_duplicates(docs)
+    got = sorted((x.doc_id or 0, x.text or "") for x in kept.collect())
+    assert kept.columns == docs.columns
+    assert got == sorted([(1, rows[0][1]), (1, rows[1][1]), (2, long), (0, rows[6][1]), (5, "")])
+
+
+def test_a_variant_that_goes_over_many_batches():
+    fps = np.unique(R_NP.integers(0, 2**21, 500).astype(np.uint64))
+    keys = np.zeros(len(fps), dtype=np.int64)
+    whole = simhash._links(keys, fps)
+    cut = [pa.record_batch([pa.array(keys[a : a + 60]), pa.array(fps[a : a + 60].view(np.int64))], names=["variant", "fp"]) for a in range(0, len(fps), 60)]
+    cut.append(pa.record_batch([pa.array(np.array([5, 5, 9])), pa.array(np.array([8, 9, 10]))], names=["variant", "fp"]))
+    parts = list(simhash._collisions(iter(cut)))
+    got = [np.concatenate([p.column(k).to_numpy().view(np.uint64) for p in parts]) for k in (0, 1)]
+    at = {int(f): i for i, f in enumerate(np.append(fps, [8, 9, 10]).astype(np.uint64))}
+    index = lambda links: (np.array([at[int(x)] for x in links[0]]), np.array([at[int(x)] for x in links[1]]))
+    more = np.concatenate([index(whole)[0], [at[8]]]), np.concatenate([index(whole)[1], [at[9]]])
+    assert np.array_equal(simhash._roots(len(at) + 3, *more), simhash._roots(len(at) + 3, *index(got)))
+
+
+def test_hot_fingerprint_hub_and_group(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 8)
+    base = [" ".join(R.choices("abcdefghij", k=60)) for _ in range(12)]
+    rows = [(i, base[0] if i % 3 == 0 else base[i % 12] + f" {i % 5}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {i: simhash.fingerprint(simhash.shingle_hashes(t)) for i, t in rows}
+    low = {i: min(j for j in fp if fp[j] == fp[i]) for i in fp}
+    near = [(i, j) for i in set(low.values()) for j in set(low.values()) if i < j and (fp[i] ^ fp[j]).bit_count() <= 3]
+    for _ in fp:
+        for i, j in near:
+            least = min(low[i], low[j])
+            low[i] = low[j] = least
+    got = simhash.near_duplicate_components(docs).collect()
+    assert len(got) == 240 and all(x.component_id == low[min(j for j in fp if fp[j] == fp[x.doc_id])] for x in got)
+    star = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(500, 520)], "u long, v long")
+    assert {x.node: x.component for x in components.connected_components(star).collect()} == {**dict.fromkeys(range(200), 0), **dict.fromkeys(range(500, 521), 500)}
+    shards = sharding.shard_documents(docs, 4).collect()
+    assert len(shards) == 240 and len({x.shard for x in shards if x.doc_id % 3 == 0}) == 1
+
+
+def test_shards_are_near_the_best_spread_and_do_not_follow_settings(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_GROUPS", 150)
+    monkeypatch.setattr(sharding, "FAN_IN", 4)
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * int(r.lognormvariate(5, 1))) for i in range(3000)] + [(9000 + i, None) for i in range(40)], "doc_id long, text string")
+    first = {(x.doc_id, x.shard, x.slot): x.size for x in sharding.shard_documents(docs, 8).collect()}
+    totals = np.zeros(8)
+    for (_, shard, _), size in first.items():
+        totals[shard] += size
+    assert len(first) == 3040 and totals.max() - totals.min() <= 16  # of about 100,000 bytes each
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert {(x.doc_id, x.shard, x.slot) for x in sharding.shard_documents(docs.repartition(5), 8).collect()} == set(first)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
