@@ -5,12 +5,18 @@ within the batch at once, and sends one entry (hash, smallest document) for each
 range of hash. So a passage that every document holds costs one entry for each batch, not one for
 each document. Count: all entries of a hash meet in one bucket, where the smallest document is found.
 Merge: each document gets its repeated windows, joins them into maximal intervals, and drops the
-words that they cover. Two different windows share a 64-bit hash with a chance of 2^-64 a pair.
+words that they cover.
+
+A hash has 96 bits: two polynomials, over 64 and over 32 bits, of independent digests of the words. Two
+different windows share one with a chance of 2^-96 a pair, so among the 10^13 windows of 100 TB one false
+pair is expected once in about a thousand runs. Buckets are as many as the table's bytes ask for, so a
+task's memory does not grow with the table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,33 +29,48 @@ from pyspark.sql import functions as F
 from rastrel.llm.common import partitions, prepare
 
 WINDOW = 13
-BASE = 0x9E3779B97F4A7C15  # odd, so that no word's part in a hash is lost
-#: Words hashed at a time, and buckets for each shuffle partition.
-BATCH_WORDS, BUCKETS_EACH = 4_000_000, 4
-#: Stands for a null id: larger than any other, so such a document never makes another lose words.
-NO_ID = np.int64(2**63 - 1)
-_MAPPED = "bucket int, entries int, hashes binary, docs binary, doc_id long, marks binary"
-_MARKED = "slot int, kind int, doc_id long, docs binary, marks binary"
+BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0x85EBCA77  # odd, so that no word's part in a hash is lost
+#: Words hashed at a time; buckets for each shuffle partition at least, and bytes of text in one about, if they are more.
+BATCH_WORDS, BUCKETS_EACH, BUCKET_BYTES = 3_000_000, 4, 8_000_000
+_ENTRIES = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("hashes", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary()), ("doc", pa.int64()), ("code", pa.int64()), ("marks", pa.binary())])
+_MARKS = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("known", pa.bool_()), ("doc", pa.int64()), ("code", pa.int64()), ("docs", pa.binary()), ("marks", pa.binary())])
+_MAPPED = "bucket int, known boolean, hashes binary, checks binary, docs binary, doc long, code long, marks binary"
+_MARKED = "slot int, kind int, known boolean, doc long, code long, docs binary, marks binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def window_hashes(words: list[bytes], window: int) -> np.ndarray:
-    """The hash of the window that starts at each word; fewer than window words have none."""
+def window_hashes(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both parts of the hash of the window that starts at each word; fewer than window words have none."""
     n = len(words) - window + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    digest = xxhash.xxh64_digest
-    each = np.frombuffer(b"".join([digest(w) for w in words]), dtype="<u8")
-    out = np.zeros(n, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
+    digest = xxhash.xxh3_128_digest
+    each = np.frombuffer(b"".join([digest(w) for w in words]), dtype=np.dtype([("a", "<u8"), ("b", "<u4"), ("c", "<u4")]))
+    out, check = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint32)
+    first, second = np.ascontiguousarray(each["a"]), np.ascontiguousarray(each["b"])
     for j in range(window):
         out *= np.uint64(BASE)
-        out += each[j : j + n]
+        out += first[j : j + n]
+        check *= np.uint32(CHECK_BASE)
+        check += second[j : j + n]
     out ^= out >> np.uint64(32)  # the upper bits choose the bucket
     out *= np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(29))
+    return out ^ (out >> np.uint64(29)), check
+
+
+def _by_hash(flat: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by both parts of the hash, equal ones as they come, and where in it a new hash begins."""
+    by = np.argsort(flat, kind="stable")
+    for _ in range(2):
+        a, b = flat[by], check[by]
+        same, other = a[1:] == a[:-1], b[1:] != b[:-1]
+        if not (same & other).any():
+            break
+        by = np.lexsort((check, flat))
+    return by, np.concatenate([np.ones(min(1, len(by)), dtype=bool), ~same | other])
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -81,52 +102,54 @@ def slots_of(ids: np.ndarray, slots: int) -> np.ndarray:
     return np.mod((h ^ (h >> np.uint64(32))).view(np.int64), slots).astype(np.int32)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return pc.fill_null(column, int(NO_ID)).to_numpy(zero_copy_only=False)
-
-
 def _map(window: int, buckets: int):
-    def settle(ids: list[int], hashes: list[np.ndarray]) -> Iterator[dict]:
-        order = np.argsort(np.array(ids), kind="stable")
-        doc = np.array(ids, dtype=np.int64)[order]
-        sizes = np.array([len(hashes[i]) for i in order])
-        flat = np.concatenate([hashes[i] for i in order])
+    """Rows in: known, doc, code, text. doc is the id, or for a null id the code, which is a hash of the text."""
+
+    def settle(known: list[bool], docs: list[int], codes: list[int], hashes: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[dict]:
+        unknown, doc, code = ~np.array(known, dtype=bool), np.array(docs, dtype=np.int64), np.array(codes, dtype=np.int64)
+        order = np.lexsort((doc, unknown))
+        unknown, doc, code = unknown[order], doc[order], code[order]
+        sizes = np.array([len(hashes[i][0]) for i in order])
+        flat, check = (np.concatenate([hashes[i][k] for i in order]) for k in (0, 1))
         if not len(flat):
             return
-        row = np.repeat(np.arange(len(doc)), sizes)
-        at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        by = np.argsort(flat, kind="stable")  # equal hashes in order of the document
-        flat, row, at = flat[by], row[by], at[by]
-        head = np.concatenate([[True], flat[1:] != flat[:-1]])
-        least = doc[row[head]][np.cumsum(head) - 1]
-        again = doc[row] > least
+        row = np.repeat(np.arange(len(doc), dtype=np.int32), sizes)
+        at = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        by, head = _by_hash(flat, check)  # equal hashes in order of the document, null ids last
+        flat, check, row, at = flat[by], check[by], row[by], at[by]
+        least = row[head][np.cumsum(head) - 1]
+        again = ~unknown[least] & (unknown[row] | (doc[row] > doc[least]))
         local = np.lexsort((at[again], row[again]))
         rows, starts = row[again][local], at[again][local]
         cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, dtype=np.int64)
         for a, b in zip(cuts, np.append(cuts[1:], len(rows))[: len(cuts)], strict=True):
-            yield {"bucket": int(doc[rows[a]] % buckets), "doc_id": int(doc[rows[a]]), "marks": intervals(starts[a:b], window).astype("<i8").tobytes()}
-        flat, first = flat[head], doc[row[head]]
-        to = ((flat >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        edges = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
-        for k in np.flatnonzero(np.diff(edges)):
-            a, b = edges[k], edges[k + 1]
-            yield {"bucket": int(k), "entries": int(b - a), "hashes": _pack(np.diff(flat[a:b], prepend=np.uint64(0))), "docs": _pack(first[a:b])}
+            k = rows[a]
+            yield {"bucket": int(code[k] % buckets), "known": not unknown[k], "doc": int(doc[k]), "code": int(code[k]), "marks": intervals(starts[a:b], window).astype("<i8").tobytes()}
+        # for the others: the smallest document that has a hash, or all of those without an id where no other has it
+        send = head | (unknown[least] & np.concatenate([[False], doc[row[1:]] != doc[row[:-1]]]))
+        flat, check, own = flat[send], check[send], row[send]
+        for which in (False, True):
+            some = unknown[own] == which
+            keys, checks, first = flat[some], check[some], doc[own[some]]
+            to = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            edges = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
+            for k in np.flatnonzero(np.diff(edges)):
+                a, b = edges[k], edges[k + 1]
+                yield {"bucket": int(k), "known": not which, "hashes": _pack(np.diff(keys[a:b], prepend=np.uint64(0))), "checks": checks[a:b].astype("<u4").tobytes(), "docs": _pack(first[a:b])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("entries", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("doc_id", pa.int64()), ("marks", pa.binary())])
-        ids: list[int] = []
-        hashes: list[np.ndarray] = []
+        held: tuple[list, list, list, list] = ([], [], [], [])
         size = 0
         for batch in batches:
-            for i, text in zip(_ids(batch.column(0)).tolist(), batch.column(1), strict=True):
-                ids.append(i)
-                hashes.append(window_hashes(words_of(text.as_py()), window))
-                size += len(hashes[-1])
+            for known, doc, code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                for to, x in zip(held, (known, doc, code, window_hashes(words_of(text.as_py()), window)), strict=True):
+                    to.append(x)
+                size += len(held[3][-1][0])
                 if size >= BATCH_WORDS:
-                    yield pa.RecordBatch.from_pylist(list(settle(ids, hashes)), schema=schema)
-                    ids, hashes, size = [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_pylist(list(settle(ids, hashes)), schema=schema)
+                    yield pa.RecordBatch.from_pylist(list(settle(*held)), schema=_ENTRIES)
+                    held, size = ([], [], [], []), 0
+        if held[0]:
+            yield pa.RecordBatch.from_pylist(list(settle(*held)), schema=_ENTRIES)
 
     return run
 
@@ -134,37 +157,38 @@ def _map(window: int, buckets: int):
 def _count(slots: int):
     """Rows come sorted by bucket. Entries whose hash a smaller document has go back, packed by slot of documents."""
 
-    def settle(own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.concatenate([np.cumsum(h, dtype=np.uint64) for h, _ in own])
-        doc = np.concatenate([d for _, d in own]).astype(np.int64)
-        by = np.argsort(flat)
-        flat, doc = flat[by], doc[by]
-        head = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        least = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(flat))))
-        again = doc > least
-        return flat[again], doc[again]
-
-    def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        flat, doc = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    def settle(own: list[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = np.concatenate([np.cumsum(h, dtype=np.uint64) for _, h, _, _ in own])
+        check, doc = np.concatenate([c for _, _, c, _ in own]), np.concatenate([d for *_, d in own]).astype(np.int64)
+        known = np.repeat([k for k, *_ in own], [len(h) for _, h, _, _ in own])
+        by, head = _by_hash(flat, check)
+        flat, doc, known = flat[by], doc[by], known[by]
+        start = np.flatnonzero(head)
+        spread = np.diff(np.append(start, len(flat)))
+        least = np.repeat(np.minimum.reduceat(np.where(known, doc, np.iinfo(np.int64).max), start), spread)
+        named = np.repeat(np.logical_or.reduceat(known, start), spread)
+        again = named & (~known | (doc > least))
+        return known[again], doc[again], flat[again]
+
+    def packed(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        known, doc, flat = (np.concatenate([f[k] for f in found]) for k in range(3))
         slot = slots_of(doc, slots)
-        by = np.lexsort((flat, doc, slot))
-        flat, doc, slot = flat[by], doc[by], slot[by]
-        cuts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, dtype=np.int64)
+        by = np.lexsort((flat, doc, known, slot))
+        known, doc, flat, slot = known[by], doc[by], flat[by], slot[by]
+        cuts = np.flatnonzero(np.concatenate([[True], (slot[1:] != slot[:-1]) | (known[1:] != known[:-1])])) if len(slot) else np.zeros(0, dtype=np.int64)
         ends = np.append(cuts[1:], len(slot))[: len(cuts)]
-        rows = [{"slot": int(slot[a]), "kind": 1, "docs": _pack(np.diff(doc[a:b], prepend=np.int64(0))), "marks": flat[a:b].astype("<u8").tobytes()} for a, b in zip(cuts, ends, strict=True)]
-        return pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    schema = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("docs", pa.binary()), ("marks", pa.binary())])
+        rows = [{"slot": int(slot[a]), "kind": 1, "known": bool(known[a]), "docs": _pack(np.diff(doc[a:b], prepend=np.int64(0))), "marks": flat[a:b].astype("<u8").tobytes()} for a, b in zip(cuts, ends, strict=True)]
+        return pa.RecordBatch.from_pylist(rows, schema=_MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own, found, size = None, [], [], 0
         for batch in batches:
             local = batch.filter(pc.is_valid(batch.column("marks")))
             if len(local):
-                ids = local.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.record_batch([pa.array(slots_of(ids, slots)), pa.array(np.zeros(len(local), dtype=np.int32)), local.column("doc_id"), pa.nulls(len(local), pa.binary()), local.column("marks")], schema=schema)
+                slot = pa.array(slots_of(local.column("doc").to_numpy(zero_copy_only=False), slots))
+                yield pa.record_batch([slot, pa.array(np.zeros(len(local), dtype=np.int32)), local.column("known"), local.column("doc"), local.column("code"), pa.nulls(len(local), pa.binary()), local.column("marks")], schema=_MARKS)
             full = batch.filter(pc.is_valid(batch.column("hashes")))
-            for bucket, h, d in zip(full.column("bucket").to_pylist(), full.column("hashes"), full.column("docs"), strict=True):
+            for bucket, known, h, c, d in zip(full.column("bucket").to_pylist(), full.column("known").to_pylist(), full.column("hashes"), full.column("checks"), full.column("docs"), strict=True):
                 if bucket != now and own:
                     found.append(settle(own))
                     size += len(found[-1][0])
@@ -173,7 +197,7 @@ def _count(slots: int):
                         yield packed(found)
                         found, size = [], 0
                 now = bucket
-                own.append((_unpack(h.as_buffer()), _unpack(d.as_buffer())))
+                own.append((known, _unpack(h.as_buffer()), np.frombuffer(c.as_buffer(), dtype="<u4"), _unpack(d.as_buffer())))
         if own:
             found.append(settle(own))
         if found:
@@ -182,47 +206,53 @@ def _count(slots: int):
     return run
 
 
+class _Slot:
+    """What is known about the documents of one slot before its texts come: intervals by text, and repeated windows by document."""
+
+    def __init__(self):
+        self.spans: dict[tuple[bool, int, int], list[np.ndarray]] = {}
+        self.parts: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+        self.marks: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+
+    def repeated(self, known: bool, doc: int) -> np.ndarray:
+        if known not in self.marks:
+            docs, marks = (np.concatenate([*[p[k] for p in self.parts[known]], np.zeros(0, dtype=kind)]) for k, kind in ((0, np.int64), (1, np.uint64)))
+            by = np.argsort(docs, kind="stable")
+            self.marks[known] = docs[by], marks[by]
+            self.parts[known] = []
+        docs, marks = self.marks[known]
+        return marks[np.searchsorted(docs, doc, "left") : np.searchsorted(docs, doc, "right")]
+
+
 def _merge(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by slot: the intervals and hashes of its documents before its texts."""
-        now, ready = None, False
-        spans: dict[int, list[np.ndarray]] = {}
-        docs: list[np.ndarray] = []
-        marks: list[np.ndarray] = []
-        doc = mark = np.zeros(0, dtype=np.int64)
+        now, slot = None, _Slot()
         for batch in batches:
             out = []
-            for slot, kind, i, d, m, text in zip(batch.column("slot").to_pylist(), batch.column("kind").to_pylist(), _ids(batch.column("doc_id")).tolist(), batch.column("docs"), batch.column("marks"), batch.column("text"), strict=True):
-                if slot != now:
-                    now, ready, spans, docs, marks = slot, False, {}, [], []
+            names = ("slot", "kind", "known", "doc", "code")
+            for which, kind, known, doc, code, d, m, text in zip(*[batch.column(n).to_pylist() for n in names], batch.column("docs"), batch.column("marks"), batch.column("text"), strict=True):
+                if which != now:
+                    now, slot = which, _Slot()
                 if kind == 0:
-                    spans.setdefault(i, []).append(np.frombuffer(m.as_buffer(), dtype="<i8").reshape(-1, 2))
+                    slot.spans.setdefault((known, doc, code), []).append(np.frombuffer(m.as_buffer(), dtype="<i8").reshape(-1, 2))
                     continue
                 if kind == 1:
-                    docs.append(np.cumsum(_unpack(d.as_buffer()).astype(np.int64)))
-                    marks.append(np.frombuffer(m.as_buffer(), dtype="<u8"))
+                    slot.parts[known].append((np.cumsum(_unpack(d.as_buffer()).astype(np.int64)), np.frombuffer(m.as_buffer(), dtype="<u8")))
                     continue
-                if not ready:
-                    doc = np.concatenate([*docs, np.zeros(0, dtype=np.int64)])
-                    by = np.argsort(doc, kind="stable")
-                    doc, mark = doc[by], np.concatenate([*marks, np.zeros(0, dtype=np.uint64)])[by]
-                    docs, marks, ready = [], [], True
                 words = words_of(text.as_py())
-                covered = list(spans.get(i, ()))
-                a, b = np.searchsorted(doc, [i, i + 1]) if i != NO_ID else (np.searchsorted(doc, i), len(doc))
-                if b > a:
-                    covered.append(intervals(np.flatnonzero(np.isin(window_hashes(words, window), mark[a:b])), window))
-                if not covered:
-                    out.append((None if i == NO_ID else i, len(words), 0, hashlib.sha256(kept := b" ".join(words)).hexdigest(), [], kept.decode("utf-8", "replace")))
-                    continue
+                covered = list(slot.spans.get((known, doc, code), ()))
+                marks = slot.repeated(known, doc)
+                if len(marks):
+                    covered.append(intervals(np.flatnonzero(np.isin(window_hashes(words, window)[0], marks)), window))
                 delta = np.zeros(len(words) + 1, dtype=np.int64)
                 for s in covered:
                     np.add.at(delta, s[:, 0], 1)
                     np.add.at(delta, s[:, 1], -1)
                 gone = np.cumsum(delta[:-1]) > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                kept = b" ".join([words[k] for k in np.flatnonzero(~gone)])
-                out.append((None if i == NO_ID else i, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), edges.tolist(), kept.decode("utf-8", "replace")))
+                kept = b" ".join([words[k] for k in np.flatnonzero(~gone)] if len(edges) else words)
+                out.append((doc if known else None, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), edges.tolist(), kept.decode("utf-8", "replace")))
             if out:
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.string()]
@@ -237,21 +267,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Words are maximal runs without \\x20 and \\x09-\\x0d. A word goes if a window of that many words
     that covers it also starts in a document of smaller id, judged on the whole input. removed holds
     the maximal intervals as from, to, from, to, ... in words, ends exclusive; kept_text is the other
-    words joined by one space. Null text has no words. Rows that repeat an id are one document and
-    never remove from each other; null ids come after all others; an empty table gives no rows.
+    words joined by one space. Null text has no words. Rows that repeat an id are one document, each with
+    its own text, and never remove from each other. A row with a null id comes after all that have one, and never
+    makes another lose words; its rows are dealt by their text. An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     n = partitions(spark)
-    buckets = n * BUCKETS_EACH
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).isNotNull().alias("known"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("code"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("doc", F.coalesce("doc", "code"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets = max(n * BUCKETS_EACH, math.ceil(size / BUCKET_BYTES))
     marks = (
         rows.mapInArrow(_map(window, buckets), _MAPPED)
         .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(buckets), _MARKED)
     )
-    known = F.coalesce("doc_id", F.lit(int(NO_ID)))
     none = F.lit(None).cast("binary")
-    texts = rows.select(F.pmod(F.xxhash64(known), F.lit(buckets)).cast("int").alias("slot"), F.lit(2).alias("kind"), known.alias("doc_id"), none.alias("docs"), none.alias("marks"), "text")
+    texts = rows.select(F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int").alias("slot"), F.lit(2).alias("kind"), "known", "doc", "code", none.alias("docs"), none.alias("marks"), "text")
     every = marks.withColumn("text", F.lit(None).cast("string")).union(texts)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<int>, kept_text string"
     return every.repartition(n, "slot").sortWithinPartitions("slot", "kind").mapInArrow(_merge(window), schema)
