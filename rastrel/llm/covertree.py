@@ -11,31 +11,35 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Radii of the levels below the root, as distances on the unit sphere; above these, in many dimensions, no bound prunes.
-RADII = (0.5, 0.25, 0.125)
+#: Radii of the levels below the root, as distances on the unit sphere; the cells above are parted by nearest pivots.
+RADII = (1.0, 0.5, 0.25, 0.125)
 BLOCK = 2048
+#: First members of parts that are held against all that is left at once.
+CHUNK = 256
 #: Slack for rounding in bounds, of single precision; the exact comparison in double precision decides.
 SLACK = 1e-3
 
 
 def _cover(points: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray]:
-    """Parts of own, each within radius of its first member, by greedy choice in the order given."""
+    """Parts of own, each within about radius of its first member, by greedy choice in the order given. points: single precision."""
     parts = []
-    close = 1 - radius * radius / 2
+    close = np.float32(1 - radius * radius / 2)
     while len(own):
-        if len(own) == 1:
-            parts.append(own)
-            break
-        near = points[own] @ points[own[0]] >= close
-        near[0] = True
-        parts.append(own[near])
-        own = own[~near]
+        near = points[own[:CHUNK]] @ points[own].T >= close
+        left = np.ones(len(own), dtype=bool)
+        for k in range(min(CHUNK, len(own))):
+            if left[k]:
+                mine = near[k] & left
+                mine[k] = True
+                parts.append(own[mine])
+                left &= ~mine
+        own = own[left]
     return parts
 
 
 def build(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the points in the tree, and for each place and level whether a node begins there."""
-    order = np.arange(len(points))
+    order, points = np.arange(len(points)), points.astype(np.float32)
     starts = np.zeros((len(points), len(RADII)), dtype=bool)
     nodes = [(0, len(points))] if len(points) else []
     for depth, radius in enumerate(RADII):

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rastrel.llm import common, components, html_extract, mixing, pii, sharding, simhash, toxicity
+from rastrel.llm import common, components, embeddings, html_extract, mixing, pii, sharding, simhash, substring, toxicity
 from rastrel.llm.semicrf import SemiCrf
 
 R, R_NP = random.Random(12), np.random.default_rng(12)
@@ -188,3 +188,75 @@ def test_shards_are_near_the_best_spread_and_do_not_follow_settings(spark, monke
         assert {(x.doc_id, x.shard, x.slot) for x in sharding.shard_documents(docs.repartition(5), 8).collect()} == set(first)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def _vector_classes(x):
+    d = x / np.linalg.norm(x, axis=1, keepdims=True)
+    m = d @ d.T >= 0.95
+    low = np.arange(len(x))
+    while True:
+        new = np.array([low[row].min() for row in m])
+        if np.array_equal(new, low):
+            return m.sum(axis=1) - 1, low
+        low = new
+
+
+@pytest.mark.parametrize("block", [25, 4000])
+def test_vectors_hot_null_tied_and_scaled(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK_POINTS", block)
+    monkeypatch.setattr(embeddings, "FAN", 4)
+    monkeypatch.setattr(common, "HOT", 20)
+    r = np.random.default_rng(7)
+    x = r.normal(size=(220, 6))
+    x = np.vstack([x, np.repeat(x[:1], 200, 0), x[:30] * 3, x[30:60] + r.normal(size=(30, 6)) * 0.15, [[0.95, np.sqrt(1 - 0.95**2), 0, 0, 0, 0], [1, 0, 0, 0, 0, 0], [-0.0, 1, 0, 0, 0, 0]]])
+    many, low = _vector_classes(x)
+    rows = [(i, [float(c) for c in v], "name", 1) for i, v in enumerate(x)] + [(5000 + i, [None, [], [0.0] * 6, [float("inf")] * 6][i % 4], "n", 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, component_id string, count int")
+    got = {v.vec_id: v for v in embeddings.near_duplicate_vectors(docs).collect()}
+    assert len(got) == len(rows)
+    for i in range(len(x)):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (many[i], low[i], low[i] == i)
+    assert all(got[5000 + i].n_links == 0 and got[5000 + i].kept for i in range(200))
+
+
+def test_points_that_all_but_coincide(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK_POINTS", 20)
+    monkeypatch.setattr(embeddings, "LEVELS", 2)
+    x = 1 + np.random.default_rng(1).normal(size=(150, 5)) * 1e-9
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 150 and all(v.n_links == 149 and v.component_id == 0 for v in got)
+
+
+def test_windows_of_odd_ids(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BATCH_WORDS", 300)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 2000)
+    passage = " ".join(f"p{i}" for i in range(40))
+    text = lambda: " ".join(f"q{R.random()}" for _ in range(R.randint(0, 30)))
+    rows = [(2**63 - 1, f"{text()} {passage}"), (2**63 - 1, f"{passage} {text()} {passage}"), (-(2**63), passage), (7, None), (7, ""), (7, text()), (None, f"{text()} {passage}"), (None, passage), (None, passage), (None, text() + " z" * 40)]
+    rows += [(i, f"{text()} {passage} {text()}" if i % 4 else text()) for i in range(10, 90)] + [(5, "x " * 60_000), (6, "x " * 20)]
+    r = random.Random(3)
+    r.shuffle(rows)
+    docs = spark.createDataFrame([(*x, 1, "s") for x in rows], "doc_id long, text string, slot int, marks string").repartition(5)
+    first: dict = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - 12):
+            key = tuple(w[k : k + 13])
+            if i is not None:
+                first[key] = min(i, first.get(key, i))
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 12):
+            if (low := first.get(tuple(w[k : k + 13]))) is not None and (i is None or low < i):
+                gone[k : k + 13] = [True] * 13
+        want.append((str(i), len(w), sum(gone), hashlib.sha256(" ".join(a for a, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    got = [(str(x.doc_id), x.n_words, x.n_removed, x.kept_sha256) for x in substring.remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(want) and sum(x[2] for x in want) > 1000
+
+
+def test_equal_first_halves_of_hashes_are_told_apart():
+    flat, check = np.array([5, 5, 5, 3, 5], dtype=np.uint64), np.array([1, 2, 1, 9, 2], dtype=np.uint32)
+    by, head = substring._by_hash(flat, check)
+    assert [(int(flat[i]), int(check[i])) for i in by] == [(3, 9), (5, 1), (5, 1), (5, 2), (5, 2)] and head.tolist() == [True, True, False, True, False] and by.tolist() == [3, 0, 2, 1, 4]
