@@ -204,16 +204,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key")
     groups = checkpoint(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")))
     parts = connected_components(fingerprint_links(groups.select("fp"))).withColumnRenamed("node", "fp")
-    named = groups.join(parts, "fp", "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("component"))
-    # a component's fingerprints are as many as its links; their least is pre-aggregated, and only those with links look it up
-    named = checkpoint(named)
-    linked = named.where("fp <> component").select("component").distinct()
-    several = named.join(linked, "component", "left_semi")
-    low = checkpoint(several.groupBy("component").agg(F.min("first").alias("low"), F.count(F.lit(1)).alias("m")))
-    total = low.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    joined = spread_join(several.drop("first"), low, "component", "m", total).select("fp", "n", "component", F.col("low").alias("first"))
-    alone = named.join(linked, "component", "left_anti").select("fp", "n", "component", "first")
-    return rows, checkpoint(joined.union(alone)), rows.count()
+    named = checkpoint(groups.join(parts, "fp", "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("component")))
+    low = checkpoint(named.groupBy("component").agg(F.min("first").alias("low"), F.count(F.lit(1)).alias("m")))
+    joined = spread_join(named.drop("first"), low, "component", "m", named.count()).select("fp", "n", "component", F.col("low").alias("first"))
+    return rows, checkpoint(joined), rows.count()
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
