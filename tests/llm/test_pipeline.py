@@ -64,3 +64,32 @@ def test_stages_keep_exactly_the_rows_they_should(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def _odd(spark):
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words, "en", "src0", 5), (1, words, "en", "src0", 5), (2, words + " more", None, None, None), (3, None, "en", "src1", 0), (4, "", "en", "src9", 0), (None, "no id here but words enough to count", "de", "src2", 1),
+            (None, None, None, None, None), (5, words, "en", "src0", 5), (5, "another text altogether, of the same id", "en", "src0", 5), (6, "z" * 50_000 + " end", "fr", "src3", 9)]
+    return spark.createDataFrame([(*r, 1, 2.0, "x", 7, "k") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, slot int, rate double, row_key string, fp int, mix_row string")
+
+
+@pytest.mark.parametrize("rows", [None, 0])
+def test_stages_on_odd_and_on_no_rows(spark, tmp_path, rows):
+    docs = _odd(spark) if rows is None else _odd(spark).limit(0)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = first = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    counts = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+        counts.append(docs.count())
+        assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == first.columns
+    assert counts[:3] == ([0] * 3 if rows == 0 else [10, 6, 5])  # all texts; distinct ones, null as empty; "more" near its base
+    assert rows != 0 or counts[3:] == [0, 0]
+    assert counts[3] == counts[4]
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.glob("pipeline-*"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == counts[4]
+    (new,) = set(folder.glob("pipeline-*")) - before
+    assert [p.name for p in new.iterdir()] == [str(len(corpus_pipeline.STAGES) - 1)]
