@@ -5,6 +5,8 @@ All stay inside whole-stage code generation; constants are folded into the text.
 
 from __future__ import annotations
 
+import math
+
 from rastrel.plans.steps import Operator
 
 # The absorbance matrix, its inverse and bias, the scaled offsets, and luma weights.
@@ -91,36 +93,77 @@ UNYCBCR = Operator(f"""SELECT image_id, y, x, r, g, b, yy + {d(128 / 255)} + 1.4
 #: What is left of three channels after a round trip.
 REST = Operator("SELECT image_id, y, x, ROUND(r2 - r, 4) + 0D AS dr, ROUND(g2 - g, 4) + 0D AS dg, ROUND(b2 - b, 4) + 0D AS db FROM {src}")
 _LUMINANCE = dot((0.2627, 0.678, 0.0593), "rgb")
-HLG_OOTF = Operator("SELECT image_id, y, x, " + ", ".join(f"ROUND({n} * k, 6) AS {n}" for n in "rgb") + f" FROM (SELECT *, POWER(GREATEST({_LUMINANCE}, 1e-9D), {d(1.2 * 1.111 ** 0 - 1)}) AS k FROM {{src}})")
+SMALLEST_ALPHA = 2.0**-26
+
+
+def half_even(x: str) -> str:
+    """The nearest integer, the even one of two."""
+    return f"(CASE WHEN {x} - FLOOR({x}) = 0.5D THEN 2D * FLOOR((FLOOR({x}) + 1D) / 2D) ELSE FLOOR({x} + 0.5D) END)"
+
 
+def hlg_gamma(peak: float = 1000.0, surround: float = 5.0) -> float:
+    """System gamma of a display by its peak and surround luminance."""
+    return 1.2 * 1.111 ** math.log2(peak / 1000) * 0.98 ** math.log2(surround / 5)
 
-def tone_map(source_peak: float = 1000.0, target_peak: float = 250.0) -> Operator:
-    """Rec. 2408: the knee spline on PQ-coded luminance, its ratio on all channels."""
-    import math
+
+def hlg_ootf(gamma: float) -> Operator:
+    """Scene to display light by the power of the luminance; with 1 / gamma the inverse. Black stays black."""
+    return Operator("SELECT image_id, y, x, " + ", ".join(f"ROUND({n} * k, 6) AS {n}" for n in "rgb") + f" FROM (SELECT *, CASE WHEN {_LUMINANCE} > 0D THEN POWER({_LUMINANCE}, {d(gamma - 1)}) ELSE 1D END AS k FROM {{src}})")
+
+
+def tone_map(source: tuple[float, float] = (0.0, 1000.0), target: tuple[float, float] = (0.0, 250.0)) -> Operator:
+    """Rec. 2408: the knee spline on PQ-coded luminance between mastering and display range (nits), its ratio on all channels."""
 
     def pq(nits: float) -> float:
         p = (nits / 10000) ** PQ_M1
         return ((PQ_C1 + PQ_C2 * p) / (1 + PQ_C3 * p)) ** PQ_M2
 
-    top, limit = pq(source_peak), pq(target_peak)
-    lum_max = limit / top
-    knee = 1.5 * lum_max - 0.5
-    assert math.isfinite(knee)
-    spline = f"((2D * t * t * t - 3D * t * t + 1D) * {d(knee)} + (t * t * t - 2D * t * t + t) * {d(1 - knee)} + (-2D * t * t * t + 3D * t * t) * {d(lum_max)})"
-    light = f"{_LUMINANCE} * {d(source_peak / 10000)}"
+    low, reach = pq(source[0]), pq(source[1]) - pq(source[0])
+    least, most = (pq(target[0]) - low) / reach, (pq(target[1]) - low) / reach
+    knee = 1.5 * most - 0.5
+    spline = f"((2D * t * t * t - 3D * t * t + 1D) * {d(knee)} + (t * t * t - 2D * t * t + t) * {d(1 - knee)} + (-2D * t * t * t + 3D * t * t) * {d(most)})"
+    light = f"{_LUMINANCE} * {d(source[1] / 10000)}"
+    peak = target[1] / 10000
+    return Operator(f"""
+SELECT image_id, y, x, {', '.join(f'ROUND(CASE WHEN light <= 1e-10D THEN shown / {d(peak)} ELSE {n} * shown / light * {d(source[1] / target[1])} END, 6) AS {n}' for n in 'rgb')} FROM (
+  SELECT *, LEAST({d(peak)}, GREATEST(0D, {pq_decode(f'((e2 + {d(least)} * POWER(1D - e2, 4D)) * {d(reach)} + {d(low)})')})) AS shown FROM (
+    SELECT *, CASE WHEN e < {d(knee)} THEN e ELSE {spline} END AS e2 FROM (
+      SELECT *, (e - {d(knee)}) / {d(max(1e-6, 1 - knee))} AS t FROM (SELECT *, {light} AS light, LEAST(1D, ({pq_encode(light)} - {d(low)}) / {d(reach)}) AS e FROM {{src}}))))""")
+
+
+def gamut_map(saturation: float = 0.1) -> Operator:
+    """Colours outside 0..1 mixed with grey of their luminance.
+
+    One mix brings the channels up to 0 and leaves what exceeds 1 to a common scale, which saves saturation; the other
+    brings them below 1 too, which saves luminance; saturation says how much of the first.
+    """
+    inner = f"SELECT *, r - l AS r_, g - l AS g_, b - l AS b_ FROM (SELECT *, {_LUMINANCE} AS l FROM {{src}})"
+    last = "0D"
+    for n in "rgb":
+        inner = f"SELECT *, CASE WHEN {n}_ >= 0D THEN {last} ELSE GREATEST({last}, {n} / {n}_) END AS s{n} FROM ({inner})"
+        last = f"s{n}"
+    whole = "GREATEST(0D, " + ", ".join(f"CASE WHEN {n}_ <= 0D THEN s{n} ELSE ({n} - 1D) / {n}_ END" for n in "rgb") + ")"
+    mixed = ", ".join(f"mix * (l - {n}) + {n} AS {n}2" for n in "rgb")
     return Operator(f"""
-SELECT image_id, y, x, {', '.join(f'ROUND({n} * ratio, 6) AS {n}' for n in 'rgb')} FROM (
-  SELECT *, CASE WHEN light <= 1e-6D THEN 1D ELSE {pq_decode('mapped')} / light * {d(source_peak / target_peak)} END AS ratio FROM (
-    SELECT *, {d(top)} * CASE WHEN e < {d(knee)} THEN e ELSE {spline} END AS mapped FROM (
-      SELECT *, (e - {d(knee)}) / {d(1 - knee)} AS t FROM (SELECT *, {light} AS light, {pq_encode(light)} / {d(top)} AS e FROM {{src}}))))""")
+SELECT image_id, y, x, {', '.join(f'ROUND({n}2 / GREATEST(1D, r2, g2, b2), 6) + 0D AS {n}' for n in 'rgb')} FROM (
+  SELECT image_id, y, x, {mixed} FROM (
+    SELECT *, LEAST(1D, GREATEST(0D, {d(saturation)} * (sb - whole) + whole)) AS mix FROM (SELECT *, {whole} AS whole FROM ({inner}))))""")
 
 
-GAMUT_MAP = Operator(f"""
-SELECT image_id, y, x, {', '.join(f'ROUND((mix * l + (1D - mix) * {n}) / GREATEST(1D, mix * l + (1D - mix) * top), 6) + 0D AS {n}' for n in 'rgb')} FROM (
-  SELECT *, CASE WHEN low >= 0D OR l <= low THEN 0D ELSE -low / (l - low) END AS mix FROM (
-    SELECT *, LEAST(r, g, b) AS low, GREATEST(r, g, b) AS top, {_LUMINANCE} AS l FROM (SELECT image_id, y, x, r * 1.5D - 0.2D AS r, g * 1.5D - 0.2D AS g, b * 1.5D - 0.2D AS b FROM {{src}})))""")
-ALPHA_FLATTEN = Operator("SELECT image_id, y, x, ROUND(r * b + 0.5D * (1D - b), 6) AS r, ROUND(g * b + 0.5D * (1D - b), 6) AS g FROM {src}")
-PREMULTIPLY = Operator("SELECT image_id, y, x, ROUND(r * GREATEST(b, 1e-6D), 6) AS premultiplied, ROUND(r * GREATEST(b, 1e-6D) / GREATEST(b, 1e-6D), 6) AS straight FROM {src}")
+#: Linear light stretched so that some of it lies outside the gamut.
+STRETCH = Operator("SELECT image_id, y, x, r * 1.5D - 0.2D AS r, g * 1.5D - 0.2D AS g, b * 1.5D - 0.2D AS b FROM {src}")
+
+
+def flatten(background: tuple[float, float, float] = (0.5, 0.5, 0.5), alpha: str = "a") -> Operator:
+    """Straight alpha over an even background."""
+    return Operator(f"SELECT image_id, y, x, {', '.join(f'ROUND({n} * {alpha} + {d(v)} * (1D - {alpha}), 6) AS {n}' for n, v in zip('rgb', background, strict=True))} FROM {{src}}")
+
+
+_ALPHA = f"GREATEST(a, {d(SMALLEST_ALPHA)})"
+#: All channels times alpha, and back; the floor keeps the way back open.
+PREMULTIPLY = Operator(f"SELECT image_id, y, x, a, {', '.join(f'{n} * {_ALPHA} AS {n}' for n in 'rgb')} FROM {{src}}")
+UNPREMULTIPLY = Operator(f"SELECT image_id, y, x, a, {', '.join(f'{n} / {_ALPHA} AS {n}' for n in 'rgb')} FROM {{src}}")
+ROUNDED = Operator("SELECT image_id, y, x, ROUND(r, 6) AS r, ROUND(g, 6) AS g, ROUND(b, 6) AS b FROM {src}")
 
 
 def spot_colour(colour: tuple[float, float, float], solidity: float, coverage: str = "b") -> Operator:
@@ -128,14 +171,36 @@ def spot_colour(colour: tuple[float, float, float], solidity: float, coverage: s
     return Operator(f"SELECT image_id, y, x, {', '.join(f'ROUND({d(solidity)} * {coverage} * {d(v)} + (1D - {d(solidity)} * {coverage}) * {n}, 6) AS {n}' for n, v in zip('rgb', colour, strict=True))} FROM {{src}}")
 
 
-SHAPE_RANGE = Operator("""SELECT image_id, y, x, v, CASE WHEN v >= 60D THEN 60D + 0.724216145665D * (v - 60D) WHEN v < -60D THEN -60D + 0.724216145665D * (v + 60D) ELSE v * 1D END AS clamped,
-  CASE WHEN v > 10D THEN v - 10D WHEN v < -10D THEN v + 10D ELSE 0D END AS removed, CASE WHEN v > 10D THEN v + 10D WHEN v < -10D THEN v - 10D ELSE 2D * v END AS amplified FROM {src}""")
-CHANNEL_QUANTISE = Operator("SELECT image_id, y, x, CASE WHEN v < 0 THEN -((-v + 2) DIV 5) ELSE (v + 2) DIV 5 END * 5 AS v FROM {src}")
-EXTERNAL = Operator("SELECT image_id, y, x, CAST(FLOOR(r * 255D + 0.5D) AS BIGINT) AS v8, CAST(FLOOR(r * 65535D + 0.5D) AS BIGINT) AS v16 FROM {src}")
+# Fixed value: how much of what exceeds the bound is kept.
+KEPT_ABOVE = 0.724216145665
+
+
+def shape_range(most: float, around: float) -> Operator:
+    """Values eased above a bound; those around zero removed; those around zero amplified."""
+    return Operator(f"""SELECT image_id, y, x, v, CASE WHEN v >= {d(most)} THEN {d(most)} + {d(KEPT_ABOVE)} * (v - {d(most)}) WHEN v < {d(-most)} THEN {d(-most)} + {d(KEPT_ABOVE)} * (v + {d(most)}) ELSE v * 1D END AS clamped,
+  CASE WHEN v > {d(around)} THEN v - {d(around)} WHEN v < {d(-around)} THEN v + {d(around)} ELSE 0D END AS removed, CASE WHEN v > {d(around)} THEN v + {d(around)} WHEN v < {d(-around)} THEN v - {d(around)} ELSE 2D * v END AS amplified FROM {{src}}""")
+
+
+def channel_quantise(q: int) -> Operator:
+    """The nearest multiple of q, halves away from zero."""
+    return Operator(f"SELECT image_id, c, y, x, CASE WHEN v < 0 THEN -((-v + {q // 2}) DIV {q}) ELSE (v + {q // 2}) DIV {q} END * {q} AS v FROM {{src}}")
+
+
+def external(bits: int) -> Operator:
+    """Samples of 0..1 as unsigned integers of so many bits, clamped, the nearest and of two the even one."""
+    return Operator(f"SELECT image_id, y, x, {', '.join(f'CAST({half_even(f"(LEAST(1D, GREATEST(0D, {n})) * {d(float(2**bits - 1))})")} AS BIGINT) AS {n}' for n in 'rgb')} FROM {{src}}")
+
+
+def planar(bits: int) -> Operator:
+    """Unsigned integers of so many bits as samples of 0..1."""
+    return Operator(f"SELECT image_id, y, x, {', '.join(f'{n} / {d(float(2**bits - 1))} AS {n}' for n in 'rgb')} FROM {{src}}")
+
+
+#: Pixels turned as the image's orientation (1 to 8) says, whatever its size; {turn} has it for each image.
 ORIENT = Operator("""
-SELECT image_id, o.o AS orientation, CASE WHEN o.o IN (1, 2) THEN y WHEN o.o IN (3, 4) THEN 7 - y WHEN o.o IN (5, 6) THEN x ELSE 7 - x END AS y,
-  CASE WHEN o.o IN (1, 4) THEN x WHEN o.o IN (2, 3) THEN 7 - x WHEN o.o IN (5, 8) THEN y ELSE 7 - y END AS x, v
-FROM {src} JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) o(o) ON o.o = 1 + image_id % 8""")
+SELECT image_id, orientation, CASE WHEN orientation IN (1, 2) THEN y WHEN orientation IN (3, 4) THEN ly - y WHEN orientation IN (5, 6) THEN x ELSE lx - x END AS y,
+  CASE WHEN orientation IN (1, 4) THEN x WHEN orientation IN (2, 3) THEN lx - x WHEN orientation IN (5, 8) THEN y ELSE ly - y END AS x, v
+FROM (SELECT p.image_id, p.y, p.x, p.v, t.orientation, MAX(p.y) OVER (PARTITION BY p.image_id) AS ly, MAX(p.x) OVER (PARTITION BY p.image_id) AS lx FROM {src} p JOIN {turn} t ON t.image_id = p.image_id)""")
 
 
 def noise_strength(lut: tuple[float, ...]) -> Operator:
@@ -184,8 +249,36 @@ def rct(kind: int) -> Operator:
     return Operator("SELECT image_id, y, x, v0, v1, v2, " + ", ".join(f"{o} AS w{i}" for i, o in enumerate(outs)) + " FROM {src}")
 
 
-UN_YCOCG = Operator("""
-SELECT image_id, y, x, v0 - (t - (w1 >> 1) + w1) AS d0, v1 - (w2 + t) AS d1, v2 - (t - (w1 >> 1)) AS d2 FROM (SELECT *, w0 - (w2 >> 1) AS t FROM {src})""")
+def unrct(kind: int) -> Operator:
+    """The channels that one of the 42 transforms came from."""
+    order, how = kind // 7, kind % 7
+    if how == 6:
+        mid = "(w0 - (w2 >> 1))"
+        last = f"({mid} - (w1 >> 1))"
+        outs = (f"({last} + w1)", f"(w2 + {mid})", last)
+    else:
+        third = "(w2 + w0)" if how & 1 else "w2"
+        outs = ("w0", ("w1", "(w1 + w0)", f"(w1 + ((w0 + {third}) >> 1))")[how >> 1], third)
+    return Operator("SELECT image_id, y, x, " + ", ".join(f"{o} AS v{i}" for i, o in sorted(zip(CHANNEL_ORDERS[order], outs, strict=True))) + " FROM {src}")
+
+
+def _by_kind(make) -> Operator:
+    """All 42 in one pass over rows that carry the transform's number as kind."""
+    texts = [[c.split(" AS ")[0].strip() for c in _columns(make(k).sql)] for k in range(42)]
+    names = [c.rsplit(" AS ", 1)[1].strip() for c in _columns(make(0).sql)]
+    return Operator("SELECT image_id, y, x, kind, " + ", ".join(f"CASE kind {' '.join(f'WHEN {k} THEN {t[i]}' for k, t in enumerate(texts))} END AS {n}" for i, n in enumerate(names)) + " FROM {src}")
+
+
+def _columns(sql: str) -> list[str]:
+    """The columns of a transform's text that are not handed on, in order."""
+    return [c for c in sql.removeprefix("SELECT ").removesuffix(" FROM {src}").split(", ") if " AS " in c]
+
+
+RCT_BY_KIND, UNRCT_BY_KIND = _by_kind(rct), _by_kind(unrct)
+#: Summed magnitudes of every transform's channels in one pass, and the cheapest for each image.
+RCT_COSTS = Operator("SELECT image_id, MIN_BY(kind, cost * 100 + kind) AS kind, MIN(cost) AS cost FROM (SELECT image_id, k.k AS kind, CAST(CASE k.k " + " ".join(f"WHEN {k} THEN s{k}" for k in range(42))
+                     + " END AS BIGINT) AS cost FROM (SELECT image_id, " + ", ".join("SUM(" + " + ".join(f"ABS({c.split(' AS ')[0].strip()})" for c in _columns(rct(k).sql)) + f") AS s{k}" for k in range(42))
+                     + " FROM {src} GROUP BY image_id) CROSS JOIN (VALUES " + ", ".join(f"({k})" for k in range(42)) + ") k(k)) GROUP BY image_id")
 QUALITY_TO_DISTANCE = Operator("SELECT q, CASE WHEN q >= 100 THEN 0D WHEN q >= 30 THEN ROUND(0.1D + (100 - q) * 0.09D, 6) ELSE ROUND(53D / 3000D * q * q - 23D / 20D * q + 25D, 6) END AS distance FROM {src}")
 
 
@@ -235,8 +328,16 @@ def dither(bits: int = 3) -> Operator:
     return Operator(f"SELECT p.image_id, p.y, p.x, CAST(FLOOR(LEAST(255D, GREATEST(0D, p.r * 255D + t.t)) + 0.5D) AS BIGINT) AS v FROM {{src}} p JOIN (VALUES {table}) t(y, x, t) ON t.y = p.y % {side} AND t.x = p.x % {side}")
 
 
-#: Range of each opponent channel over a grid of colours, and where its ends are; grid rows have an id, steps a side.
 def xyb_range(side: int) -> tuple[Operator, Operator]:
-    grid = Operator(f"SELECT id AS image_id, id AS y, 0 AS x, (id DIV {side * side}) * {d(1 / (side - 1))} AS r, (id DIV {side} % {side}) * {d(1 / (side - 1))} AS g, (id % {side}) * {d(1 / (side - 1))} AS b FROM {{src}}")
-    return grid, Operator("SELECT n.n AS channel, ROUND(MIN(v), 6) AS low, ROUND(MAX(v), 6) AS high, MIN_BY(image_id, ROUND(v, 6) * 1e7D + image_id * 1e-6D) AS at_low, MAX_BY(image_id, ROUND(v, 6) * 1e7D - image_id * 1e-6D) AS at_high FROM ("
-                          "SELECT image_id, n.n, CASE n.n WHEN 'x' THEN xx WHEN 'y' THEN yy ELSE bb END AS v FROM {src} CROSS JOIN (VALUES ('x'), ('y'), ('b')) n(n)) n GROUP BY n.n")
+    """The grid of side^3 colours out of rows with an id, and the range of each opponent channel over it with its first places; side is 256 at most.
+
+    A value in millionths and its place are one number, so that all extremes are simple aggregates of one pass.
+    """
+    step = d(1 / (side - 1))
+    grid = Operator(f"SELECT id AS image_id, id AS y, 0 AS x, (id DIV {side * side}) * {step} AS r, (id DIV {side} % {side}) * {step} AS g, (id % {side}) * {step} AS b FROM {{src}}")
+    key = lambda n, place: f"(CAST(FLOOR({n} * 1e6D + 0.5D) AS BIGINT) * {1 << 24} + {place})"
+    ends = ", ".join(f"MIN({key(n, 'image_id')}) AS low_{n}, MAX({key(n, f'{(1 << 24) - 1} - image_id')}) AS high_{n}" for n in ("xx", "yy", "bb"))
+    pick = lambda end: "CASE n.n " + " ".join(f"WHEN '{c}' THEN {end}_{n}" for c, n in (("x", "xx"), ("y", "yy"), ("b", "bb"))) + " END"
+    return grid, Operator(f"""
+SELECT channel, (low >> 24) / 1e6D AS low, (high >> 24) / 1e6D AS high, low & {(1 << 24) - 1} AS at_low, {(1 << 24) - 1} - (high & {(1 << 24) - 1}) AS at_high FROM (
+  SELECT n.n AS channel, {pick('low')} AS low, {pick('high')} AS high FROM (SELECT {ends} FROM {{src}}) CROSS JOIN (VALUES ('x'), ('y'), ('b')) n(n))""")

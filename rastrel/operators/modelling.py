@@ -23,12 +23,10 @@ SELECT image_id, c, y, x, v, ABS(before) AS abs_value, before AS value, ABS(befo
 _LEFT_FROM, _LEFT_CONTEXT = (1, 2, 3, 5, 9, 13, 21, 33), (0, 31, 62, 93, 123, 152, 180, 206)
 _LEFT = "CASE " + " ".join(f"WHEN remaining >= {a} THEN {b}" for a, b in reversed(list(zip(_LEFT_FROM, _LEFT_CONTEXT, strict=True)))) + " END"
 _PLACE = "CASE WHEN place < 16 THEN place - 1 WHEN place < 32 THEN 15 + (place - 16) DIV 2 ELSE 23 + (place - 32) DIV 4 END"
-#: Context of each coefficient in scan order, by how many are still to come, its place, and whether the one before is zero; the mean has none.
+#: Context of each scanned coefficient, by how many are still to come, its place, and whether the one before is zero.
 ZERO_DENSITY = Operator(f"""
-SELECT image_id, place, q, remaining, ({_LEFT} + {_PLACE}) * 2 + CASE WHEN place = 1 THEN CASE WHEN remaining > 4 THEN 0 ELSE 1 END WHEN before <> 0 THEN 1 ELSE 0 END AS ctx FROM (
-  SELECT image_id, place, q, LAG(q) OVER (PARTITION BY image_id ORDER BY place) AS before, CAST(SUM(CASE WHEN q <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY place DESC) AS BIGINT) AS remaining FROM (
-    SELECT image_id, q, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY u + w, CASE WHEN (u + w) % 2 = 0 THEN w ELSE u END) - 1 AS place FROM {{src}}))
-WHERE place > 0 AND remaining > 0""")
+SELECT image_id, c, cy, cx, place, q, remaining, ({_LEFT} + {_PLACE}) * 2 + CASE WHEN place = 1 THEN CASE WHEN remaining > 4 THEN 0 ELSE 1 END WHEN before <> 0 THEN 1 ELSE 0 END AS ctx FROM (
+  SELECT *, LAG(q) OVER (PARTITION BY image_id, c, cy, cx ORDER BY place) AS before FROM {{src}})""")
 
 
 def move_to_front(symbols: int) -> Operator:
@@ -44,18 +42,23 @@ SELECT stream, pos, CAST(SUM(CASE WHEN last > own THEN 1 ELSE 0 END) AS BIGINT)
 GROUP BY stream, pos""")
 
 
-#: The nearest of four seeds, the histograms with the most symbols, by the bits that coding with a seed costs.
-NEAREST_HISTOGRAM = Operator("""
+
+
+def nearest_histogram(seeds: int = 4) -> Operator:
+    """The nearest of the histograms with the most symbols, by the bits that coding with it costs."""
+    return Operator(f"""
 SELECT ctx, MIN_BY(seed, bits * 1000 + rank) AS seed, ROUND(MIN(bits), 2) AS bits FROM (
-  SELECT h.ctx, s.seed, s.rank, FLOOR(SUM(-h.n * LOG2(COALESCE(q.n, 0) * 1D / s.total + 1D / 4096D)) * 100D + 0.5D) / 100D AS bits FROM {src} h
-  CROSS JOIN (SELECT ctx AS seed, total, ROW_NUMBER() OVER (ORDER BY total DESC, ctx) AS rank FROM (SELECT ctx, SUM(n) AS total FROM {src} GROUP BY ctx) ORDER BY total DESC, ctx LIMIT 4) s
-  LEFT JOIN {src} q ON q.ctx = s.seed AND q.symbol = h.symbol GROUP BY h.ctx, s.seed, s.rank)
+  SELECT h.ctx, s.seed, s.rank, FLOOR(SUM(-h.n * LOG2(COALESCE(q.n, 0) * 1D / s.total + 1D / 4096D)) * 100D + 0.5D) / 100D AS bits FROM {{src}} h
+  CROSS JOIN (SELECT seed, total, ROW_NUMBER() OVER (ORDER BY total DESC, seed) AS rank FROM (SELECT ctx AS seed, SUM(n) AS total FROM {{src}} GROUP BY ctx ORDER BY total DESC, ctx LIMIT {seeds})) s
+  LEFT JOIN {{src}} q ON q.ctx = s.seed AND q.symbol = h.symbol GROUP BY h.ctx, s.seed, s.rank)
 GROUP BY ctx""")
 
 
 def catmull_rom(samples: int = 16) -> Operator:
     """Points on the centripetal curve through control points (stream, pos, px, py), equally many for each piece; the ends go on straight.
 
+    A point that repeats the one before it is left out, as a curve has no direction there.
+
     The curve over four points is interpolated from lines, then from those curves, by parameters that grow with the root of the distances.
     """
     def mix(a: str, b: str, u: str) -> str:
@@ -71,7 +74,7 @@ SELECT stream, pos, step, ROUND({mix('xb0', 'xb1', '(u - t1) / d1')}, 6) AS x, R
       SELECT p.*, d0 AS t1, d0 + d1 AS t2, k.k AS step, d0 + k.k * {d(1 / samples)} * d1 AS u FROM (
         SELECT *, {', '.join(f'SQRT(SQRT(POWER(x{k + 1} - x{k}, 2D) + POWER(y{k + 1} - y{k}, 2D))) AS d{k}' for k in range(3))} FROM (
           SELECT stream, pos, {', '.join(f'COALESCE(LAG({n}) OVER w, 2D * {n} - (LEAD({n}) OVER w)) AS {a}0, {n} AS {a}1, LEAD({n}) OVER w AS {a}2, COALESCE(LEAD({n}, 2) OVER w, 2D * (LEAD({n}) OVER w) - {n}) AS {a}3' for a, n in (('x', 'px'), ('y', 'py')))}
-          FROM {{src}} WINDOW w AS (PARTITION BY stream ORDER BY pos)) WHERE x2 IS NOT NULL) p
+          FROM (SELECT * FROM (SELECT *, LAG(px) OVER o AS qx, LAG(py) OVER o AS qy FROM {{src}} WINDOW o AS (PARTITION BY stream ORDER BY pos)) WHERE qx IS NULL OR qx <> px OR qy <> py) WINDOW w AS (PARTITION BY stream ORDER BY pos)) WHERE x2 IS NOT NULL) p
       CROSS JOIN (VALUES {', '.join(f'({k})' for k in range(samples))}) k(k))))""")
 
 
@@ -80,11 +83,15 @@ MAIN_AXES = Operator("""
 SELECT image_id, ROUND((a + b - root) / 2D, 8) AS small, ROUND((a + b + root) / 2D, 8) AS large, ROUND(ABS(m) / SQRT(m * m + POWER((a - b - root) / 2D, 2D)), 4) AS along FROM (
   SELECT image_id, a, b, m, SQRT(POWER(a - b, 2D) + 4D * m * m) AS root FROM (SELECT image_id, AVG(r * r) - AVG(r) * AVG(r) AS a, AVG(g * g) - AVG(g) * AVG(g) AS b, AVG(r * g) - AVG(r) * AVG(g) AS m FROM {src} GROUP BY image_id))
 WHERE ABS(m) > 1e-10D""")
-#: Parts of an image whose four neighbours along both axes are there, an image's last part of an axis needing one less.
-READY_CORNERS = Operator("""
+
+
+def ready_corners(rows: int, columns: int) -> Operator:
+    """Corners (y, x) of a grid of parts (image_id, y, x) around which every part that the grid has is there."""
+    wanted = f"(CASE WHEN y IN (0, {rows}) THEN 1 ELSE 2 END * CASE WHEN x IN (0, {columns}) THEN 1 ELSE 2 END)"
+    return Operator(f"""
 SELECT image_id, y, x, CAST(COUNT(*) AS BIGINT) AS here FROM (
-  SELECT image_id, y + a.k AS y, x + b.k AS x FROM (SELECT DISTINCT image_id, y, x FROM {src} WHERE (y * 8 + x + image_id) % 11 > 0) CROSS JOIN (VALUES (0), (1)) a(k) CROSS JOIN (VALUES (0), (1)) b(k))
-WHERE y BETWEEN 1 AND 7 AND x BETWEEN 1 AND 7 GROUP BY image_id, y, x HAVING COUNT(*) = 4""")
+  SELECT image_id, y + a.k AS y, x + b.k AS x FROM (SELECT DISTINCT image_id, y, x FROM {{src}} WHERE y < {rows} AND x < {columns}) CROSS JOIN (VALUES (0), (1)) a(k) CROSS JOIN (VALUES (0), (1)) b(k))
+GROUP BY image_id, y, x HAVING COUNT(*) = {wanted}""")
 
 
 def restore_moved(coded: DataFrame, symbols: int) -> DataFrame:
@@ -159,7 +166,10 @@ def huffman(histogram: DataFrame, most: int = 15) -> DataFrame:
 
 
 def components(pixels: DataFrame, grow: int, seed: int) -> DataFrame:
-    """The least position in each pixel's component (eight neighbours, values over grow, at least one over seed), or -1."""
+    """The least position in each pixel's component (eight neighbours, values over grow, at least one over seed), or -1.
+
+    A component is a set of pixels that reach each other, so it does not depend on where growing starts.
+    """
 
     def spread(planes: np.ndarray) -> np.ndarray:
         b, h, w = planes.shape

@@ -120,10 +120,31 @@ TRANSPOSE = Operator("SELECT image_id, c, x AS y, y AS x, v FROM {src}")
 CHROMA_UPSAMPLE = Operator(f"""
 SELECT image_id, c, y, 2 * x + side.s AS x, ROUND(0.75D * v + 0.25D * CASE WHEN side.s = 0 THEN v_before ELSE v_after END, 6) AS v
 FROM (SELECT *, {_AROUND.format('v', 'r')} FROM {{src}} WINDOW {_ROWS}) CROSS JOIN (VALUES (0), (1)) side(s)""")
-DOWNSAMPLE_MEAN = Operator("SELECT image_id, c, y DIV 3 AS y, x DIV 3 AS x, ROUND(AVG(v), 6) AS v FROM {src} GROUP BY image_id, c, y DIV 3, x DIV 3")
-DOWNSAMPLE_EDGE = Operator("""
-SELECT image_id, c, y DIV 3 AS y, x DIV 3 AS x, ROUND(SUM(v * (CASE WHEN y = 7 THEN 2D ELSE 1D END) * (CASE WHEN x = 7 THEN 2D ELSE 1D END)) / 9D, 6) AS v FROM {src} GROUP BY image_id, c, y DIV 3, x DIV 3""")
-MAX_LOG = Operator("SELECT image_id, y DIV 4 AS y, x DIV 4 AS x, ROUND(LOG2(GREATEST(MAX(r), 1e-6D)), 6) AS v FROM {src} GROUP BY image_id, y DIV 4, x DIV 4")
+
+
+def downsample_mean(factor: int) -> Operator:
+    """Means of factor x factor cells; cells at the border are means of the pixels they have."""
+    return Operator(f"SELECT image_id, c, y DIV {factor} AS y, x DIV {factor} AS x, ROUND(AVG(v), 6) AS v FROM {{src}} GROUP BY image_id, c, y DIV {factor}, x DIV {factor}")
+
+
+def downsample_edge(factor: int) -> Operator:
+    """Means of factor x factor cells; at the border the last pixel stands for those that a cell lacks."""
+    times = lambda a: f"CASE WHEN {a} = l{a} THEN {factor} - {a} % {factor} ELSE 1 END"
+    return Operator(f"""
+SELECT image_id, c, y DIV {factor} AS y, x DIV {factor} AS x, ROUND(SUM(v * ({times('y')}) * ({times('x')}) * 1D) / {d(float(factor * factor))}, 6) AS v FROM (
+  SELECT image_id, c, y, x, v, MAX(y) OVER (PARTITION BY image_id, c) AS ly, MAX(x) OVER (PARTITION BY image_id, c) AS lx FROM {{src}}) GROUP BY image_id, c, y DIV {factor}, x DIV {factor}""")
+
+
+# Luminance weights of the wide gamut, and half of the usual peak, below which no cell is taken to be.
+LUMINANCE, LEAST_PEAK = (0.2627, 0.678, 0.0593), 127.5
+
+
+def max_log(factor: int, peak: float) -> Operator:
+    """Logarithm of the greatest luminance of factor x factor cells of an image with a peak of so many nits."""
+    light = " + ".join(f"{d(w)} * {n}" for w, n in zip(LUMINANCE, "rgb", strict=True))
+    return Operator(f"SELECT image_id, y DIV {factor} AS y, x DIV {factor} AS x, ROUND(LOG2(GREATEST({d(LEAST_PEAK)}, MAX(({light}) * {d(peak)}))), 6) AS v FROM {{src}} GROUP BY image_id, y DIV {factor}, x DIV {factor}")
+
+
 _AROUND3 = f"""(SELECT image_id, c, y, x, v, {', '.join(f"{shifted(n, k, 'r')} AS {n}{k + 1}" for n in 'tvb' for k in (-1, 0, 1))} FROM (
   SELECT *, {shifted('v', -1, 'k')} AS t, {shifted('v', 1, 'k')} AS b FROM {{src}} WINDOW {_COLUMNS}) WINDOW {_ROWS})"""
 _NINE = [f"{n}{k}" for n in "tvb" for k in (0, 1, 2)]
@@ -143,8 +164,29 @@ GROUP BY image_id, c, y DIV 2, x DIV 2""")
 SECOND_SMALLEST_DIFFERENCE = Operator(f"""
 SELECT image_id, c, y, x, ELEMENT_AT(ARRAY_SORT(ARRAY({', '.join(f'ABS({n} - v)' for n in _NINE if n != 'v1')})), 2) AS v FROM {_AROUND3}""")
 CROSS_AGREEMENT = Operator("SELECT image_id, c, y, x, CAST(v = w AND v = n AND w = nw AS INT) AS flat FROM {src}")
-FLAT_CELLS = Operator("SELECT image_id, c, y DIV 4 AS cy, x DIV 4 AS cx, MIN(v) AS low, MAX(v) AS high, CAST(MAX(v) - MIN(v) <= 100 AS INT) AS flat FROM {src} GROUP BY image_id, c, y DIV 4, x DIV 4")
-CROP = Operator("SELECT image_id, c, y - 2 AS y, x - 1 AS x, v FROM {src} WHERE y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 6")
+
+
+def flat_cells(side: int = 4, alike: int = 8, slack: float = 1e-4) -> Operator:
+    """Cells of one colour, as screens have them: side x side pixels within slack of the first, and so do the first pixels of at least `alike` of the nine cells around.
+
+    Cells at the border and those that an image has only a part of are none.
+    """
+    near = lambda p: " AND ".join(f"ABS({p}{n} - {n}0) <= {d(slack)}" for n in "rgb")
+    return Operator(f"""
+SELECT f.image_id, f.cy, f.cx, CAST(COUNT(*) AS BIGINT) AS same FROM (
+  SELECT image_id, y DIV {side} AS cy, x DIV {side} AS cx, MAX(CASE WHEN y % {side} = 0 AND x % {side} = 0 THEN r END) AS r0, MAX(CASE WHEN y % {side} = 0 AND x % {side} = 0 THEN g END) AS g0, MAX(CASE WHEN y % {side} = 0 AND x % {side} = 0 THEN b END) AS b0,
+    {', '.join(f'MIN({n}) AS low_{n}, MAX({n}) AS high_{n}' for n in 'rgb')}, COUNT(*) AS n FROM {{src}} GROUP BY image_id, y DIV {side}, x DIV {side}) f
+JOIN (SELECT image_id, y DIV {side} AS py, x DIV {side} AS px, r AS pr, g AS pg, b AS pb FROM {{src}} WHERE y % {side} = 0 AND x % {side} = 0) p ON p.image_id = f.image_id AND p.py BETWEEN f.cy - 1 AND f.cy + 1 AND p.px BETWEEN f.cx - 1 AND f.cx + 1
+JOIN (SELECT image_id, (MAX(y) + 1) DIV {side} AS ph, (MAX(x) + 1) DIV {side} AS pw FROM {{src}} GROUP BY image_id) s ON s.image_id = f.image_id
+WHERE f.n = {side * side} AND f.cy BETWEEN 1 AND s.ph - 2 AND f.cx BETWEEN 1 AND s.pw - 2 AND {near('p.p').replace('r0', 'f.r0').replace('g0', 'f.g0').replace('b0', 'f.b0')} AND {' AND '.join(f'f.high_{n} - f.{n}0 <= {d(slack)} AND f.{n}0 - f.low_{n} <= {d(slack)}' for n in 'rgb')}
+GROUP BY f.image_id, f.cy, f.cx HAVING COUNT(*) >= {alike}""")
+
+
+def crop(top: int, left: int, height: int, width: int) -> Operator:
+    """The part of each image inside a rectangle, which may reach beyond it, with the rectangle's corner as origin."""
+    return Operator(f"SELECT image_id, c, y - ({top}) AS y, x - ({left}) AS x, v FROM {{src}} WHERE y BETWEEN {top} AND {top + height - 1} AND x BETWEEN {left} AND {left + width - 1}")
+
+
 # Weights beside and diagonal to the centre.
 DC_SIDE, DC_CORNER = 0.20345139757231578, 0.0334829185968739
 _IMAGE_COLUMNS, _IMAGE_ROWS = "k AS (PARTITION BY image_id, x ORDER BY y)", "r AS (PARTITION BY image_id, y ORDER BY x)"

@@ -17,24 +17,24 @@ _residuals = N.RESIDUALS(_near)
 _cost = E.IMAGE_COST(N.CONTEXT(_near))
 _xyb, _ycbcr = P.XYB(S.LIGHT), P.YCBCR(S.LIGHT)
 _histogram = E.HISTOGRAM(S.CHARACTERS)
-_dct = M.DCT8(S.PIXELS)
-_quantised = M.DEADZONE(_dct)
+_dct = M.DCT8(S.CHANNELS)
+_quantised = M.deadzone(4.0)(_dct)
+_scanned = M.SCAN_TOKENS(_quantised)
+_fit = M.cfl_fit()(S.CHROMA)
+_kinds = Operator("SELECT *, image_id % 42 AS kind FROM {src}")(S.RGB)
+_marked = Operator("SELECT image_id, idx, v0 AS p0, v1 AS p1, v2 AS p2 FROM (SELECT image_id, v0, v1, v2, place AS idx FROM {src}) WHERE idx < 16")(M.palette_order()(S.DRAWN_RGB))
+_times = Operator("SELECT stream, pos, v / 100D AS t FROM {src}")(S.SIGNALS)
 _blurred = M.BLURRED(S.PAIRS)
 _palette = M.PALETTE(S.PIXELS)
 _symbols = E.SYMBOLS(S.SIGNALS)
 _qualities = Operator("SELECT DISTINCT (l_partkey % 101) AS q FROM {src}")
 
 
-def _rct_costs() -> Plan:
-    """Cost of every colour transform by summed magnitudes, and the cheapest for each image."""
-    each = " UNION ALL ".join(P.rct(k).sql.replace("SELECT image_id, y, x, v0, v1, v2,", f"SELECT image_id, {k} AS kind,") for k in range(42))
-    return Operator(f"SELECT image_id, MIN_BY(kind, cost * 100 + kind) AS kind, MIN(cost) AS cost FROM (SELECT image_id, kind, CAST(SUM(ABS(w0) + ABS(w1) + ABS(w2)) AS BIGINT) AS cost FROM ({each}) GROUP BY image_id, kind) GROUP BY image_id")(S.RGB)
-
 #: A tree that uses every kind of leaf by the way.
 TREE = """if |N| > 100 if W-NW > 20 - Gradient + 1 if NW-N > -10 - AvgAll - 2 - NE 0
 if W-WW-NW+NWW > 50 - Select 3 if x > 3 - AvgW+N - 1 - Set + 7"""
-_grid, _range = P.xyb_range(17)
-_colours = S.Source(lambda spark, _: spark.range(17**3), f"SELECT range AS id FROM range({17**3})")
+_grid, _range = P.xyb_range(256)
+_colours = S.Source(lambda spark, _: spark.range(256**3), f"SELECT range AS id FROM range({256**3})")
 _points = Operator("SELECT stream, pos, pos * 8D AS px, v / 100D AS py FROM {src}")(S.SIGNALS)
 _moved = L.move_to_front(16)(_symbols)
 _ranks = Operator("SELECT stream, pos, ROW_NUMBER() OVER (PARTITION BY stream ORDER BY v, pos) - 1 AS v FROM {src}")(S.SIGNALS)
@@ -46,41 +46,42 @@ _splits = T.best_split({"W-NW": "(w - nw)", "NW-N": "(nw - n)", "N-NE": "(n - ne
 PLANS: dict[str, Plan] = {
     # the cost of lossless coding
     "lossless_cost_by_label": E.LABEL_COST(_cost), "lossless_cost_by_image": _cost,
-    "rct_choice_by_cost": _rct_costs(), "rct_ycocg_roundtrip": P.UN_YCOCG(P.rct(6)(S.RGB)),
+    "rct_choice_by_cost": P.RCT_COSTS(S.RGB), "rct_all_types": P.RCT_BY_KIND(_kinds),
     # prediction and neighbourhoods
     "predictor_residual_stats": N.RESIDUAL_STATS(_residuals), "best_predictor": N.BEST_PREDICTOR(_residuals), "ma_properties": N.PROPERTIES(_near), "cross_agreement": N.CROSS_AGREEMENT(_near),
     "conv3x3": N.convolve(N.SMOOTH3)(S.PIXELS), "gaborish": N.convolve(N.GABORISH)(S.PIXELS), "gaborish_inverse": N.convolve(N.GABORISH_INVERSE)(S.PIXELS), "gaussian_blur": N.convolve(N.gaussian(1.2, 2))(S.PIXELS),
     "laplacian": N.convolve(N.LAPLACIAN)(S.PIXELS), "local_minmax": N.MINMAX(S.PIXELS), "fuzzy_erosion": N.fuzzy_erosion()(S.PIXELS), "second_smallest_difference": N.SECOND_SMALLEST_DIFFERENCE(S.PIXELS),
     "dc_smoothing": N.dc_smooth((1 / 16, 1 / 32, 1 / 16))(S.LIGHT), "edge_preserving_0": N.edge_preserving(0, 60.0)(S.LIGHT), "edge_preserving_1": N.edge_preserving(1, 60.0)(S.LIGHT), "edge_preserving_2": N.edge_preserving(2, 100.0)(S.LIGHT), "squeeze_h": N.SQUEEZE(S.PIXELS), "squeeze_v": N.TRANSPOSE(N.Operator("SELECT image_id, c, y, x, residual AS v FROM {src}")(N.SQUEEZE(N.TRANSPOSE(S.PIXELS)))),
-    "chroma_upsample_h": N.CHROMA_UPSAMPLE(S.PIXELS), "chroma_upsample_v": N.CHROMA_UPSAMPLE_V(S.PIXELS), "local_minmax_clamp": N.CLAMP_LOCAL(N.convolve(N.LAPLACIAN)(S.PIXELS), range=N.MINMAX(S.PIXELS)), "downsample_box": N.DOWNSAMPLE_MEAN(S.PIXELS), "downsample_edge": N.DOWNSAMPLE_EDGE(S.PIXELS), "max_luminance_log": N.MAX_LOG(S.LIGHT), "flat_cells": N.FLAT_CELLS(S.PIXELS), "crop": N.CROP(S.PIXELS),
+    "chroma_upsample_h": N.CHROMA_UPSAMPLE(S.PIXELS), "chroma_upsample_v": N.CHROMA_UPSAMPLE_V(S.PIXELS), "local_minmax_clamp": N.CLAMP_LOCAL(N.convolve(N.LAPLACIAN)(S.PIXELS), range=N.MINMAX(S.PIXELS)), "downsample_box": N.downsample_mean(3)(S.DRAWN), "downsample_edge": N.downsample_edge(2)(S.DRAWN), "max_luminance_log": N.max_log(16, 1000.0)(S.DRAWN_LIGHT), "flat_cells": N.flat_cells()(S.DRAWN_LIGHT), "crop": N.crop(-1, 3, 12, 9)(S.DRAWN),
     # points
     "xyb_scaled": P.XYB_SCALED(_xyb), "xyb_positive": P.XYB_POSITIVE(_xyb), "xyb_roundtrip": P.REST(P.UNXYB(_xyb)), "ycbcr_roundtrip": P.REST(P.UNYCBCR(_ycbcr)),
-    "tf_srgb": P.TF_SRGB(S.LIGHT), "tf_709": P.TF_709(S.LIGHT), "tf_pq": P.TF_PQ(S.LIGHT), "tf_hlg": P.TF_HLG(S.LIGHT), "tf_gamma": P.TF_GAMMA(S.LIGHT), "tone_map_2408": P.tone_map()(S.LIGHT), "hlg_ootf": P.HLG_OOTF(S.LIGHT), "gamut_map": P.GAMUT_MAP(S.LIGHT),
-    "alpha_flatten": P.ALPHA_FLATTEN(S.LIGHT), "premultiply": P.PREMULTIPLY(S.LIGHT), "spot_colour": P.spot_colour((0.9, 0.1, 0.3), 0.8)(S.LIGHT), "shape_range": P.SHAPE_RANGE(S.PIXELS), "channel_quantise": P.CHANNEL_QUANTISE(S.PIXELS), "external_depths": P.EXTERNAL(S.LIGHT),
+    "tf_srgb": P.TF_SRGB(S.LIGHT), "tf_709": P.TF_709(S.LIGHT), "tf_pq": P.TF_PQ(S.LIGHT), "tf_hlg": P.TF_HLG(S.LIGHT), "tf_gamma": P.TF_GAMMA(S.LIGHT), "tone_map_2408": P.tone_map((0.005, 1000.0), (0.05, 250.0))(S.LIGHT), "hlg_ootf": P.hlg_ootf(P.hlg_gamma(400.0, 20.0))(S.LIGHT), "hlg_inverse_ootf": P.hlg_ootf(1 / P.hlg_gamma(400.0, 20.0))(S.LIGHT), "gamut_map": P.gamut_map()(P.STRETCH(S.LIGHT)),
+    "alpha_flatten": P.flatten((0.2, 0.5, 0.8))(S.LAYER), "premultiply": P.ROUNDED(P.PREMULTIPLY(S.LAYER)), "unpremultiply": P.ROUNDED(P.UNPREMULTIPLY(S.LAYER)), "spot_colour": P.spot_colour((0.9, 0.1, 0.3), 0.8)(S.LIGHT), "shape_range": P.shape_range(60.0, 10.0)(S.PIXELS), "channel_quantise": P.channel_quantise(5)(S.CHANNELS), "external_depths": P.external(8)(S.LIGHT), "external_16": P.external(16)(S.DRAWN_LIGHT),
     "lab": P.LAB(S.LIGHT), "fuzzy_class": P.FUZZY(S.LIGHT), "heat_map": P.heat_map("r * 3D", 0.6, 1.4)(S.LIGHT), "dither_8bit": P.dither()(S.LIGHT), "xyb_range": _range(P.XYB(_grid(_colours))),
-    "orientation": P.ORIENT(S.PIXELS), "noise_strength": P.noise_strength((0.01, 0.02, 0.035, 0.03, 0.05, 0.04, 0.06, 0.07))(S.LIGHT), "hybrid_uint_tokens": P.HYBRID(S.SIGNALS), "pack_signed": P.PACK_SIGNED(S.PIXELS),
+    "orientation": P.ORIENT(S.DRAWN_ONE, turn=S.DRAWN_TURNS), "noise_strength": P.noise_strength((0.01, 0.02, 0.035, 0.03, 0.05, 0.04, 0.06, 0.07))(S.LIGHT), "hybrid_uint_tokens": P.HYBRID(S.SIGNALS), "pack_signed": P.PACK_SIGNED(S.PIXELS),
     "quality_to_distance": P.QUALITY_TO_DISTANCE(_qualities(S.Source(lambda s, d: s.read.parquet(f"{d}/lineitem.parquet"), "SELECT * FROM lineitem"))),
     # entropy and streams
-    "hist_entropy_by_ctx": E.ENTROPY(_histogram), "hist_distance_pairs": E.HISTOGRAM_DISTANCE(_histogram), "quantile_thresholds": E.QUANTILES(_histogram), "noise_hist_mode": E.MODE(_histogram), "rle_runs": E.RUN_LENGTHS(S.CHARACTERS),
+    "hist_entropy_by_ctx": E.ENTROPY(_histogram), "hist_distance_pairs": E.HISTOGRAM_DISTANCE(_histogram), "quantile_thresholds": E.quantiles(8)(_histogram), "noise_hist_mode": E.MODE(_histogram), "rle_runs": E.RUN_LENGTHS(S.CHARACTERS),
     "uint_config_search": E.UINT_SEARCH(S.SIGNALS), "cluster_renumber": E.CLUSTER_RENUMBER(S.SIGNALS), "mtf_index": _moved, "lehmer_code": E.LEHMER(S.SIGNALS), "delta_orders": E.DELTAS(S.SIGNALS),
     # measures
-    "pnorm3": M.P_NORM(S.PAIRS), "psnr": M.PSNR(S.RGB_PAIRS), "ssim_map": M.SSIM(_blurred), "edge_diff": M.EDGE_DIFF(_blurred), "block_l2": M.BLOCK_L2(S.RGB_PAIRS), "tile_16norm": M.tile_16norm(4, 1)(S.PAIRS), "plane_stats": M.MINMAX_STATS(S.PIXELS), "image_info": M.IMAGE_INFO(S.CHANNELS),
-    "bench_rollup": M.BENCH_ROLLUP(S.RUNS), "bench_percentiles": M.PERCENTILES(S.RUNS), "speed_geomean": M.SPEED_SUMMARY(S.RUNS), "distinct_colours": M.DISTINCT_COLOURS(S.RGB),
+    "pnorm3": M.P_NORM(S.PAIRS), "psnr": M.PSNR(S.RGB_PAIRS), "ssim_map": M.SSIM(_blurred), "edge_diff": M.EDGE_DIFF(_blurred), "block_l2": M.BLOCK_L2(S.RGB_PAIRS, mask=S.MASK), "tile_16norm": M.tile_16norm(4, 1)(S.PAIRS), "plane_stats": M.MINMAX_STATS(S.DRAWN), "image_info": M.IMAGE_INFO(S.DRAWN),
+    "bench_rollup": M.BENCH_ROLLUP(S.RUNS), "bench_percentiles": M.PERCENTILES(S.RUNS), "speed_geomean": M.SPEED_SUMMARY(_times), "distinct_colours": M.distinct_colours(256)(S.DRAWN_RGB),
     # palettes, compositing, orders
-    "palette_index": M.PALETTE_INDEX(S.PIXELS, palette=_palette), "palette_order": M.PALETTE_ORDER(S.RGB), "palette_nearest": M.PALETTE_NEAREST(S.PIXELS), "topk_deltas": M.TOP_DELTAS(S.RGB),
-    "blend_modes": M.BLEND(S.RGB_PAIRS), "alpha_over": M.ALPHA_OVER(S.RGB_PAIRS), "patch_apply": M.PATCH_APPLY(S.PIXELS, patches=S.PATCHES), "zigzag_order": M.ZIGZAG(S.PIXELS), "group_center_first": M.CENTRE_FIRST(S.PIXELS),
+    "palette_index": M.PALETTE_INDEX(S.PIXELS, palette=_palette), "palette_order": M.palette_order()(S.DRAWN_RGB), "palette_nearest": M.PALETTE_NEAREST(S.DRAWN_RGB, palette=_marked), "topk_deltas": M.top_deltas()(M.LEFT_DELTAS(S.DRAWN_RGB)),
+    "blend_modes": M.blend()(S.LAYER, top=S.ABOVE, place=S.PLACES), "blend_premultiplied": M.blend(True, True)(S.LAYER, top=S.ABOVE, place=S.PLACES), "patch_apply": M.PATCH_APPLY(S.PIXELS, patches=S.PATCHES), "zigzag_order": M.zigzag()(S.FRAMES), "zigzag_order_wide": M.zigzag(1, 2)(S.FRAMES), "group_center_first": M.centre_first(8)(S.DRAWN),
     # blocks
-    "dct8x8": M.COEFFICIENTS(_dct), "dct_roundtrip": M.SAMPLES(M.IDCT8(_dct)), "quantize_deadzone": _quantised, "dequant_bias": M.DEQUANTISE(_quantised), "nonzeros_per_block": M.NONZEROS(_quantised), "coeff_order_by_zeros": M.COEFFICIENT_ORDER(_quantised),
-    "scan_tokens": M.SCAN_TOKENS(_quantised), "cfl_fit": M.CFL_FIT(S.LIGHT), "quant_median_mad": M.MEDIAN_MAD(S.PIXELS),
+    "dct8x8": M.COEFFICIENTS(_dct), "dct_roundtrip": M.SAMPLES(M.IDCT8(_dct)), "dct_odd_sizes": M.COEFFICIENTS(M.DCT8(S.DRAWN)), "dct16x8": M.COEFFICIENTS(M.dct(16, 8)(S.DRAWN)), "quantize_deadzone": _quantised, "dequant_bias": M.dequantise(4.0)(_quantised), "nonzeros_per_block": M.NONZEROS(_quantised), "coeff_order_by_zeros": M.COEFFICIENT_ORDER(_quantised),
+    "scan_tokens": _scanned, "cfl_fit": _fit, "cfl_apply": M.cfl_apply()(S.CHROMA, fit=_fit), "quant_median_mad": M.MEDIAN_MAD(S.DRAWN_ONE),
     # models
-    "previous_channel": L.PREVIOUS_CHANNEL(N.NEIGHBOURS(_channels)), "zero_density_ctx": L.ZERO_DENSITY(_quantised), "nearest_histogram": L.NEAREST_HISTOGRAM(_histogram), "spline_samples": L.catmull_rom()(_points), "main_axes": L.MAIN_AXES(S.LIGHT), "ready_corners": L.READY_CORNERS(S.PIXELS),
-    "idct8x8": M.SAMPLES(M.IDCT8(M.DEQUANTISE(_quantised))),
+    "previous_channel": L.PREVIOUS_CHANNEL(N.NEIGHBOURS(_channels)), "zero_density_ctx": L.ZERO_DENSITY(_scanned), "nearest_histogram": L.nearest_histogram()(_histogram), "spline_samples": L.catmull_rom()(_points), "main_axes": L.MAIN_AXES(S.LIGHT), "ready_corners": L.ready_corners(8, 8)(S.PARTS),
+    "idct8x8": M.SAMPLES(M.IDCT8(M.dequantise(4.0)(_quantised))),
     "tree_context_case": T.apply(T.parse(TREE))(_near), "tree_split_gain": _splits(_sample),
     # frames and parts
-    "frame_index": M.OFFSETS(S.FRAMES), "layer_groups": M.LAYER_GROUPS(S.FRAMES), "reference_slot": M.REFERENCE_SLOT(S.FRAMES), "part_reorder_prefix": M.READY_PARTS(S.PIXELS), "pass_refinement": M.PASSES(S.PIXELS),
+    "frame_index": M.OFFSETS(S.FRAMES), "layer_groups": M.LAYER_GROUPS(S.FRAMES), "reference_slot": M.REFERENCE_SLOT(S.FRAMES), "part_reorder_prefix": M.READY_PARTS(S.ROWS_HERE), "pass_refinement": M.PASSES(S.PIXELS),
 }
 #: Steps in Python: an inverse is held against what it restores; the others have no oracle.
 CUSTOM = {
+    "rct_roundtrip": Custom(lambda f: P.UNRCT_BY_KIND(f).drop("kind"), P.RCT_BY_KIND(_kinds), S.RGB),
     "weighted_predictor": Custom(R.weighted_residuals, S.PIXELS),
     "weighted_roundtrip": Custom(lambda p: R.weighted_restore(R.weighted_residuals(p)), S.PIXELS, _same_pixels),
     "mtf_inverse": Custom(lambda f: L.restore_moved(f, 16), _moved, Operator("SELECT stream, pos, v FROM {src}")(_symbols)),

@@ -36,7 +36,7 @@ class Plan:
         return self.operator.on(spark, **{k: v.frame(spark, sf_dir) for k, v in self.inputs.items()})
 
     def oracle(self) -> str:
-        return other_dialect(self.operator.sql).format(**{k: f"({v.oracle()})" for k, v in self.inputs.items()})
+        return (self.operator.duck or other_dialect(self.operator.sql)).format(**{k: f"({v.oracle()})" for k, v in self.inputs.items()})
 
     def then(self, *operators: Operator, **others: Plan | Source) -> Plan:
         out = self
@@ -61,8 +61,10 @@ class Custom:
 
 
 class Operator:
-    def __init__(self, sql: str):
-        self.sql = sql
+    """A template; duck is the oracle's own text where the two engines' words differ or the formula is stated another way."""
+
+    def __init__(self, sql: str, duck: str | None = None):
+        self.sql, self.duck = sql, duck
 
     def on(self, spark: SparkSession, **frames: DataFrame) -> DataFrame:
         return spark.sql(self.sql, **frames)

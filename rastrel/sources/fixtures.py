@@ -15,12 +15,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pixels_of(vectors: DataFrame) -> DataFrame:
-    """(image_id, label, c, y, x, v): each embedding as an 8x8 image of integers, routed by image."""
-    cells = vectors.selectExpr("vec_id AS image_id", "label", "posexplode(embedding) AS (pos, e)")
+    """(image_id, label, c, y, x, v): each embedding as an 8x8 image of integers. The vectors are routed by image before they become 64 rows."""
+    cells = vectors.select("vec_id", "label", "embedding").repartition("vec_id").selectExpr("vec_id AS image_id", "label", "posexplode(embedding) AS (pos, e)")
     return cells.selectExpr(
         "image_id", "CAST(label AS BIGINT) AS label", "CAST(0 AS BIGINT) AS c", "CAST(pos DIV 8 AS BIGINT) AS y", "CAST(pos % 8 AS BIGINT) AS x",
         "CAST(floor(CAST(e AS DOUBLE) * 512D + 0.5D) AS BIGINT) AS v",
-    ).repartition("image_id")
+    )
 
 
 _CELLS = "SELECT vec_id, label, unnest(range(len(embedding))) AS pos, unnest(embedding) AS e FROM embeddings"
@@ -45,6 +45,37 @@ SELECT a.image_id, a.y, a.x, (a.v + 256D) / 512D AS a, (b.v + 256D) / 512D AS b
 RGB_PAIRS = Operator("""
 SELECT a.image_id, a.y, a.x, a.r AS r1, a.g AS g1, a.b AS b1, b.r AS r2, b.g AS g2, b.b AS b2
 FROM {src} a JOIN {src} b ON b.image_id = a.image_id + 1 AND b.y = a.y AND b.x = a.x""")(LIGHT)
+#: The light of an image with a coverage, as the layers of a frame have it, and the next image's as the layer above.
+LAYER = Operator("SELECT image_id, y, x, r, g, b, (r + g) / 2D AS a FROM {src}")(LIGHT)
+ABOVE = Operator("SELECT image_id - 1 AS image_id, y, x, r, g, b, a FROM {src}")(LAYER)
+#: How and where each image's layer goes.
+PLACES = Operator("SELECT DISTINCT image_id, image_id % 5 AS mode, image_id % 3 - 1 AS dy, image_id % 4 - 2 AS dx FROM {src}")(LAYER)
+TURNS = Operator("SELECT DISTINCT image_id, 1 + image_id % 8 AS orientation FROM {src}")(PIXELS)
+#: Luma and chroma of a tile, the tile being the image.
+CHROMA = Operator("SELECT image_id, y, x, g * 255D AS m, b * 255D AS s FROM {src}")(LIGHT)
+#: A masking strength for each pixel.
+MASK = Operator("SELECT image_id, y, x, 1D / (1D + ABS(r1 - g1)) AS mask FROM {src}")(RGB_PAIRS)
+#: Parts of images that have come so far, with gaps.
+PARTS = Operator("SELECT image_id, y, x FROM {src} WHERE (y * 8 + x + image_id) % 11 > 0")(PIXELS)
+ROWS_HERE = Operator("SELECT image_id, y AS part FROM {src} WHERE NOT (image_id % 3 = 0 AND y = image_id % 8)")(PIXELS)
+# Sizes of drawn images: one pixel, a row, a column, odd sides, and some larger ones.
+SIZES = ((1, 1), (1, 9), (9, 2), (33, 17), (16, 16), (40, 24), (24, 67))
+_DRAWN = "(x * 37 + y * 101 + x * y * 13 + c * 59 + id * 7) % 256"
+_EVEN = "(x DIV 20 * 3 + y DIV 18 * 5 + c) % 4 * 60"
+_SIZES = ", ".join(f"({i}, {h}, {w})" for i, (h, w) in enumerate(SIZES))
+_PIXEL = f"SELECT CAST(id AS BIGINT) AS image_id, CAST(id % 3 AS BIGINT) AS label, CAST(c AS BIGINT) AS c, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(CASE WHEN id % 2 = 0 THEN {_EVEN} ELSE {_DRAWN} END AS BIGINT) AS v FROM "
+#: Drawn images of three channels, (image_id, label, c, y, x, v): even ones of plain rectangles, the others full of detail.
+DRAWN = Source(
+    lambda spark, _: spark.sql(f"{_PIXEL} (SELECT id, c, y, EXPLODE(SEQUENCE(0, w - 1)) AS x FROM (SELECT id, w, c, EXPLODE(SEQUENCE(0, h - 1)) AS y FROM (SELECT id, h, w, EXPLODE(ARRAY(0, 1, 2)) AS c FROM VALUES {_SIZES} s(id, h, w))))").repartition("image_id"),
+    f"{_PIXEL} (SELECT id, c, y, unnest(range(w)) AS x FROM (SELECT id, w, c, unnest(range(h)) AS y FROM (SELECT id, h, w, unnest(range(3)) AS c FROM (VALUES {_SIZES}) s(id, h, w))))".replace(" DIV ", " // "),
+)
+DRAWN_RGB = Operator("""
+SELECT image_id, y, x, MAX(CASE WHEN c = 0 THEN v END) AS v0, MAX(CASE WHEN c = 1 THEN v END) AS v1, MAX(CASE WHEN c = 2 THEN v END) AS v2
+FROM {src} GROUP BY image_id, y, x""")(DRAWN)
+#: One channel of them, and how they are turned.
+DRAWN_ONE = Operator("SELECT image_id, label, c, y, x, v FROM {src} WHERE c = 1")(DRAWN)
+DRAWN_TURNS = Operator("SELECT DISTINCT image_id, 1 + (image_id + 4) % 8 AS orientation FROM {src}")(DRAWN)
+DRAWN_LIGHT = Operator("SELECT image_id, y, x, v0 / 255D AS r, v1 / 255D AS g, v2 / 255D AS b FROM {src}")(DRAWN_RGB)
 SIGNALS = Source(
     lambda spark, d: _read(spark, d, "events").selectExpr(
         "user_id AS stream", "CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS pos", "CAST(floor(value * 100D + 0.5D) AS BIGINT) AS v", "event_type"),
