@@ -8,6 +8,7 @@ from rastrel.operators import measures as M
 from rastrel.operators import modelling as L
 from rastrel.operators import neighbourhood as N
 from rastrel.operators import recurrences as R
+from rastrel.operators import scores as Q
 from rastrel.operators import trees as T
 from rastrel.plans.steps import Custom, Operator, Plan
 from rastrel.sources import fixtures as S
@@ -65,6 +66,7 @@ PLANS: dict[str, Plan] = {
     "uint_config_search": E.UINT_SEARCH(S.SIGNALS), "cluster_renumber": E.CLUSTER_RENUMBER(S.SIGNALS), "mtf_index": _moved, "lehmer_code": E.LEHMER(S.SIGNALS), "delta_orders": E.DELTAS(S.SIGNALS),
     # measures
     "pnorm3": M.P_NORM(S.PAIRS), "psnr": M.PSNR(S.RGB_PAIRS), "ssim_map": M.SSIM(_blurred), "edge_diff": M.EDGE_DIFF(_blurred), "block_l2": M.BLOCK_L2(S.RGB_PAIRS, mask=S.MASK), "tile_16norm": M.tile_16norm(4, 1)(S.PAIRS), "plane_stats": M.MINMAX_STATS(S.DRAWN), "image_info": M.IMAGE_INFO(S.DRAWN),
+    "multiscale_score": Q.multiscale_score(S.DISTORTED), "structure_score": Q.structure_score(S.DISTORTED),
     "bench_rollup": M.BENCH_ROLLUP(S.RUNS), "bench_percentiles": M.PERCENTILES(S.RUNS), "speed_geomean": M.SPEED_SUMMARY(_times), "distinct_colours": M.distinct_colours(256)(S.DRAWN_RGB),
     # palettes, compositing, orders
     "palette_index": M.PALETTE_INDEX(S.PIXELS, palette=_palette), "palette_order": M.palette_order()(S.DRAWN_RGB), "palette_nearest": M.PALETTE_NEAREST(S.DRAWN_RGB, palette=_marked), "topk_deltas": M.top_deltas()(M.LEFT_DELTAS(S.DRAWN_RGB)),

@@ -76,6 +76,8 @@ FROM {src} GROUP BY image_id, y, x""")(DRAWN)
 DRAWN_ONE = Operator("SELECT image_id, label, c, y, x, v FROM {src} WHERE c = 1")(DRAWN)
 DRAWN_TURNS = Operator("SELECT DISTINCT image_id, 1 + (image_id + 4) % 8 AS orientation FROM {src}")(DRAWN)
 DRAWN_LIGHT = Operator("SELECT image_id, y, x, v0 / 255D AS r, v1 / 255D AS g, v2 / 255D AS b FROM {src}")(DRAWN_RGB)
+#: Each drawn image beside a copy with fewer levels, less contrast and a shifted channel.
+DISTORTED = Operator("""SELECT image_id, y, x, r AS r1, g AS g1, b AS b1, FLOOR(r * 10D + 0.5D) / 10D AS r2, g * 0.9D + 0.04D AS g2, COALESCE(LAG(b) OVER (PARTITION BY image_id, y ORDER BY x), b) AS b2 FROM {src}""")(DRAWN_LIGHT)
 SIGNALS = Source(
     lambda spark, d: _read(spark, d, "events").selectExpr(
         "user_id AS stream", "CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS pos", "CAST(floor(value * 100D + 0.5D) AS BIGINT) AS v", "event_type"),
