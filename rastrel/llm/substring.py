@@ -26,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import partitions, prepare
+from rastrel.llm.common import partitions, prepare, release
 
 WINDOW = 13
 BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0x85EBCA77  # odd, so that no word's part in a hash is lost
 #: Words hashed at a time; buckets for each shuffle partition at least, and bytes of text in one about, if they are more.
-BATCH_WORDS, BUCKETS_EACH, BUCKET_BYTES = 3_000_000, 4, 8_000_000
+BATCH_WORDS, BUCKETS_EACH, BUCKET_BYTES = 1_500_000, 4, 8_000_000
 _ENTRIES = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("hashes", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary()), ("doc", pa.int64()), ("code", pa.int64()), ("marks", pa.binary())])
 _MARKS = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("known", pa.bool_()), ("doc", pa.int64()), ("code", pa.int64()), ("docs", pa.binary()), ("marks", pa.binary())])
 _MAPPED = "bucket int, known boolean, hashes binary, checks binary, docs binary, doc long, code long, marks binary"
@@ -111,6 +111,7 @@ def _map(window: int, buckets: int):
         unknown, doc, code = unknown[order], doc[order], code[order]
         sizes = np.array([len(hashes[i][0]) for i in order])
         flat, check = (np.concatenate([hashes[i][k] for i in order]) for k in (0, 1))
+        hashes.clear()  # the arrays that follow are as large
         if not len(flat):
             return
         row = np.repeat(np.arange(len(doc), dtype=np.int32), sizes)
@@ -148,6 +149,7 @@ def _map(window: int, buckets: int):
                 if size >= BATCH_WORDS:
                     yield pa.RecordBatch.from_pylist(list(settle(*held)), schema=_ENTRIES)
                     held, size = ([], [], [], []), 0
+                    release()
         if held[0]:
             yield pa.RecordBatch.from_pylist(list(settle(*held)), schema=_ENTRIES)
 
