@@ -7,10 +7,10 @@ each document. Count: all entries of a hash meet in one bucket, where the smalle
 Merge: each document gets its repeated windows, joins them into maximal intervals, and drops the
 words that they cover.
 
-A hash has 96 bits: two polynomials, over 64 and over 32 bits, of independent digests of the words. Two
-different windows share one with a chance of 2^-96 a pair, so among the 10^13 windows of 100 TB one false
-pair is expected once in about a thousand runs. Buckets are as many as the table's bytes ask for, so a
-task's memory does not grow with the table.
+A hash has 80 bits: two polynomials, over 64 bits and over 32 of which half are kept, of independent digests of
+the words. Two different windows share one with a chance of 2^-80 a pair: 10^-5 false pairs are expected among
+the windows of 30 GB, about 40 among the 10^13 of 100 TB; more bits would not fit the disk that the shuffle may
+take. Buckets are as many as the table's bytes ask for, so a task's memory does not grow with the table.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from rastrel.llm.common import partitions, prepare, release
 WINDOW = 13
 BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0x85EBCA77  # odd, so that no word's part in a hash is lost
 #: Words hashed at a time; buckets for each shuffle partition at least, and bytes of text in one about, if they are more.
-BATCH_WORDS, BUCKETS_EACH, BUCKET_BYTES = 1_500_000, 4, 8_000_000
+BATCH_WORDS, BUCKETS_EACH, BUCKET_BYTES = 2_000_000, 4, 8_000_000
 _ENTRIES = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("hashes", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary()), ("doc", pa.int64()), ("code", pa.int64()), ("marks", pa.binary())])
 _MARKS = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("known", pa.bool_()), ("doc", pa.int64()), ("code", pa.int64()), ("docs", pa.binary()), ("marks", pa.binary())])
 _MAPPED = "bucket int, known boolean, hashes binary, checks binary, docs binary, doc long, code long, marks binary"
@@ -46,7 +46,7 @@ def window_hashes(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
     """Both parts of the hash of the window that starts at each word; fewer than window words have none."""
     n = len(words) - window + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint16)
     digest = xxhash.xxh3_128_digest
     each = np.frombuffer(b"".join([digest(w) for w in words]), dtype=np.dtype([("a", "<u8"), ("b", "<u4"), ("c", "<u4")]))
     out, check = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint32)
@@ -58,7 +58,7 @@ def window_hashes(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
         check += second[j : j + n]
     out ^= out >> np.uint64(32)  # the upper bits choose the bucket
     out *= np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(29)), check
+    return out ^ (out >> np.uint64(29)), (check >> np.uint32(16)).astype(np.uint16)
 
 
 def _by_hash(flat: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +136,7 @@ def _map(window: int, buckets: int):
             edges = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
             for k in np.flatnonzero(np.diff(edges)):
                 a, b = edges[k], edges[k + 1]
-                yield {"bucket": int(k), "known": not which, "hashes": _pack(np.diff(keys[a:b], prepend=np.uint64(0))), "checks": checks[a:b].astype("<u4").tobytes(), "docs": _pack(first[a:b])}
+                yield {"bucket": int(k), "known": not which, "hashes": _pack(np.diff(keys[a:b], prepend=np.uint64(0))), "checks": checks[a:b].astype("<u2").tobytes(), "docs": _pack(first[a:b])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list, list] = ([], [], [], [])
@@ -199,7 +199,7 @@ def _count(slots: int):
                         yield packed(found)
                         found, size = [], 0
                 now = bucket
-                own.append((known, _unpack(h.as_buffer()), np.frombuffer(c.as_buffer(), dtype="<u4"), _unpack(d.as_buffer())))
+                own.append((known, _unpack(h.as_buffer()), np.frombuffer(c.as_buffer(), dtype="<u2"), _unpack(d.as_buffer())))
         if own:
             found.append(settle(own))
         if found:
