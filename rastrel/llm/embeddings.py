@@ -27,7 +27,7 @@ from rastrel.llm.simhash import _roots
 
 COSINE = 0.95
 #: Points in a block, parts that a cell is parted into, and levels of cells, at most. They bound memory, not results.
-BLOCK_POINTS, FAN, LEVELS = 16_000, 64, 8
+BLOCK_POINTS, FAN, LEVELS = 8_000, 64, 8
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -179,7 +179,7 @@ def _parted(placed: DataFrame, level: int, n: int) -> tuple[DataFrame, DataFrame
     nodes: above, node, pivot, radius. Pivots are the first of a cell in the order of a hash, of candidates thinned by it.
     """
     cells = checkpoint(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size")))
-    parts = F.least(F.lit(FAN), F.ceil(F.col("size") * 2 / BLOCK_POINTS)).cast("int")
+    parts = F.least(F.lit(FAN), F.greatest(F.ceil(F.col("size") * 5 / (4 * BLOCK_POINTS)), F.lit(2))).cast("int")
     info = cells.select("cell", "size", F.when(F.col("size") > BLOCK_POINTS, parts).otherwise(0).alias("parts"), F.greatest(F.ceil(F.col("size") / BLOCK_POINTS), F.lit(1)).cast("int").alias("shares"))
     sized = spread_join(placed, info.withColumn("weight", F.col("size")), "cell", "weight", n)
     big = sized.where("parts > 0")
@@ -232,7 +232,7 @@ def _linked(points: DataFrame, n: int, cosine: float) -> DataFrame:
     """(point, links, root) for points with a link, a row for each task that found some."""
     spark = points.sparkSession
     distance = math.sqrt(max(0.0, 2 - 2 * cosine))
-    placed = points.withColumn("cell", F.lit(0).cast("long"))
+    placed = points.withColumn("cell", F.col("point") * 0)  # not a literal, which would turn joins on it into nested loops
     levels: list[DataFrame] = []
     largest = n
     while largest > BLOCK_POINTS and len(levels) < LEVELS:
