@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rastrel.functions import pointwise as P
+from rastrel.operators import details as D
 from rastrel.operators import entropy as E
 from rastrel.operators import measures as M
 from rastrel.operators import modelling as L
@@ -36,6 +37,7 @@ TREE = """if |N| > 100 if W-NW > 20 - Gradient + 1 if NW-N > -10 - AvgAll - 2 -
 if W-WW-NW+NWW > 50 - Select 3 if x > 3 - AvgW+N - 1 - Set + 7"""
 _grid, _range = P.xyb_range(256)
 _colours = S.Source(lambda spark, _: spark.range(256**3), f"SELECT range AS id FROM range({256**3})")
+_histogram_of_signals = E.HISTOGRAM(S.SIGNALS)
 _points = Operator("SELECT stream, pos, pos * 8D AS px, v / 100D AS py FROM {src}")(S.SIGNALS)
 _moved = L.move_to_front(16)(_symbols)
 _ranks = Operator("SELECT stream, pos, ROW_NUMBER() OVER (PARTITION BY stream ORDER BY v, pos) - 1 AS v FROM {src}")(S.SIGNALS)
@@ -44,6 +46,28 @@ _same_pixels = Operator("SELECT image_id, c, y, x, v FROM {src}")(S.PIXELS)
 _sample = Operator(f"SELECT {P.pack('(v - n)')} AS packed, w, n, nw, ne, ww, nn FROM {{src}}")(_near)
 _splits = T.best_split({"W-NW": "(w - nw)", "NW-N": "(nw - n)", "N-NE": "(n - ne)", "N": "n", "W": "w"})
 
+_two = Operator("SELECT image_id, y, x, r AS a, g AS b FROM {src}")(S.DRAWN_LIGHT)
+_levels = D.NOISE_LEVELS(_two)
+_opponent = P.XYB(S.DRAWN_LIGHT)
+_bins = E.HISTOGRAM(Operator("SELECT stream, pos, v DIV 100 % 256 AS v FROM {src}")(S.SIGNALS))
+_field = Operator("SELECT image_id, y DIV 8 AS cy, x DIV 8 AS cx, MAX(v) + 1 AS quant, MAX(v) % 8 AS sharpness FROM {src} GROUP BY image_id, y DIV 8, x DIV 8")(S.DRAWN_ONE)
+_transforms = Operator("SELECT image_id, cy DIV 2 * 100 + cx DIV 2 AS part, cy, cx, quant * 1D AS quant FROM {src}")(_field)
+_noise = Operator("SELECT image_id, y, x, (y * 7 + x * 13) % 11 / 11D + 1D AS n0, (y * 5 + x * 3) % 7 / 7D + 1D AS n1, (y + x * 17) % 13 / 13D + 1D AS shared FROM {src}")(S.DRAWN_RGB)
+_strong = Operator("SELECT *, 0.01D * (1D + yy) AS strength_r, 0.02D * (1D + bb) AS strength_g FROM {src}")(_opponent)
+_signed = Operator("SELECT stream, pos, v - 9000 AS v FROM {src}")(S.SIGNALS)
+_indices = Operator("SELECT image_id, y, x, v * 3 % 230 - 20 AS idx FROM {src}")(S.DRAWN_ONE)
+_spots = Operator("SELECT image_id, y, x, y DIV 6 * 1000 + x DIV 6 AS part FROM {src} WHERE v > 120")(S.DRAWN_ONE)
+_headers = Operator("SELECT image_id, frame, frame % 4 AS kind, duration AS mode, size % 2 AS part, size % 3 DIV 2 AS extra FROM {src}")(S.FRAMES)
+_next_to = Operator("""SELECT * FROM (SELECT image_id, y, x, xx AS xx1, yy AS yy1, bb AS bb1, LAG(xx) OVER w AS xx2, LAG(yy) OVER w AS yy2, LAG(bb) OVER w AS bb2 FROM {src} WINDOW w AS (PARTITION BY image_id, y ORDER BY x)) WHERE xx2 IS NOT NULL""")(_opponent)
+_both = Operator("SELECT image_id, c, y, x, v * 1D AS a, (v * 7 DIV 8) * 1D AS b FROM {src}")(S.DRAWN)
+_boxes = Operator("SELECT ctx AS id, MIN(symbol) AS lo, MAX(symbol) AS hi FROM {src} GROUP BY ctx")(_bins)
+_box = Operator("SELECT * FROM (VALUES (0, 0, 255), (1, 20, 90), (2, 240, 250)) q(box, low, high) CROSS JOIN (SELECT COUNT(*) AS n FROM {src})")(S.FRAMES)
+_halves = Operator("SELECT DISTINCT ctx, ctx % 4 AS cluster FROM {src}")(_bins)
+_cameras = Operator("SELECT image_id, 8 * (1 + image_id % 3) AS width, 16 AS height, 100D * (1 + image_id % 7) AS iso FROM (SELECT DISTINCT image_id FROM {src})")(S.FRAMES)
+_counters = Operator("SELECT event_type AS name, v AS value FROM {src}")(S.SIGNALS)
+_texts = Operator("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'RGB_D65_SRG_Rel_SRG' WHEN 1 THEN 'Gra_D65_Rel_g0.45455' WHEN 2 THEN 'RGB_0.3;0.31_202_Per_PeQ' ELSE 'neither' END AS text FROM {src}")(
+    S.Source(lambda s, d: s.read.parquet(f"{d}/part.parquet"), "SELECT * FROM part"))
+
 PLANS: dict[str, Plan] = {
     # the cost of lossless coding
     "lossless_cost_by_label": E.LABEL_COST(_cost), "lossless_cost_by_image": _cost,
@@ -78,6 +102,15 @@ PLANS: dict[str, Plan] = {
     "previous_channel": L.PREVIOUS_CHANNEL(N.NEIGHBOURS(_channels)), "zero_density_ctx": L.ZERO_DENSITY(_scanned), "nearest_histogram": L.nearest_histogram()(_histogram), "spline_samples": L.catmull_rom()(_points), "main_axes": L.MAIN_AXES(S.LIGHT), "ready_corners": L.ready_corners(8, 8)(S.PARTS),
     "idct8x8": M.SAMPLES(M.IDCT8(M.dequantise(4.0)(_quantised))),
     "tree_context_case": T.apply(T.parse(TREE))(_near), "tree_split_gain": _splits(_sample),
+    # details
+    "noise_levels": _levels, "flat_noise": D.flat_noise(1.5)(_levels), "noise_quantiles": D.noise_quantiles()(_bins), "erode_far": D.erode_far()(S.DRAWN), "mask_blur": N.convolve(D.MASK_BLUR)(S.DRAWN),
+    "conv5_separable": N.convolve(D.separable((0.4, 0.2, 0.1), (0.5, 0.2, 0.05)))(S.DRAWN), "upsample_4tap": D.UPSAMPLE_V(D.UPSAMPLE_H(S.DRAWN)), "low_values": D.LOW_VALUES(_opponent), "suppress_by_luma": D.SUPPRESS_BY_LUMA(_opponent),
+    "photon_noise": D.photon_noise()(_cameras), "add_noise": D.add_noise(0.1, 0.9)(_strong, noise=_noise), "filter_sigma": D.filter_sigma(0.02)(_field), "adjust_quant": D.adjust_quant(2.0)(_transforms),
+    "distinct_samples": D.distinct_samples(["w", "n", "nw"])(_near), "bucketed": D.BUCKETED(S.SIGNALS, at=E.quantiles(8)(_histogram_of_signals)), "permutation_tokens": D.permutation_tokens(2)(E.LEHMER(S.SIGNALS)),
+    "sum_maximum": D.SUM_MAXIMUM(_signed), "field_bits": D.field_bits((0, (4, 1), (8, 17), (15, 273)))(S.SIGNALS), "byte_planes": D.byte_planes(4)(Operator("SELECT stream, pos, v FROM {src}")(S.SIGNALS)), "block_to_pixels": D.BLOCK_TO_PIXELS(S.DRAWN, field=_field),
+    "box_relation": D.BOX_RELATION(_boxes, box=_box), "merged_histograms": D.MERGED_HISTOGRAMS(_bins, map=_halves), "palette_expand": D.palette_expand(16)(_indices, palette=_marked), "implicit_palette": D.palette_expand(16)(D.implicit_index(16)(S.DRAWN_RGB), palette=_marked),
+    "channel_errors": D.CHANNEL_ERRORS(_both), "component_stats": D.component_stats(2)(S.DRAWN_ONE, label=_spots), "needs_blending": D.NEEDS_BLENDING(_headers), "from_frame": D.from_frame(2)(S.FRAMES), "alike": Operator("SELECT image_id, COUNT(*) AS n FROM {src} GROUP BY image_id")(D.alike(1.0)(_next_to)),
+    "colour_description": D.COLOUR_DESCRIPTION(_texts), "merged_statistics": D.MERGED_STATISTICS(_counters),
     # frames and parts
     "frame_index": M.OFFSETS(S.FRAMES), "layer_groups": M.LAYER_GROUPS(S.FRAMES), "reference_slot": M.REFERENCE_SLOT(S.FRAMES), "part_reorder_prefix": M.READY_PARTS(S.ROWS_HERE), "pass_refinement": M.PASSES(S.PIXELS),
 }
@@ -89,6 +122,7 @@ CUSTOM = {
     "mtf_inverse": Custom(lambda f: L.restore_moved(f, 16), _moved, Operator("SELECT stream, pos, v FROM {src}")(_symbols)),
     "lehmer_decode": Custom(L.restore_permutation, E.LEHMER(S.SIGNALS), _ranks),
     "huffman_depths": Custom(L.huffman, _histogram), "components": Custom(lambda p: L.components(p, 0, 60), S.PIXELS),
+    "noise_image": Custom(D.noise_image, Operator("SELECT DISTINCT image_id, image_id AS shown, 0 AS hidden, CAST(5 + image_id % 4 AS INT) AS height, CAST(17 + image_id % 30 AS INT) AS width FROM {src}")(S.FRAMES)),
     "unsqueeze_h": Custom(R.unsqueeze, N.SQUEEZE(S.PIXELS), _same_pixels),
 }
 QUERIES = {name: plan.frame for name, plan in (PLANS | CUSTOM).items()}
