@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rastrel.functions import pointwise as P
+from rastrel.operators import coding as C
 from rastrel.operators import details as D
 from rastrel.operators import entropy as E
 from rastrel.operators import measures as M
@@ -122,6 +123,8 @@ CUSTOM = {
     "mtf_inverse": Custom(lambda f: L.restore_moved(f, 16), _moved, Operator("SELECT stream, pos, v FROM {src}")(_symbols)),
     "lehmer_decode": Custom(L.restore_permutation, E.LEHMER(S.SIGNALS), _ranks),
     "huffman_depths": Custom(L.huffman, _histogram), "components": Custom(lambda p: L.components(p, 0, 60), S.PIXELS),
+    "copies_restored": Custom(lambda f: C.restore_copies(C.code_copies(f)), _symbols, Operator("SELECT stream, pos, v FROM {src}")(_symbols)),
+    "histogram_clusters": Custom(C.histogram_clusters, Operator("SELECT ctx % 7 AS grp, ctx, symbol, n FROM {src}")(_bins)), "learned_trees": Custom(C.learn_trees, N.NEIGHBOURS(S.DRAWN)),
     "noise_image": Custom(D.noise_image, Operator("SELECT DISTINCT image_id, image_id AS shown, 0 AS hidden, CAST(5 + image_id % 4 AS INT) AS height, CAST(17 + image_id % 30 AS INT) AS width FROM {src}")(S.FRAMES)),
     "unsqueeze_h": Custom(R.unsqueeze, N.SQUEEZE(S.PIXELS), _same_pixels),
 }

@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rastrel.sources.pnm import decode_pnm
+from rastrel.sources.pnm import decode_pnm, encode_pnm
 
 SCHEMA = "path string, format string, height int, width int, c int, y int, x int, v double, maxval double"
 #: Samples that one picture may have; a file that claims more counts as broken.
@@ -196,39 +197,117 @@ def decode(data: bytes) -> tuple[str, np.ndarray, float]:
     raise ValueError("unknown format")
 
 
-def read_images(spark: SparkSession, path: str, strip: int = 256) -> DataFrame:
-    """A row for each sample of every file that can be read; `v / maxval` is between 0 and 1. Broken and unknown files give none."""
+def read_images(spark: SparkSession, path: str, strip: int = 256, mode: str = "PERMISSIVE") -> DataFrame:
+    """A row for each sample of every file; `v / maxval` is between 0 and 1.
+
+    As with Spark's own readers, mode says what becomes of a file that is broken or of no known format: PERMISSIVE gives
+    one row with the reason in `error` and no samples, DROPMALFORMED none, and FAILFAST ends the query.
+    """
+    if mode not in ("PERMISSIVE", "DROPMALFORMED", "FAILFAST"):
+        raise ValueError(f"unknown mode: {mode}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "format", "height", "width", "c", "y", "x", "v", "maxval", "error"]
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 try:
                     kind, samples, top = decode(content.as_py())
-                except ValueError:
+                except ValueError as e:
+                    if mode == "FAILFAST":
+                        raise ValueError(f"{name.as_py()}: {e}") from e
+                    if mode == "PERMISSIVE":
+                        yield pa.record_batch([pa.array([name.as_py()]), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.int32())] * 5, *[pa.nulls(1, pa.float64())] * 2, pa.array([str(e)])], names=names)
                     continue
                 height, width, _ = samples.shape
                 for first in range(0, height, strip):
                     part = samples[first : first + strip]
                     y, x, c = (a.ravel().astype(np.int32) for a in np.indices(part.shape, dtype=np.int32))
                     yield pa.record_batch(
-                        [pa.array([name.as_py()] * part.size), pa.array([kind] * part.size), *[pa.array(np.full(part.size, v, np.int32)) for v in (height, width)], pa.array(c), pa.array(y + first), pa.array(x), pa.array(part.ravel()), pa.array(np.full(part.size, top))],
-                        names=["path", "format", "height", "width", "c", "y", "x", "v", "maxval"],
+                        [pa.array([name.as_py()] * part.size), pa.array([kind] * part.size), *[pa.array(np.full(part.size, v, np.int32)) for v in (height, width)], pa.array(c), pa.array(y + first), pa.array(x), pa.array(part.ravel()), pa.array(np.full(part.size, top)), pa.nulls(part.size, pa.string())],
+                        names=names,
                     )
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA + ", error string")
+
+
+def encode_pgx(samples: np.ndarray, top: int = 255) -> bytes:
+    """One channel of 8 or 16 bits, the most significant byte first."""
+    height, width, _ = samples.shape
+    return b"PG ML + %d %d %d\n" % (16 if top > 255 else 8, width, height) + np.clip(samples, 0, top).astype(">u2" if top > 255 else "u1").tobytes()
+
+
+def encode_array(samples: np.ndarray, top: int = 1) -> bytes:
+    """The samples as an array file of single floats, (frames, height, width, channels), with one frame."""
+    header = f"{{'descr': '<f4', 'fortran_order': False, 'shape': (1, {samples.shape[0]}, {samples.shape[1]}, {samples.shape[2]}), }}\n".encode()
+    return b"\x93NUMPY\x01\0" + struct.pack("<H", len(header)) + header + (samples / top).astype("<f4").tobytes()
+
+
+def _pnm(samples: np.ndarray, top: int) -> bytes:
+    return encode_pnm(samples, top)
+
+
+#: Writers by extension: what turns samples into a file, which channels it takes, and the greatest maximum.
+WRITERS: dict[str, tuple[Callable[[np.ndarray, int], bytes], tuple[int, ...], int]] = {
+    "png": (encode_png, (1, 2, 3, 4), 65535), "pgm": (_pnm, (1,), 65535), "ppm": (_pnm, (3,), 65535), "pfm": (lambda s, top: encode_pfm(s / top), (1, 3), 65535), "pgx": (encode_pgx, (1,), 65535), "npy": (encode_array, (1, 2, 3, 4), 65535),
+}
+
+
+def encode(extension: str, samples: np.ndarray, top: int = 255) -> bytes:
+    """A file of the format that the extension stands for; a ValueError says why the samples don't fit it."""
+    if extension.lower().lstrip(".") not in WRITERS:
+        raise ValueError(f"no writer for {extension}")
+    write, channels, most = WRITERS[extension.lower().lstrip(".")]
+    if samples.ndim != 3 or not samples.size or samples.shape[2] not in channels:
+        raise ValueError(f"{extension} takes {channels} channels, not a shape of {samples.shape}")
+    if not 1 <= top <= most:
+        raise ValueError(f"{extension} takes a maximum of {most} at most")
+    return write(samples, top)
+
+
+def describe(images: DataFrame) -> DataFrame:
+    """(path, metadata): what an array file leaves unsaid of each image that read_images gave, as JSON."""
+    return images.where("error IS NULL").groupBy("path", "format").agg(
+        F.to_json(F.struct(F.max("width").alias("width"), F.max("height").alias("height"), (F.max("c") + 1).alias("channels"), F.max("maxval").alias("maxval"), F.count(F.lit(1)).alias("samples"))).alias("metadata"))
+
+
+def pack_gain_map(version: int, metadata: bytes, colour: bytes, profile: bytes, image: bytes) -> bytes:
+    """A bundle: version, the lengths of what may be missing before it, and the image to the end."""
+    if len(metadata) > 65535 or len(colour) > 255:
+        raise ValueError("metadata or colour encoding too long")
+    return struct.pack(">BH", version, len(metadata)) + metadata + struct.pack(">B", len(colour)) + colour + struct.pack(">I", len(profile)) + profile + image
+
+
+def unpack_gain_map(data: bytes) -> tuple[int, bytes, bytes, bytes, bytes]:
+    """(version, metadata, colour, profile, image) of a bundle; a ValueError where it ends too early."""
+    at = 0
+
+    def take(n: int) -> bytes:
+        nonlocal at
+        if at + n > len(data):
+            raise ValueError("truncated bundle")
+        at += n
+        return data[at - n : at]
+
+    version, size = struct.unpack(">BH", take(3))
+    metadata = take(size)
+    colour = take(take(1)[0])
+    profile = take(struct.unpack(">I", take(4))[0])
+    return version, metadata, colour, profile, data[at:]
 
 
-def write_png(pixels: DataFrame, path: str, top: int = 255) -> None:
-    """A file of bytes for each image of (image_id, c, y, x, v), as a Parquet table of (image_id, png); an image has to fit into a row.
+def write_images(pixels: DataFrame, path: str, extension: str = "png", top: int = 255) -> None:
+    """A file of bytes for each image of (image_id, c, y, x, v), as a Parquet table of (image_id, content); an image has to fit into a row.
 
     Grouping gathers an image's pixels as arrays, so rows cross to Python once an image.
     """
+    if extension.lower().lstrip(".") not in WRITERS:
+        raise ValueError(f"no writer for {extension}")
     packed = pixels.sparkSession.sql(
-        "SELECT image_id, MAX(y) + 1 AS height, MAX(x) + 1 AS width, MAX(c) + 1 AS channels, TRANSFORM(ARRAY_SORT(COLLECT_LIST(STRUCT(y, x, c, v))), t -> CAST(t.v AS BIGINT)) AS vals FROM {src} GROUP BY image_id", src=pixels)
+        "SELECT image_id, MAX(y) + 1 AS height, MAX(x) + 1 AS width, MAX(c) + 1 AS channels, TRANSFORM(ARRAY_SORT(COLLECT_LIST(STRUCT(y, x, c, v))), t -> CAST(t.v AS DOUBLE)) AS vals FROM {src} GROUP BY image_id", src=pixels)
 
     def run(frames):
         for f in frames:
-            f["png"] = [encode_png(np.asarray(v).reshape(h, w, n), top) for v, h, w, n in zip(f["vals"], f["height"], f["width"], f["channels"], strict=True)]
-            yield f[["image_id", "png"]]
+            f["content"] = [encode(extension, np.asarray(v).reshape(h, w, n), top) for v, h, w, n in zip(f["vals"], f["height"], f["width"], f["channels"], strict=True)]
+            yield f[["image_id", "content"]]
 
-    packed.mapInPandas(run, "image_id long, png binary").write.mode("errorifexists").parquet(path)
+    packed.mapInPandas(run, "image_id long, content binary").write.mode("errorifexists").parquet(path)

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _HEADER = re.compile(rb"(P[56])(?:\s+|\s*#[^\n]*\n)+(\d+)(?:\s+|\s*#[^\n]*\n)+(\d+)(?:\s+|\s*#[^\n]*\n)+(\d+)\s")
-SCHEMA = "path string, width int, height int, maxval int, c int, y int, x int, v int"
 
 
 def decode_pnm(data: bytes) -> tuple[np.ndarray, int]:
@@ -33,24 +30,8 @@ def encode_pnm(samples: np.ndarray, top: int = 255) -> bytes:
     return b"%s\n%d %d\n%d\n" % (b"P5" if channels == 1 else b"P6", width, height, top) + np.clip(samples, 0, top).astype(kind).tobytes()
 
 
-def read_pnm(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each sample of each file; broken files give none. Column pruning stops at the file, whose bytes are needed whole."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                try:
-                    samples, top = decode_pnm(content.as_py())
-                except ValueError:
-                    continue
-                height, width, channels = samples.shape
-                for first in range(0, height, 256):  # a strip at a time
-                    part = samples[first : first + 256]
-                    y, x, c = (a.ravel().astype(np.int32) for a in np.indices(part.shape, dtype=np.int32))
-                    n = part.size
-                    yield pa.record_batch(
-                        [pa.array([name.as_py()] * n), *[pa.array(np.full(n, v, dtype=np.int32)) for v in (width, height, top)], pa.array(c), pa.array(y + first), pa.array(x), pa.array(part.ravel())],
-                        names=["path", "width", "height", "maxval", "c", "y", "x", "v"],
-                    )
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+def read_pnm(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """The portable maps among the files, as formats.read_images gives them; mode says what becomes of files that can't be read."""
+    from rastrel.sources.formats import read_images
+
+    return read_images(spark, path, mode=mode).where("format = 'pnm' OR error IS NOT NULL")

@@ -1,3 +1,5 @@
+import io
+import json
 import struct
 import zlib
 
@@ -85,9 +87,41 @@ def test_read_images_and_write_png(spark, tmp_path):
         (tmp_path / "in" / name).write_bytes(F.encode_png(samples))
     (tmp_path / "in" / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nxx")
     rows = F.read_images(spark, str(tmp_path / "in"), strip=2).collect()
-    assert len(rows) == sum(s.size for s in pictures.values())
+    broken = [r for r in rows if r.error is not None]
+    assert [r.path.rsplit("/", 1)[1] for r in broken] == ["broken.png"] and broken[0].v is None
+    rows = F.read_images(spark, str(tmp_path / "in"), mode="DROPMALFORMED").collect()
+    assert len(rows) == sum(s.size for s in pictures.values()) and all(r.error is None for r in rows)
+    with pytest.raises(Exception, match="broken.png"):
+        F.read_images(spark, str(tmp_path / "in"), mode="FAILFAST").count()
+    about = {r.path.rsplit("/", 1)[1]: json.loads(r.metadata) for r in F.describe(F.read_images(spark, str(tmp_path / "in"))).collect()}
+    assert about["1.png"] == {"width": 4, "height": 3, "channels": 3, "maxval": 255.0, "samples": 36} and len(about) == 3
     assert all(pictures[r.path.rsplit("/", 1)[1]][r.y, r.x, r.c] == r.v for r in rows)
     pixels = spark.createDataFrame([(i, c, y, x, int(v)) for i, s in enumerate(pictures.values()) for (y, x, c), v in np.ndenumerate(s)], "image_id long, c long, y long, x long, v long")
-    F.write_png(pixels, str(tmp_path / "out"))
-    back = {r.image_id: F.decode_png(r.png)[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    F.write_images(pixels, str(tmp_path / "out"))
+    back = {r.image_id: F.decode_png(r.content)[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert all(np.array_equal(back[i], s) for i, s in enumerate(pictures.values()))
+
+
+@pytest.mark.parametrize(("extension", "channels", "top"), [("png", 3, 65535), (".PGM", 1, 255), ("ppm", 3, 1000), ("pgx", 1, 65535), ("pgx", 1, 255), ("pfm", 3, 255)])
+def test_writers_by_extension(extension, channels, top):
+    samples = np.random.default_rng(channels).integers(0, top + 1, (4, 3, channels))
+    _, got, most = F.decode(F.encode(extension, samples, top))
+    assert np.allclose(got / most, samples / top, atol=1e-7)
+
+
+def test_array_files_and_what_writers_refuse():
+    samples = np.arange(24).reshape(2, 3, 4)
+    assert np.allclose(np.load(io.BytesIO(F.encode("npy", samples, 100))), samples[None] / 100)
+    for extension, shape, top in (("gif", (1, 1, 1), 255), ("pgm", (2, 2, 3), 255), ("png", (2, 2, 5), 255), ("png", (0, 2, 1), 255), ("ppm", (2, 2, 3), 70000)):
+        with pytest.raises(ValueError):
+            F.encode(extension, np.zeros(shape), top)
+
+
+def test_gain_map_bundle():
+    parts = (0, b"meta", b"\x01\x02", b"profile", b"image bytes")
+    data = F.pack_gain_map(*parts)
+    assert F.unpack_gain_map(data) == parts and len(data) == 1 + 2 + 4 + 1 + 2 + 4 + 7 + 11
+    assert F.unpack_gain_map(F.pack_gain_map(1, b"", b"", b"", b"")) == (1, b"", b"", b"", b"")
+    for cut in (0, 2, 5, 8, 12, 18):
+        with pytest.raises(ValueError):
+            F.unpack_gain_map(data[:cut])

@@ -16,7 +16,8 @@ def test_read_pnm(spark, tmp_path):
     samples = np.arange(2 * 3 * 3).reshape(2, 3, 3)
     (tmp_path / "a.ppm").write_bytes(encode_pnm(samples))
     (tmp_path / "broken.ppm").write_bytes(b"P6\n9 9\n255\nxx")
-    rows = read_pnm(spark, str(tmp_path)).collect()
+    assert [r.error is None for r in read_pnm(spark, str(tmp_path)).collect()].count(False) == 1
+    rows = read_pnm(spark, str(tmp_path), "DROPMALFORMED").collect()
     assert len(rows) == 18 and all(samples[r.y, r.x, r.c] == r.v for r in rows)
 
 
