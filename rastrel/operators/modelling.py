@@ -19,10 +19,16 @@ SELECT image_id, c, y, x, v, ABS(before) AS abs_value, before AS value, ABS(befo
   SELECT image_id, c, y, x, v, COALESCE(LAG(v) OVER p, 0) AS before, COALESCE(LAG(guess) OVER p, 0) AS guess FROM (
     SELECT image_id, c, y, x, v, GREATEST(LEAST(n, w), LEAST(GREATEST(n, w), n + w - nw)) AS guess FROM {src}) WINDOW p AS (PARTITION BY image_id, y, x ORDER BY c))""")
 
-# Where the number of coefficients still to come changes the context, and the contexts.
-_LEFT_FROM, _LEFT_CONTEXT = (1, 2, 3, 5, 9, 13, 21, 33), (0, 31, 62, 93, 123, 152, 180, 206)
-_LEFT = "CASE " + " ".join(f"WHEN remaining >= {a} THEN {b}" for a, b in reversed(list(zip(_LEFT_FROM, _LEFT_CONTEXT, strict=True)))) + " END"
-_PLACE = "CASE WHEN place < 16 THEN place - 1 WHEN place < 32 THEN 15 + (place - 16) DIV 2 ELSE 23 + (place - 32) DIV 4 END"
+# Contexts by how many coefficients are still to come, and by place in the scan; the first of each is never used.
+LEFT_CONTEXT = (
+    0, 0, 31, 62, 62, 93, 93, 93, 93, 123, 123, 123, 123, 152, 152, 152, 152, 152, 152, 152, 152, 180, 180, 180, 180, 180, 180, 180, 180, 180, 180, 180,
+    180, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206, 206,
+)
+PLACE_CONTEXT = (
+    0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 15, 16, 16, 17, 17, 18, 18, 19, 19, 20, 20, 21, 21, 22, 22,
+    23, 23, 23, 23, 24, 24, 24, 24, 25, 25, 25, 25, 26, 26, 26, 26, 27, 27, 27, 27, 28, 28, 28, 28, 29, 29, 29, 29, 30, 30, 30, 30,
+)
+_LEFT, _PLACE = (f"ELEMENT_AT(ARRAY({', '.join(map(str, t))}), CAST({n} + 1 AS INT))" for t, n in ((LEFT_CONTEXT, "remaining"), (PLACE_CONTEXT, "place")))
 #: Context of each scanned coefficient, by how many are still to come, its place, and whether the one before is zero.
 ZERO_DENSITY = Operator(f"""
 SELECT image_id, c, cy, cx, place, q, remaining, ({_LEFT} + {_PLACE}) * 2 + CASE WHEN place = 1 THEN CASE WHEN remaining > 4 THEN 0 ELSE 1 END WHEN before <> 0 THEN 1 ELSE 0 END AS ctx FROM (

@@ -21,7 +21,7 @@ SELECT image_id, label, c, y, x, v, w, n, COALESCE(nw, w) AS nw, COALESCE(ne, n)
     SELECT *, LAG(v, 1) OVER r AS w1, LAG(v, 2) OVER r AS ww, LAG(n1, 1) OVER r AS nw, LEAD(n1, 1) OVER r AS ne, LEAD(n1, 2) OVER r AS nee FROM (
       SELECT *, LAG(v, 1) OVER k AS n1, LAG(v, 2) OVER k AS nn FROM {{src}} WINDOW {_COLUMNS}) WINDOW {_ROWS}))""")
 _GRADIENT = "GREATEST(LEAST(n, w), LEAST(GREATEST(n, w), n + w - nw))"
-#: Predictions by name; division truncates.
+# The predictors' formulas, by name; division truncates.
 PREDICTORS = {
     "zero": "0", "left": "w", "top": "n", "average0": "(w + n) DIV 2", "select": "(CASE WHEN ABS(n - nw) < ABS(w - nw) THEN w ELSE n END)", "gradient": _GRADIENT,
     "top_right": "ne", "top_left": "nw", "left_left": "ww", "average1": "(w + nw) DIV 2", "average2": "(nw + n) DIV 2", "average3": "(n + ne) DIV 2",

@@ -10,6 +10,7 @@ from rastrel.operators import measures as M
 from rastrel.operators import modelling as L
 from rastrel.operators import neighbourhood as N
 from rastrel.operators import recurrences as R
+from rastrel.operators import rendering as V
 from rastrel.operators import scores as Q
 from rastrel.operators import trees as T
 from rastrel.plans.steps import Custom, Operator, Plan
@@ -69,6 +70,11 @@ _counters = Operator("SELECT event_type AS name, v AS value FROM {src}")(S.SIGNA
 _texts = Operator("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'RGB_D65_SRG_Rel_SRG' WHEN 1 THEN 'Gra_D65_Rel_g0.45455' WHEN 2 THEN 'RGB_0.3;0.31_202_Per_PeQ' ELSE 'neither' END AS text FROM {src}")(
     S.Source(lambda s, d: s.read.parquet(f"{d}/part.parquet"), "SELECT * FROM part"))
 
+_unit = Operator("SELECT image_id, label, c, y, x, v / 255D AS v FROM {src}")(S.DRAWN_ONE)
+_large = V.root_cost(4.3)(M.dct(16, 16)(S.DRAWN))
+_coded = Operator("SELECT image_id, y, x, r * 0.7D AS r, g * 0.7D AS g, b * 0.7D AS b FROM {src}")(S.DRAWN_LIGHT)
+_bands = ((3150.0, 0.0, -0.4, -0.4, -0.4, -2.0), (560.0, 0.0, -0.3, -0.3, -0.3, -0.3), (512.0, -2.0, -1.0, 0.0, -1.0, -2.0))
+
 PLANS: dict[str, Plan] = {
     # the cost of lossless coding
     "lossless_cost_by_label": E.LABEL_COST(_cost), "lossless_cost_by_image": _cost,
@@ -112,6 +118,11 @@ PLANS: dict[str, Plan] = {
     "box_relation": D.BOX_RELATION(_boxes, box=_box), "merged_histograms": D.MERGED_HISTOGRAMS(_bins, map=_halves), "palette_expand": D.palette_expand(16)(_indices, palette=_marked), "implicit_palette": D.palette_expand(16)(D.implicit_index(16)(S.DRAWN_RGB), palette=_marked),
     "channel_errors": D.CHANNEL_ERRORS(_both), "component_stats": D.component_stats(2)(S.DRAWN_ONE, label=_spots), "needs_blending": D.NEEDS_BLENDING(_headers), "from_frame": D.from_frame(2)(S.FRAMES), "alike": Operator("SELECT image_id, COUNT(*) AS n FROM {src} GROUP BY image_id")(D.alike(1.0)(_next_to)),
     "colour_description": D.COLOUR_DESCRIPTION(_texts), "merged_statistics": D.MERGED_STATISTICS(_counters),
+    # rendering
+    "upsample_2": V.upsample()(_unit), "upsample_4": V.upsample(V.UPSAMPLE_4)(_unit), "convert_wide_pq": V.convert(V.Encoding("srgb"), V.Encoding("pq", V.WIDE))(S.DRAWN_LIGHT), "convert_cinema": V.convert(V.Encoding("gamma22", V.CINEMA, (0.314, 0.351)), V.Encoding("709"))(S.DRAWN_LIGHT),
+    "pq_to_hlg": V.pq_to_hlg(_coded), "render_hlg": V.render_hlg(_coded), "asymmetric_l2": V.asymmetric_l2(1.2, 0.7)(Operator("SELECT image_id, y, x, a - 0.5D AS a, b - 0.5D AS b FROM {src}")(S.PAIRS)), "sensitivity": V.sensitivity()(S.DRAWN_LIGHT),
+    "quant_table": V.quant_table(_bands)(S.FRAMES), "quant_table_wide": V.quant_table(_bands, 8, 16)(S.FRAMES), "root_cost": V.root_cost(4.3)(M.DCT8(S.DRAWN)), "best_transform": V.best_transform()(V.root_cost(4.3)(M.DCT8(S.DRAWN)), large=_large),
+    "fast_lossless_cost": E.IMAGE_COST(V.ONE_CONTEXT(N.NEIGHBOURS(V.PLANES_OF_THREE(P.rct(6)(S.RGB))))), "tiles": V.tiles(16)(S.DRAWN),
     # frames and parts
     "frame_index": M.OFFSETS(S.FRAMES), "layer_groups": M.LAYER_GROUPS(S.FRAMES), "reference_slot": M.REFERENCE_SLOT(S.FRAMES), "part_reorder_prefix": M.READY_PARTS(S.ROWS_HERE), "pass_refinement": M.PASSES(S.PIXELS),
 }
@@ -125,6 +136,7 @@ CUSTOM = {
     "huffman_depths": Custom(L.huffman, _histogram), "components": Custom(lambda p: L.components(p, 0, 60), S.PIXELS),
     "copies_restored": Custom(lambda f: C.restore_copies(C.code_copies(f)), _symbols, Operator("SELECT stream, pos, v FROM {src}")(_symbols)),
     "histogram_clusters": Custom(C.histogram_clusters, Operator("SELECT ctx % 7 AS grp, ctx, symbol, n FROM {src}")(_bins)), "learned_trees": Custom(C.learn_trees, N.NEIGHBOURS(S.DRAWN)),
+    "cfl_search": Custom(V.cfl_search, S.CHROMA),
     "noise_image": Custom(D.noise_image, Operator("SELECT DISTINCT image_id, image_id AS shown, 0 AS hidden, CAST(5 + image_id % 4 AS INT) AS height, CAST(17 + image_id % 30 AS INT) AS width FROM {src}")(S.FRAMES)),
     "unsqueeze_h": Custom(R.unsqueeze, N.SQUEEZE(S.PIXELS), _same_pixels),
 }
