@@ -98,10 +98,10 @@ def test_quant_table(spark):
 
 def test_newton_finds_the_slope_of_chroma():
     rng = np.random.default_rng(5)
-    m = rng.normal(size=400) * 10
-    for slope in (-60, -9, 0, 25, 100):
+    m = rng.normal(size=400) * 40
+    for slope in (-40, -9, 0, 25, 60):
         got = V.cfl_newton(m, m * slope / 84 + rng.normal(size=400) * 0.1)
-        assert got == pytest.approx(0 if slope == 0 else slope - math.copysign(2.6, slope), abs=0.1 * abs(slope) + 1)
+        assert got == pytest.approx(0 if slope == 0 else slope - math.copysign(2.6, slope), abs=5)
     assert V.cfl_newton(np.zeros(0), np.zeros(0)) == 0
 
 
