@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Radii of the levels below the root, as distances on the unit sphere; the cells above are parted by nearest pivots.
-RADII = (1.0, 0.5, 0.25, 0.125)
-BLOCK = 2048
+#: Radii of the levels in a block, as distances on the unit sphere; above these, in many dimensions, no bound prunes, and cells are parted by nearest pivots.
+RADII = (0.5, 0.25, 0.125)
+BLOCK, PAIRS = 2048, 250_000
 #: First members of parts that are held against all that is left at once.
 CHUNK = 256
 #: Slack for rounding in bounds, of single precision; the exact comparison in double precision decides.
@@ -97,7 +97,7 @@ def close_pairs(a: CoverTree, b: CoverTree, cosine: float, distance: float):
         na, nb = ka[x + 1] - ka[x], kb[y + 1] - kb[y]
         every = na * nb
         # all pairs of children of the pairs that are left, a bounded number at a time
-        cuts = np.searchsorted(np.cumsum(every), np.arange(2_000_000, every.sum() + 2_000_000, 2_000_000)) if len(x) else []
+        cuts = np.searchsorted(np.cumsum(every), np.arange(PAIRS, every.sum() + PAIRS, PAIRS)) if len(x) else []
         xs, ys, start = [x[:0]], [y[:0]], 0
         for cut in dict.fromkeys(min(int(c) + 1, len(x)) for c in cuts):
             own = slice(start, cut)

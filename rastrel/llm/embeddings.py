@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrel.llm.common import checkpoint, partitions, prepare, spread_join
+from rastrel.llm.common import checkpoint, partitions, prepare, release, spread_join
 from rastrel.llm.components import connected_components
 from rastrel.llm.covertree import SLACK, CoverTree, build, close_pairs
 from rastrel.llm.simhash import _roots
@@ -118,6 +118,8 @@ def _pair_links(cosine: float, distance: float):
                 pending, size = [], 0
         low = _join(low, pending)
         some = links > 0
+        del trees
+        release()
         return pd.DataFrame({"point": point[some], "links": links[some], "root": point[low[some]]})
 
     return run
