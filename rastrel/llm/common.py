@@ -57,13 +57,13 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def thin(rows: DataFrame, code: Column, keep: int) -> DataFrame:
-    """About 16 * keep rows of a table, or all if there are fewer, chosen by their hash alone.
+def thin(rows: DataFrame, code: Column, keep: int, spare: int = 16) -> DataFrame:
+    """About spare * keep rows of a table, or all if there are fewer, chosen by their hash alone.
 
     For fitting on a bounded sample: what is then sorted and sent to the driver stays small however
     many tasks read the table. rows should not be filtered yet, so that counting them reads no column.
     """
-    step = max(1, rows.count() // (16 * keep))
+    step = max(1, rows.count() // (spare * keep))
     return rows.where(F.pmod(code, F.lit(step)) == 0) if step > 1 else rows
 
 

@@ -257,7 +257,7 @@ def practice_pages(n: int, seed: int = 11) -> list[tuple[str, list[bool]]]:
 def learn(pages: DataFrame, html_col: str = "html", seed: int = 7) -> BiLstm:
     """Fit the labeller. Of the table, the SAMPLE_PAGES first pages in the order of a hash, none over SAMPLE_CHARS, take part."""
     page = F.col(html_col)
-    own = thin(pages.select(page.alias("html")), F.xxhash64("html"), SAMPLE_PAGES).where(F.octet_length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
+    own = thin(pages.select(page.alias("html")), F.xxhash64("html"), SAMPLE_PAGES, 4).where(F.octet_length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
     data = []
     for text, label in [*practice_pages(PRACTICE), *[(r["html"], None) for r in own]]:
         blocks = leaves(text)
