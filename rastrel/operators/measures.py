@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from rastrel.functions.pointwise import LUMA, d, dot, half_even
 from rastrel.operators.neighbourhood import blur
-from rastrel.plans.steps import Operator
+from rastrel.plans.steps import Operator, other_dialect
 
 P_NORM = Operator("""SELECT image_id, ROUND((POWER(AVG(POWER(ABS(a - b), 3D)), """ + d(1 / 3) + """) + POWER(AVG(POWER(ABS(a - b), 6D)), """ + d(1 / 6) + """) + POWER(AVG(POWER(ABS(a - b), 12D)), """ + d(1 / 12) + """)) / 3D, 6) AS p_norm,
   ROUND(MAX(ABS(a - b)), 6) AS max_norm, ROUND(SQRT(AVG((a - b) * (a - b))), 6) AS rmse FROM {src} GROUP BY image_id""")
@@ -60,13 +61,25 @@ FROM {src} GROUP BY ROLLUP(codec)""")
 PERCENTILES = Operator("SELECT codec, " + ", ".join(f"MAX(CASE WHEN rank = CAST(FLOOR(n * {d(q / 100)}) AS BIGINT) + 1 THEN p_norm END) AS p{q}" for q in (5, 10, 50, 90, 95))
                        + " FROM (SELECT codec, p_norm, ROW_NUMBER() OVER (PARTITION BY codec ORDER BY p_norm) AS rank, COUNT(*) OVER (PARTITION BY codec) AS n FROM {src}) GROUP BY codec")
 _TOO_MANY, _OVERFLOW, _UNDERFLOW = math.log(1e100), math.log(1.7976931348623157e308), math.log(5e-324)
-#: Times of repetitions (stream, pos, t): the only one, the second of two, else the geometric mean without the first, or the median where its product is no number.
-SPEED_SUMMARY = Operator(f"""
+
+
+def _speed_summary(ln: Callable[[str], str], order: str) -> str:
+    return f"""
 SELECT stream, reps, low, high, kind, ROUND(CASE kind WHEN 'single' THEN first WHEN 'second' THEN last WHEN 'geomean' THEN EXP(rest / (reps - 1)) ELSE med END, 6) AS central, ROUND(CASE WHEN kind = 'median' THEN SQRT(spread) ELSE 0D END, 4) AS variability FROM (
-  SELECT *, CASE WHEN reps = 1 THEN 'single' WHEN reps = 2 THEN 'second' WHEN reps * LN(first) < {d(_TOO_MANY)} AND rest < {d(_OVERFLOW)} AND rest > {d(_UNDERFLOW)} THEN 'geomean' ELSE 'median' END AS kind FROM (
-    SELECT stream, COUNT(*) AS reps, MIN(t) AS low, MAX(t) AS high, MAX(CASE WHEN pos = 0 THEN t END) AS first, MAX(CASE WHEN pos = n - 1 THEN t END) AS last, SUM(CASE WHEN pos > 0 THEN LN(t) ELSE 0D END) AS rest, MAX(med) AS med, SUM((t - med) * (t - med)) AS spread FROM (
+  SELECT *, CASE WHEN reps = 1 THEN 'single' WHEN reps = 2 THEN 'second' WHEN reps * {ln('first')} < {d(_TOO_MANY)} AND rest < {d(_OVERFLOW)} AND rest > {d(_UNDERFLOW)} THEN 'geomean' ELSE 'median' END AS kind FROM (
+    SELECT stream, COUNT(*) AS reps, MIN(t) AS low, MAX(t) AS high, MAX(CASE WHEN pos = 0 THEN t END) AS first, MAX(CASE WHEN pos = n - 1 THEN t END) AS last, SUM(CASE WHEN pos > 0 THEN {ln('t')} ELSE 0D END) AS rest, MAX(med) AS med, SUM((t - med) * (t - med)) AS spread FROM (
       SELECT stream, pos, t, n, MAX(CASE WHEN rank = n DIV 2 + 1 THEN t END) OVER (PARTITION BY stream) AS med FROM (
-        SELECT stream, pos, t, ROW_NUMBER() OVER (PARTITION BY stream ORDER BY t) AS rank, COUNT(*) OVER (PARTITION BY stream) AS n FROM {{src}})) GROUP BY stream))""")
+        SELECT stream, pos, t, ROW_NUMBER() OVER (PARTITION BY stream ORDER BY {order}) AS rank, COUNT(*) OVER (PARTITION BY stream) AS n FROM {{src}})) GROUP BY stream))"""
+
+
+#: Times of repetitions (stream, pos, t): the only one, the second of two, else the geometric mean without the first, or the median where its product is no number.
+#: The logarithm of zero is -Infinity, of less NaN, and null times come last; Spark's own would be null and first.
+SPEED_SUMMARY = Operator(
+    _speed_summary(lambda t: f"CASE WHEN {t} > 0 THEN LN({t}) WHEN {t} = 0 THEN CAST('-Infinity' AS DOUBLE) WHEN {t} < 0 THEN CAST('NaN' AS DOUBLE) END", "t NULLS LAST"),
+    other_dialect(_speed_summary(lambda t: f"LN({t})", "t")),
+)
+
+
 #: Colours of each image, and whether they fit a palette of so many; counting ends where it would not matter, so n is cut there.
 def distinct_colours(most: int) -> Operator:
     return Operator(f"SELECT image_id, LEAST(COUNT(*), {most + 1}) AS colours, CAST(COUNT(*) <= {most} AS INT) AS fits FROM (SELECT DISTINCT image_id, v0, v1, v2 FROM {{src}}) GROUP BY image_id")

@@ -80,7 +80,7 @@ DRAWN_LIGHT = Operator("SELECT image_id, y, x, v0 / 255D AS r, v1 / 255D AS g, v
 DISTORTED = Operator("""SELECT image_id, y, x, r AS r1, g AS g1, b AS b1, FLOOR(r * 10D + 0.5D) / 10D AS r2, g * 0.9D + 0.04D AS g2, COALESCE(LAG(b) OVER (PARTITION BY image_id, y ORDER BY x), b) AS b2 FROM {src}""")(DRAWN_LIGHT)
 SIGNALS = Source(
     lambda spark, d: _read(spark, d, "events").selectExpr(
-        "user_id AS stream", "CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS pos", "CAST(floor(value * 100D + 0.5D) AS BIGINT) AS v", "event_type"),
+        "user_id AS stream", "CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS LAST, event_id NULLS LAST) - 1 AS BIGINT) AS pos", "CAST(floor(value * 100D + 0.5D) AS BIGINT) AS v", "event_type"),
     "SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, floor(value * 100 + 0.5)::BIGINT AS v, event_type FROM events",
 )
 #: Code points of the documents; an empty text is one value of -1, as unicode('') is in the oracle.
