@@ -83,10 +83,17 @@ SIGNALS = Source(
         "user_id AS stream", "CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS LAST, event_id NULLS LAST) - 1 AS BIGINT) AS pos", "CAST(floor(value * 100D + 0.5D) AS BIGINT) AS v", "event_type"),
     "SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, floor(value * 100 + 0.5)::BIGINT AS v, event_type FROM events",
 )
-#: Code points of the documents; an empty text is one value of -1, as unicode('') is in the oracle.
+#: The documents whole.
+TEXTS = Source(lambda spark, d: _read(spark, d, "documents").selectExpr("doc_id AS stream", "text"), "SELECT doc_id AS stream, text FROM documents")
+
+
+def characters_of(texts: DataFrame) -> DataFrame:
+    """(stream, pos, v): the code points of texts (stream, text); an empty one is one value of -1, as unicode('') is in the oracle."""
+    return texts.selectExpr("stream", "posexplode(split(text, '')) AS (pos, ch)").selectExpr("stream", "CAST(pos AS BIGINT) AS pos", "CAST(CASE WHEN ch = '' THEN -1 ELSE ascii(ch) END AS BIGINT) AS v")
+
+
 CHARACTERS = Source(
-    lambda spark, d: _read(spark, d, "documents").selectExpr("doc_id AS stream", "posexplode(split(text, '')) AS (pos, ch)").selectExpr(
-        "stream", "CAST(pos AS BIGINT) AS pos", "CAST(CASE WHEN ch = '' THEN -1 ELSE ascii(ch) END AS BIGINT) AS v"),
+    lambda spark, d: characters_of(TEXTS.frame(spark, d)),
     "SELECT stream, pos, unicode(ch)::BIGINT AS v FROM (SELECT doc_id AS stream, unnest(range(len(s))) AS pos, unnest(s) AS ch FROM (SELECT doc_id, string_split(text, '') AS s FROM documents))",
 )
 FRAMES = Source(
